@@ -18,8 +18,8 @@ from pulselake.llm.common import arrow_bytes, blocks, table
 
 #: Buckets of the literal rank map; a few entries each.
 BUCKETS = 1 << 14
-#: Words of more bytes than this are merged by a heap in the Arrow step: a fold over them would be quadratic.
-LONG_WORD = 128
+#: Words of more bytes than this get the same merges from a heap in the Arrow step: the fold looks at all spans.
+LONG_WORD = 24
 #: Text bytes whose distinct words are encoded together. More shares more words; a block is one row.
 BLOCK_BYTES = 24 << 20
 NO_MERGE = 2**31 - 1
@@ -32,13 +32,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal: tokens and ranks, bucketed by the token's CRC-32."""
-    slots: list[tuple[list, list]] = [([], []) for _ in range(BUCKETS)]
+    """The rank map as one literal: maps from token (a character for each byte) to rank, bucketed by CRC-32."""
+    slots: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        k, v = slots[zlib.crc32(token) % BUCKETS]
-        k.append(base64.b64encode(token).decode())
-        v.append(rank)
-    return F.from_json(F.lit(json.dumps([{"k": k, "v": v} for k, v in slots])), "array<struct<k:array<binary>,v:array<int>>>")
+        if len(token) <= LONG_WORD:
+            key = token.decode("latin-1")
+            slots[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -54,46 +54,61 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def word_ids(word: Column, table_: Column) -> Column:
-    """Ids of one word (binary), as array<int>; null for words longer than LONG_WORD.
+def _longs(values: list) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
-    State: the parts so far and, for each neighbouring pair, the rank of its merge. Each step merges the leftmost
-    pair of lowest rank and looks up only the two pairs that change.
+
+class WordFold:
+    """The merges of one word, as column expressions over literal tables.
+
+    A word is an array of bytes, held as a string with a character for each. Every span of it that is a token is a
+    possible merge, coded as rank << 12 | start << 6 | end, so that sorting puts lower ranks first and then the
+    leftmost. A fold over the sorted spans keeps a bit mask of the boundaries between parts: a span merges if both
+    its ends are boundaries and just one lies between. One pass suffices, as a merge never makes possible a merge of
+    lower rank: had the same bytes been whole before, their own lower merge would have come first.
     """
 
-    def rank(piece: Column) -> Column:
-        bucket = F.get(table_, (F.crc32(piece) % BUCKETS).cast("int"))
-        return _let(bucket, lambda b: F.get(b["v"], (F.array_position(b["k"], piece) - 1).cast("int")))
+    def __init__(self, ranks: dict[bytes, int]):
+        size = range(LONG_WORD + 1)
+        self.ranked = rank_literal(ranks)
+        self.spans = F.from_json(F.lit(json.dumps([[i << 6 | j for i in range(n) for j in range(i + 2, n + 1)] for n in size])), "array<array<bigint>>")
+        code = [(c >> 6, c & 63) for c in range(4096)]
+        self.ends = _longs([1 << i | 1 << j if max(i, j) < 63 else 0 for i, j in code])
+        inner = [(1 << j) - (2 << i) if i < j < 63 else 0 for i, j in code]
+        self.inner = _longs(inner)
+        self.cut = _longs([~x for x in inner])
+        self.bits = _longs([1 << i for i in range(63)])
+
+    def rank(self, piece: Column) -> Column:
+        return F.try_element_at(F.get(self.ranked, (F.crc32(piece) % BUCKETS).cast("int")), piece)
 
-    def merge_rank(piece: Column) -> Column:
-        return F.coalesce(rank(piece), F.lit(NO_MERGE))
+    def span(self, word: Column, i: Column, j: Column) -> Column:
+        return F.substring(word, i + 1, j - i)
 
-    n = F.octet_length(word)
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: merge_rank(F.substring(word, i, F.lit(2))))
-    start = F.struct(parts.alias("p"), pairs.alias("r"))
+    def ids(self, word: Column) -> Column:
+        """array<int> of the word's ids; null for words of over LONG_WORD bytes."""
+        n = F.length(word)
 
-    def step(acc: Column, _: Column) -> Column:
-        def apply(at: Column) -> Column:
-            p, r, k = acc["p"], acc["r"], at
+        def coded(c: Column) -> Column:
+            i, j = F.shiftright(c, 6).cast("int"), c.bitwiseAND(F.lit(63).cast("long")).cast("int")
+            return F.shiftleft(self.rank(self.span(word, i, j)).cast("long"), 12).bitwiseOR(c)
 
-            def with_merged(m: Column) -> Column:
-                left = F.when(k > 1, F.array(merge_rank(F.concat(F.get(p, k - 2), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k < F.size(r), F.array(merge_rank(F.concat(m, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, 1, k - 1), F.array(m), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p))).alias("r"),
-                )
+        def step(m: Column, e: Column) -> Column:
+            def take(x: Column) -> Column:
+                ends = F.get(self.ends, x)
+                fits = (m.bitwiseAND(ends) == ends) & (F.bit_count(m.bitwiseAND(F.get(self.inner, x))) == 1)
+                return F.when(fits, m.bitwiseAND(F.get(self.cut, x))).otherwise(m)
 
-            return _let(F.concat(F.get(p, k - 1), F.get(p, k)), with_merged)
+            return _let(e.bitwiseAND(F.lit(4095).cast("long")).cast("int"), take)
 
-        lowest = F.array_min(acc["r"])
-        return F.when(lowest < NO_MERGE, _let(F.array_position(acc["r"], lowest).cast("int"), apply)).otherwise(acc)
+        def parts(m: Column) -> Column:
+            cuts = F.filter(F.sequence(F.lit(0), n), lambda i: m.bitwiseAND(F.get(self.bits, i)) != 0)
+            return _let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, at: self.rank(self.span(word, i, F.get(c, at + 1)))))
 
-    folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: F.transform(acc["p"], rank))
-    whole = rank(word)
-    return F.when(n > LONG_WORD, F.lit(None)).otherwise(
-        _let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).when(n == 1, F.array(w)).otherwise(folded)))
+        merges = F.sort_array(F.array_compact(F.transform(F.get(self.spans, n), coded)))
+        folded = F.aggregate(merges, F.get(self.bits, n + 1) - 1, step, parts)
+        return F.when(n > LONG_WORD, F.lit(None)).otherwise(
+            _let(self.rank(word), lambda w: F.when(w.isNotNull() | (n == 1), F.array(w)).otherwise(folded)))
 
 
 def joined_pieces(ids: Column, pieces: Column, chunk: int = 512) -> Column:
@@ -139,7 +154,7 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _split_schema() -> T.StructType:
     return T.StructType([
-        T.StructField("words", T.ArrayType(T.BinaryType())),
+        T.StructField("words", T.ArrayType(T.StringType())),
         T.StructField("codes", T.BinaryType()),
         T.StructField("counts", T.BinaryType()),
         T.StructField("kept", T.BinaryType()),
@@ -165,7 +180,7 @@ def _split(pattern: str, text_col: str, block_bytes: int):
             rest = pa.concat_tables(kept)
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
-            words = pa.array([w.encode("utf-8", "surrogatepass") for w in number], pa.binary())
+            words = pa.array([w.encode().decode("latin-1") for w in number], pa.string())
             out = pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                 pa.array([np.concatenate(codes).tobytes() if codes else b""], pa.binary()),
@@ -207,7 +222,7 @@ def _assemble(ranks_path: str, kept_schema: pa.Schema):
                     ranks = ranks or load_ranks(ranks_path)
                     missing = np.flatnonzero(np.asarray(lists.is_null()))
                     words = batch["words"][row].values
-                    long_ids = {int(i): heap_merge(words[int(i)].as_py(), ranks) for i in missing}
+                    long_ids = {int(i): heap_merge(words[int(i)].as_py().encode("latin-1"), ranks) for i in missing}
                     own = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
                     for i, x in long_ids.items():
                         own[i] = len(x)
@@ -278,9 +293,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     ranks = load_ranks(ranks_path)
     docs = docs.drop("n_tokens", "ids_le", "decoded")
     kept_fields = [f for f in docs.schema.fields if f.name != text_col]
-    ranked, pieces = rank_literal(ranks), piece_literal(ranks)
+    fold, pieces = WordFold(ranks), piece_literal(ranks)
     split = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(_split(pattern, text_col, block_bytes), _split_schema())
-    ids = F.transform("words", lambda w: word_ids(w, ranked))
+    ids = F.transform("words", fold.ids)
     encoded = split.withColumn("ids", ids)
     encoded = encoded.withColumn("bytes", F.transform("ids", lambda x: F.when(x.isNotNull(), F.aggregate(x, F.lit(b""), lambda acc, i: F.concat(acc, F.get(pieces, i))))))
     schema = T.StructType([*kept_fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
