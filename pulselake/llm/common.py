@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
@@ -58,6 +59,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Most rows of a few numbers that are broadcast; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (a materialized table of a few numbers a row), marked for broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -108,29 +118,41 @@ class Words:
         return np.diff(self.offsets)
 
 
-def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """Polynomial hash of each data[begin:end], computed over all words of one length range at a time."""
+#: Bytes whose hashes are summed together; the tables of powers have as many entries.
+_SPAN = 1 << 18
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    up, down = np.full(_SPAN + 1, _BASE, np.uint64), np.full(_SPAN + 1, pow(_BASE, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each data[begin:end]: the scrambled sum of byte i times base**i, from running sums over spans of bytes."""
     out = np.zeros(len(begin), dtype=np.uint64)
-    length = end - begin
-    base = np.uint64(_BASE)
-    data64 = None
-    short = length <= 24
-    idx = np.flatnonzero(short)
-    for at in range(0, len(idx), step):
-        part = idx[at : at + step]
-        b, m = begin[part], length[part]
-        order = np.argsort(m, kind="stable")[::-1]
-        part, b, m = part[order], b[order], m[order]
-        h = m.astype(np.uint64)
-        live = np.searchsorted(-m, -np.arange(0, (m[0] if len(m) else 0)), side="left")
-        for j in range(m[0] if len(m) else 0):
-            k = live[j]  # words longer than j
-            h[:k] = h[:k] * base + data[b[:k] + j]
-        out[part] = h
-    for i in np.flatnonzero(~short):
-        data64 = data[begin[i] : end[i]].astype(np.uint64)
-        powers = np.cumprod(np.full(len(data64), base))
-        out[i] = np.uint64(len(data64)) + (data64 * powers).sum(dtype=np.uint64) * _MULT
+    up, down = _powers()
+    at = 0
+    while at < len(begin):
+        first = begin[at]
+        to = int(np.searchsorted(end, first + _SPAN, side="right"))
+        if to <= at:  # one word longer than a span
+            total, scale = 0, 1
+            for k in range(first, end[at], _SPAN):
+                part = data[k : min(k + _SPAN, end[at])]
+                total += int(((part + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64)) * scale
+                scale = scale * int(up[_SPAN]) % 2**64
+            out[at] = np.uint64(total % 2**64)
+            at += 1
+            continue
+        sums = np.zeros(end[to - 1] - first + 1, np.uint64)
+        part = data[first : end[to - 1]]
+        np.cumsum((part + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        b, e = begin[at:to] - first, end[at:to] - first
+        out[at:to] = (sums[e] - sums[b]) * down[b]
+        at = to
     return mix(out)
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pulselake.llm.bpe import op1_bpe
 from pulselake.llm.licenses import op8_licenses
 from pulselake.llm.mixing import op6_mixing
+from pulselake.llm.ngram_join import op3_ngram_join
 from pulselake.llm.sharding import op4_sharding
+from pulselake.llm.toxicity import op2_toxicity
 from pulselake.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
     "op6_mixing": op6_mixing,
     "op8_licenses": op8_licenses,
