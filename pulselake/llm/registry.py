@@ -7,6 +7,7 @@ from pulselake.llm.licenses import op8_licenses
 from pulselake.llm.mixing import op6_mixing
 from pulselake.llm.ngram_join import op3_ngram_join
 from pulselake.llm.sharding import op4_sharding
+from pulselake.llm.substring_dedup import op10_substring_dedup
 from pulselake.llm.toxicity import op2_toxicity
 from pulselake.llm.url_filter import op9_url_filter
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_licenses": op8_licenses,
     "op9_url_filter": op9_url_filter,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
 
