@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pulselake.llm.bpe import op1_bpe
+from pulselake.llm.embedding_dedup import op5_embedding_dedup
 from pulselake.llm.licenses import op8_licenses
 from pulselake.llm.mixing import op6_mixing
 from pulselake.llm.ngram_join import op3_ngram_join
 from pulselake.llm.sharding import op4_sharding
 from pulselake.llm.substring_dedup import op10_substring_dedup
+from pulselake.llm.topk import op7_topk
 from pulselake.llm.toxicity import op2_toxicity
 from pulselake.llm.url_filter import op9_url_filter
 
@@ -16,7 +18,9 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mixing": op6_mixing,
+    "op7_topk": op7_topk,
     "op8_licenses": op8_licenses,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
