@@ -18,11 +18,11 @@ from pulselake.llm.common import arrow_bytes, blocks, table
 
 #: Buckets of the literal rank map; a few entries each.
 BUCKETS = 1 << 14
-#: Words of more bytes than this get the same merges from a heap in the Arrow step: the fold looks at all spans.
-LONG_WORD = 24
+#: Words of more bytes than this get the same merges from a heap in the Arrow step: folding is quadratic.
+LONG_WORD = 64
 #: Text bytes whose distinct words are encoded together. More shares more words; a block is one row.
 BLOCK_BYTES = 24 << 20
-NO_MERGE = 2**31 - 1
+NO_MERGE = 1 << 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,63 +50,56 @@ def piece_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value computed once: the finish of a fold over nothing.
 
-
-def _longs(values: list) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    (An element of a one-element transform does the same, but works out its nested type at every call.)
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 class WordFold:
-    """The merges of one word, as column expressions over literal tables.
+    """The merges of one word, as column expressions over the literal rank map.
 
-    A word is an array of bytes, held as a string with a character for each. Every span of it that is a token is a
-    possible merge, coded as rank << 12 | start << 6 | end, so that sorting puts lower ranks first and then the
-    leftmost. A fold over the sorted spans keeps a bit mask of the boundaries between parts: a span merges if both
-    its ends are boundaries and just one lies between. One pass suffices, as a merge never makes possible a merge of
-    lower rank: had the same bytes been whole before, their own lower merge would have come first.
+    A word is an array of bytes, each a string of one character. A fold keeps the parts so far and, for each
+    neighbouring pair, the rank of its merge. A step merges the leftmost pair of lowest rank and looks up only the two
+    pairs that change; a word of n bytes takes n - 1 steps at most, and steps that find no merge pass the state on.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        size = range(LONG_WORD + 1)
         self.ranked = rank_literal(ranks)
-        self.spans = F.from_json(F.lit(json.dumps([[i << 6 | j for i in range(n) for j in range(i + 2, n + 1)] for n in size])), "array<array<bigint>>")
-        code = [(c >> 6, c & 63) for c in range(4096)]
-        self.ends = _longs([1 << i | 1 << j if max(i, j) < 63 else 0 for i, j in code])
-        inner = [(1 << j) - (2 << i) if i < j < 63 else 0 for i, j in code]
-        self.inner = _longs(inner)
-        self.cut = _longs([~x for x in inner])
-        self.bits = _longs([1 << i for i in range(63)])
 
     def rank(self, piece: Column) -> Column:
         return F.try_element_at(F.get(self.ranked, (F.crc32(piece) % BUCKETS).cast("int")), piece)
 
-    def span(self, word: Column, i: Column, j: Column) -> Column:
-        return F.substring(word, i + 1, j - i)
+    def merge_rank(self, piece: Column) -> Column:
+        return F.coalesce(self.rank(piece), F.lit(NO_MERGE))
 
     def ids(self, word: Column) -> Column:
         """array<int> of the word's ids; null for words of over LONG_WORD bytes."""
         n = F.length(word)
+        start = F.struct(
+            F.split(word, "").alias("p"),
+            F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.merge_rank(F.substring(word, i, F.lit(2)))).alias("r"),
+        )
 
-        def coded(c: Column) -> Column:
-            i, j = F.shiftright(c, 6).cast("int"), c.bitwiseAND(F.lit(63).cast("long")).cast("int")
-            return F.shiftleft(self.rank(self.span(word, i, j)).cast("long"), 12).bitwiseOR(c)
+        def step(acc: Column, _: Column) -> Column:
+            p, r = acc["p"], acc["r"]
 
-        def step(m: Column, e: Column) -> Column:
-            def take(x: Column) -> Column:
-                ends = F.get(self.ends, x)
-                fits = (m.bitwiseAND(ends) == ends) & (F.bit_count(m.bitwiseAND(F.get(self.inner, x))) == 1)
-                return F.when(fits, m.bitwiseAND(F.get(self.cut, x))).otherwise(m)
+            def at(k: Column) -> Column:
+                def with_merged(m: Column) -> Column:
+                    parts = F.transform(p, lambda x, i: F.when(i == k, m).when(i == k + 1, F.lit(None)).otherwise(x))
+                    pairs = F.transform(r, lambda x, i: F.when(i == k, F.lit(None))
+                                        .when(i == k - 1, self.merge_rank(F.concat(F.get(p, k - 1), m)))
+                                        .when(i == k + 1, self.merge_rank(F.concat(m, F.get(p, k + 2)))).otherwise(x))
+                    return F.struct(F.array_compact(parts).alias("p"), F.array_compact(pairs).alias("r"))
 
-            return _let(e.bitwiseAND(F.lit(4095).cast("long")).cast("int"), take)
+                return _let(F.concat(F.get(p, k), F.get(p, k + 1)), with_merged)
 
-        def parts(m: Column) -> Column:
-            cuts = F.filter(F.sequence(F.lit(0), n), lambda i: m.bitwiseAND(F.get(self.bits, i)) != 0)
-            return _let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda i, at: self.rank(self.span(word, i, F.get(c, at + 1)))))
+            # Rank and place in one number (array_position is slow: it ends by an exception where it finds something).
+            ranked = F.array_min(F.transform(r, lambda x, i: x * LONG_WORD + i))
+            return _let(ranked, lambda low: F.when(low < NO_MERGE * LONG_WORD, _let(low % LONG_WORD, at)).otherwise(acc))
 
-        merges = F.sort_array(F.array_compact(F.transform(F.get(self.spans, n), coded)))
-        folded = F.aggregate(merges, F.get(self.bits, n + 1) - 1, step, parts)
+        folded = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: F.transform(acc["p"], self.rank))
         return F.when(n > LONG_WORD, F.lit(None)).otherwise(
             _let(self.rank(word), lambda w: F.when(w.isNotNull() | (n == 1), F.array(w)).otherwise(folded)))
 
