@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulselake.plans import hrv
+from pulselake.plans import hrv, sequences
 
-MODULES = (hrv,)
+MODULES = (hrv, sequences)
 
 
 def queries() -> dict:
