@@ -18,7 +18,7 @@ from pulselake.llm.components import components
 SHINGLE = 5
 PERCENT = 80
 #: The frequency sketch has a byte for each cell, and this many cells at most: what is broadcast stays bounded.
-MOST_CELLS = 1 << 24
+MOST_CELLS = 1 << 25
 SLICES = 64
 #: Salts among which the rows of a frequent signature are dealt.
 SALTS = 32
@@ -87,13 +87,27 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["slice", "cells"])
 
 
+def _commonness(id_col: str, text_col: str, k: int, sketch):
+    """How frequent a set's shingles are on average. Of a group of edited copies, the original has the highest: every
+    edit brings shingles of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.frombuffer(sketch.value, np.uint8)
+        mask = np.uint64(len(cells) - 1)
+        for part in blocks(batches, text_col):
+            rows = [(_vertex(h), float(cells[(h & mask).astype(np.int64)].mean())) for _, h in _sets(part, id_col, text_col, k) if len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["x", "common"])
+
+    return run
+
+
 def level_of(n: int) -> int:
     """Size class: linked sets, whose sizes differ by a factor of 1.25 at most, are in the same or neighbouring classes."""
     return int(math.log(n) / math.log(1.25) + 1e-9)
 
 
 def signatures(h: np.ndarray, counts: np.ndarray, cutoff: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set (sorted distinct hashes h, with the frequency of each), and which of them are combinations.
+    """Signatures of one set (sorted distinct hashes h, with the frequency of each), and each one's place in the order; -1: a combination.
 
     Tokens are taken in the global order of (frequency, hash). Two sets that link miss at most n - ceil(t n) of
     either's tokens, so a prefix has to be long enough that so many misses can't empty it. A rare token in the
@@ -104,12 +118,12 @@ def signatures(h: np.ndarray, counts: np.ndarray, cutoff: int, percent: int = PE
     """
     n = len(h)
     if n < 2:  # a set of one token links with equal sets only
-        return h[:0], np.zeros(0, bool)
+        return h[:0], np.zeros(0, np.int32)
     order = np.argsort(counts, kind="stable")
     need = n - (percent * n + 99) // 100 + 1
     rare = int((counts <= cutoff).sum())
     if rare >= need:
-        return h[order[:need]], np.zeros(need, bool)
+        return h[order[:need]], np.arange(need, dtype=np.int32)
     out = [h[order[:rare]]]
     frequent = h[order[rare:]]
     for tag in (level_of(n), level_of(n) + 1):
@@ -126,7 +140,7 @@ def signatures(h: np.ndarray, counts: np.ndarray, cutoff: int, percent: int = PE
         right = left + 1 + np.arange(len(left)) - np.repeat(np.concatenate([[0], np.cumsum(ends - np.arange(len(own)) - 1)[:-1]]), ends - np.arange(len(own)) - 1)
         out.append(mix(tokens[left] * np.uint64(0x9E3779B97F4A7C15) + mix(tokens[right] + np.uint64(tag))))
     sig = np.concatenate(out)
-    return sig, np.arange(len(sig)) >= rare
+    return sig, np.where(np.arange(len(sig)) < rare, np.arange(len(sig)), -1).astype(np.int32)
 
 
 def _sign(id_col: str, text_col: str, k: int, percent: int, sketch, cutoff: int):
@@ -149,7 +163,7 @@ def _sign(id_col: str, text_col: str, k: int, percent: int, sketch, cutoff: int)
                 n.append(len(h))
             if sigs:
                 spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(combined)), spread(v), spread(c), spread(n)], names=["sig", "combo", "v", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(combined)), spread(v), spread(c), spread(n)], names=["sig", "pos", "v", "c", "n"])
 
     return run
 
@@ -161,17 +175,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     sig, v, c = (np.concatenate([b[x].to_numpy() for b in got]) for x in ("sig", "v", "c"))
-    combo = np.concatenate([b["combo"].to_numpy(zero_copy_only=False) for b in got])
-    n = np.concatenate([b["n"].to_numpy() for b in got])
+    pos, n = (np.concatenate([b[x].to_numpy() for b in got]) for x in ("pos", "n"))
     order = np.lexsort((c, v, sig))
-    sig, v, c, combo, n = (x[order] for x in (sig, v, c, combo, n))
+    sig, v, c, pos, n = (x[order] for x in (sig, v, c, pos, n))
     first = np.ones(len(sig), bool)
     first[1:] = (sig[1:] != sig[:-1]) | (v[1:] != v[:-1])
-    sig, v, c, combo, n = (x[first] for x in (sig, v, c, combo, n))
+    sig, v, c, pos, n = (x[first] for x in (sig, v, c, pos, n))
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     several = np.minimum.reduceat(c, starts) < np.maximum.reduceat(c, starts)
-    keep = np.repeat(several, np.diff(np.append(starts, len(sig)))) | combo
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, v, c, n)], names=["sig", "v", "c", "n"])
+    keep = np.repeat(several, np.diff(np.append(starts, len(sig)))) | (pos < 0)
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, v, c, n, pos)], names=["sig", "v", "c", "n", "pos"])
 
 
 def _exact(percent: int):
@@ -219,12 +232,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents with equal shingle sets are one vertex. Steps:
     1. One pass gives each document's vertex, set size and three min-hash keys, and a frequency sketch of shingles
        over all documents: a byte for each of a bounded number of cells, never below a shingle's true frequency.
-    2. Vertices that share a min-hash key with the key's smallest vertex are compared with it, exactly. This joins
-       the bulk of large groups of copies by a star instead of all their pairs.
+    2. Vertices are compared, exactly, with the vertex of most frequent shingles among those that share a min-hash
+       key. This joins the bulk of large groups of copies by a star around the original instead of all their pairs.
     3. A second pass signs every set (see signatures). A rare signature is found in a bounded number of documents by
        the sketch; combinations are salted. Only signatures that two different components share go on.
-    4. All pairs of vertices from different components that share a signature and pass the length filter are
-       verified exactly; with step 2's links they give the components. Pairs inside one component need no look, so
+    4. All pairs of vertices from different components that share a signature and pass the length and
+       positional filters are verified exactly; with step 2's links they give the components. Pairs inside one component need no look, so
        no link between components is lost.
 
     Fewer than k words: the whole sequence is the one shingle. Null or empty text, or no words: no shingles, no links, the
@@ -239,14 +252,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = seen.where("slice is null")
     slices = seen.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(_add_slices, "slice int, cells binary").collect()  # cells bytes in all
     sketch = np.concatenate([np.frombuffer(bytes(r["cells"]), np.uint8) for r in sorted(slices, key=lambda r: r["slice"])]) if slices else np.zeros(cells, np.uint8)
-    # Twice what cells hold on average, and as much as keeps the pairs of a rare signature few.
+    # Well above what cells hold on average, and few enough to keep the pairs of a rare signature bounded.
     cutoff = int(min(250, max(32, 4 * sketch.mean())))
     shared = spark.sparkContext.broadcast(sketch.tobytes())
 
     reps = profile.where("doc is not null and n > 0").groupBy("v", "n", "k0", "k1", "k2").agg(F.min("doc").alias("doc"))
     reps = materialize(reps, "vertices")
-    keyed = reps.select("v", "n", F.posexplode(F.array("k0", "k1", "k2")).alias("p", "key"))
-    hubs = keyed.groupBy("p", "key").agg(F.min(F.struct("v", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    common = docs.mapInArrow(_commonness(id_col, text_col, k, shared), "x long, common double").groupBy("x").agg(F.max("common").alias("common"))
+    keyed = reps.join(common, reps["v"] == common["x"]).select("v", "n", "common", F.posexplode(F.array("k0", "k1", "k2")).alias("p", "key"))
+    hubs = keyed.groupBy("p", "key").agg(F.max(F.struct("common", "v", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     stars = keyed.join(hubs, ["p", "key"]).select(F.col("hub.v").alias("u"), F.col("hub.n").alias("nu"), "v", "n").where(F.col("u") != F.col("v")).where(_near_sizes("nu", "n", percent))
     stars = materialize(stars.select("u", "v").distinct(), "pairs")
     ids = reps.select("v", "doc")
@@ -255,13 +269,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     grouped = materialize(profile.where("doc is not null").join(comp, profile["v"] == comp["node"]).select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), F.col("component").alias("_c")).distinct(), "grouped")
     to_sign = docs.where(F.col(id_col).isNotNull()).join(sized(grouped), docs[id_col] == F.col("_doc"), "left").select(id_col, text_col, "_v", "_c")
-    signed = to_sign.mapInArrow(_sign(id_col, text_col, k, percent, shared, cutoff), "sig long, combo boolean, v long, c long, n long")
-    salt = F.when(F.col("combo"), F.pmod("v", F.lit(SALTS))).otherwise(0)
-    common = materialize(signed.repartition(partitions(spark), "sig", salt).mapInArrow(_shared, "sig long, v long, c long, n long"), "signatures")
+    signed = to_sign.mapInArrow(_sign(id_col, text_col, k, percent, shared, cutoff), "sig long, pos int, v long, c long, n long")
+    salt = F.when(F.col("pos") < 0, F.pmod("v", F.lit(SALTS))).otherwise(0)
+    common = materialize(signed.repartition(partitions(spark), "sig", salt).mapInArrow(_shared, "sig long, v long, c long, n long, pos int"), "signatures")
     several = common.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
     common = materialize(common.join(several, "sig", "left_semi"), "signatures")
-    a, b = common.select("sig", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu")), common
-    pairs = a.join(b, "sig").where("cu < c").where(_near_sizes("nu", "n", percent)).select("u", "v", "cu", "c").distinct()
+    a, b = common.select("sig", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("pos").alias("pu")), common
+    # Positional filter: a pair that links has at least `least` shingles in common, and its first common signature
+    # comes early enough in both sets to leave room for them.
+    least = F.expr(f"({percent} * (nu + n) + {99 + percent}) div {100 + percent}")
+    pairs = a.join(b, "sig").where("cu < c").where(_near_sizes("nu", "n", percent)).where((F.col("pu") + least <= F.col("nu")) & (F.col("pos") + least <= F.col("n"))).select("u", "v", "cu", "c").distinct()
     pairs = materialize(pairs, "pairs")
     more = _verify(docs, ids, pairs, id_col, text_col, k, percent)
     # Links of the second kind join whole components.
