@@ -44,7 +44,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, groups: tuple = IDENTITY_GROUPS, penalty: float = 10.0, l2: float = 5e-5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, groups: tuple = IDENTITY_GROUPS, penalty: float = 10.0, l2: float = 1e-3) -> Model:
     """A logistic classifier on the presence of words, fitted on at most most_rows labelled rows.
 
     The rows are those of least hashed id, so the sample is the same in every run. Words are chosen by their
@@ -90,12 +90,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     goes, comes = np.array(swaps, int).reshape(-1, 2).T
 
     k = len(vocabulary)
-    w, b = np.zeros(k), float(np.log(pos / (n - pos)))
+    # Weights are drawn towards each word's own log odds (towards 0 for identity words): a word that always comes with
+    # others of its kind then still counts where it stands alone.
+    rate = pos / n
+    df, tp = np.bincount(feature, minlength=k), np.bincount(feature, y[at], k)
+    prior = np.log((tp + rate) / (df - tp + 1 - rate)) - np.log(rate / (1 - rate))
+    prior[[number[x] for x in named]] = 0.0
+    w, b = prior.copy(), float(np.log(pos / (n - pos)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, 401):
         z = b + np.bincount(at, w[feature], len(rows))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-        g = np.bincount(feature, e[at], k) + l2 * w
+        g = np.bincount(feature, e[at], k) + l2 * (w - prior)
         change = (w[goes] - w[comes]) * (2 * penalty / len(goes))
         g += np.bincount(goes, change, k) - np.bincount(comes, change, k)
         g = np.append(g, e.sum())
