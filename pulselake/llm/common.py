@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import functools
 import tempfile
 import uuid
 
@@ -122,7 +121,6 @@ class Words:
 _SPAN = 1 << 18
 
 
-@functools.lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     up, down = np.full(_SPAN + 1, _BASE, np.uint64), np.full(_SPAN + 1, pow(_BASE, -1, 2**64), np.uint64)
