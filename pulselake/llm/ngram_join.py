@@ -22,6 +22,9 @@ MOST_CELLS = 1 << 25
 SLICES = 64
 #: Salts among which the rows of a frequent signature are dealt.
 SALTS = 32
+#: Longs of a set's parity bitmap.
+LONGS = 16
+BITS = [f"b{i}" for i in range(LONGS)]
 
 
 def _sets(part: pa.Table, id_col: str, text_col: str, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,21 +46,30 @@ def _vertex(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """A bitmap of the set: whether the number of its hashes with each leading bits is odd. Bitmaps of two sets differ in
+    as many bits at most as the sets differ in hashes."""
+    odd = np.bincount((h >> np.uint64(64 - (64 * LONGS - 1).bit_length())).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _profile(id_col: str, text_col: str, k: int, cells: int):
-    """A row for each document (vertex, set size, three keys of minimum hashes); then the task's frequency sketch in slices."""
+    """A row for each document (vertex, set size, three keys of minimum hashes, bitmap); then the task's frequency sketch in slices."""
+    names = ["doc", "v", "n", "k0", "k1", "k2", *BITS, "slice", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(cells, np.uint8)
         mask = np.uint64(cells - 1)
         seeds = mix(np.arange(1, 7, dtype=np.uint64))
         for part in blocks(batches, text_col):
-            vs, ns, keys = [], [], []
+            vs, ns, keys, bits = [], [], [], []
             for _, h in _sets(part, id_col, text_col, k):
                 at = (h & mask).astype(np.int64)
                 now = sketch[at]
                 sketch[at] = now + (now < 255)
                 vs.append(_vertex(h))
                 ns.append(len(h))
+                bits.append(_parity(h))
                 if len(h):
                     low = [int(mix(h ^ s).min()) for s in seeds]
                     keys.append([hash((a, b, c)) for c, (a, b) in enumerate(zip(low[::2], low[1::2], strict=True))])
@@ -66,13 +78,13 @@ def _profile(id_col: str, text_col: str, k: int, cells: int):
             rows = part.num_rows
             yield pa.RecordBatch.from_arrays([
                 part[id_col].combine_chunks().cast(pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64()),
-                *[pa.array([x[i] for x in keys], pa.int64()) for i in range(3)],
+                *[pa.array([x[i] for x in keys], pa.int64()) for i in range(3)], *[pa.array(x) for x in np.array(bits, np.int64).reshape(rows, LONGS).T],
                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
-            ], names=["doc", "v", "n", "k0", "k1", "k2", "slice", "cells"])
+            ], names=names)
         step = cells // SLICES
         packed = [zlib.compress(sketch[i * step : (i + 1) * step].tobytes(), 1) for i in range(SLICES)]
         empty = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([empty] * 6 + [pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["doc", "v", "n", "k0", "k1", "k2", "slice", "cells"])
+        yield pa.RecordBatch.from_arrays([empty] * (6 + LONGS) + [pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
@@ -226,6 +238,34 @@ def _near_sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _candidates(common: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, cu, c) of vertices from different components that share a signature and may link.
+
+    Signatures of the same vertices give the same pairs, so of those one combination is kept (a passage that many
+    documents share makes many such). A signature's vertices outside its largest component meet all its vertices; those
+    inside it don't meet each other. Filters, exact all: length; for rare signatures, position: a pair that links has
+    at least `least` shingles in common, and its first common signature comes early enough in both sets to leave room
+    for them; for combinations, bitmaps, which may differ in as many bits as the sets may differ in shingles.
+    """
+    each = common.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"), F.max("pos").alias("pos"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("y"))
+    per = each.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.max("pos").alias("pos"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    per = materialize(per.where("c0 < c1").select("sig", "pos", "m", "x", "y", F.col("top.c").alias("big")), "postings")
+    least = F.expr(f"({percent} * (nu + n) + {99 + percent}) div {100 + percent}")
+
+    def meet(kept: DataFrame, more: list[str], condition) -> DataFrame:
+        b = kept.select("sig", "v", "c", "n", "big", *more)
+        a = b.where("c <> big").select("sig", *[F.col(x).alias(f"{x}u") for x in more], F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"))
+        return a.join(b, "sig").where("cu <> c and (c = big or cu < c)").where(_near_sizes("nu", "n", percent)).where(condition).select("u", "v", "cu", "c")
+
+    rare = common.join(per.where("pos >= 0").select("sig", "big"), "sig")
+    found = meet(rare, ["pos"], (F.col("posu") + least <= F.col("nu")) & (F.col("pos") + least <= F.col("n")))
+    one = per.where("pos < 0").groupBy("m", "x", "y").agg(F.min(F.struct("sig", "big")).alias("s")).select("s.sig", "s.big")
+    bitmaps = reps.select(F.col("v").alias("_v"), *BITS)
+    combined = common.join(one, "sig").join(bitmaps, F.col("v") == F.col("_v"))
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}u"))) for b in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(f"{BITS[0]}u"))))
+    return found.unionByName(meet(combined, BITS, differ <= F.col("nu") + F.col("n") - 2 * least)).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) of each document, over all links of Jaccard percent / 100 or more.
 
@@ -236,8 +276,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        key. This joins the bulk of large groups of copies by a star around the original instead of all their pairs.
     3. A second pass signs every set (see signatures). A rare signature is found in a bounded number of documents by
        the sketch; combinations are salted. Only signatures that two different components share go on.
-    4. All pairs of vertices from different components that share a signature and pass the length and
-       positional filters are verified exactly; with step 2's links they give the components. Pairs inside one component need no look, so
+    4. All pairs of vertices from different components that share a signature and pass the length, positional and
+       bitmap filters (see _candidates) are verified exactly; with step 2's links they give the components. Pairs inside one component need no look, so
        no link between components is lost.
 
     Fewer than k words: the whole sequence is the one shingle. Null or empty text, or no words: no shingles, no links, the
@@ -248,7 +288,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     cells = 1 << min(MOST_CELLS.bit_length() - 1, max(14, int(size // 24).bit_length()))
-    seen = materialize(docs.mapInArrow(_profile(id_col, text_col, k, cells), "doc long, v long, n long, k0 long, k1 long, k2 long, slice int, cells binary"), "profile")
+    seen = materialize(docs.mapInArrow(_profile(id_col, text_col, k, cells), f"doc long, v long, n long, k0 long, k1 long, k2 long, {', '.join(f'{b} long' for b in BITS)}, slice int, cells binary"), "profile")
     profile = seen.where("slice is null")
     slices = seen.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(_add_slices, "slice int, cells binary").collect()  # cells bytes in all
     sketch = np.concatenate([np.frombuffer(bytes(r["cells"]), np.uint8) for r in sorted(slices, key=lambda r: r["slice"])]) if slices else np.zeros(cells, np.uint8)
@@ -256,7 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cutoff = int(min(250, max(32, 4 * sketch.mean())))
     shared = spark.sparkContext.broadcast(sketch.tobytes())
 
-    reps = profile.where("doc is not null and n > 0").groupBy("v", "n", "k0", "k1", "k2").agg(F.min("doc").alias("doc"))
+    reps = profile.where("doc is not null and n > 0").groupBy("v", "n", "k0", "k1", "k2").agg(F.min("doc").alias("doc"), *[F.min(b).alias(b) for b in BITS])
     reps = materialize(reps, "vertices")
     common = docs.mapInArrow(_commonness(id_col, text_col, k, shared), "x long, common double").groupBy("x").agg(F.max("common").alias("common"))
     keyed = reps.join(common, reps["v"] == common["x"]).select("v", "n", "common", F.posexplode(F.array("k0", "k1", "k2")).alias("p", "key"))
@@ -272,14 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = to_sign.mapInArrow(_sign(id_col, text_col, k, percent, shared, cutoff), "sig long, pos int, v long, c long, n long")
     salt = F.when(F.col("pos") < 0, F.pmod("v", F.lit(SALTS))).otherwise(0)
     common = materialize(signed.repartition(partitions(spark), "sig", salt).mapInArrow(_shared, "sig long, v long, c long, n long, pos int"), "signatures")
-    several = common.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-    common = materialize(common.join(several, "sig", "left_semi"), "signatures")
-    a, b = common.select("sig", F.col("v").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("pos").alias("pu")), common
-    # Positional filter: a pair that links has at least `least` shingles in common, and its first common signature
-    # comes early enough in both sets to leave room for them.
-    least = F.expr(f"({percent} * (nu + n) + {99 + percent}) div {100 + percent}")
-    pairs = a.join(b, "sig").where("cu < c").where(_near_sizes("nu", "n", percent)).where((F.col("pu") + least <= F.col("nu")) & (F.col("pos") + least <= F.col("n"))).select("u", "v", "cu", "c").distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_candidates(common, reps, percent), "pairs")
     more = _verify(docs, ids, pairs, id_col, text_col, k, percent)
     # Links of the second kind join whole components.
     joined = more.join(pairs, ["u", "v"]).select(F.col("cu").alias("u"), F.col("c").alias("v"))
