@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulselake.plans import hrv, sequences
+from pulselake.plans import hrv, sequences, wellness
 
-MODULES = (hrv, sequences)
+MODULES = (hrv, sequences, wellness)
 
 
 def queries() -> dict:
