@@ -54,7 +54,7 @@ def rr_intervals_train(spark, d):
 
 
 def hrv_series(spark, d):
-    """Spectrum, sample entropy and scaling exponent of each user's beats (checked against a plain twin in the tests)."""
+    """Spectrum, sample entropy and scaling exponent of each user's beats (no SQL; the tests check that it runs)."""
     return hrv.series_features(_rr(spark, d).select("user_id", "ts", "event_id", "rr"), ["user_id"], ["ts", "event_id"])
 
 

@@ -50,7 +50,7 @@ def daily_sunlight(spark, d):
 
 
 def place_stays(spark, d):
-    """Stays, places with labels and their diversity; order-dependent, so checked against a plain twin in the tests."""
+    """Stays, places with labels and their diversity; order-dependent, so the operators are tested on literal cases."""
     p = events(spark, d).select("user_id", "event_id", F.col("ms").alias("ts_ms"), (30 + F.floor(F.coalesce("k", F.lit(0.0)) / 34) * 0.01).alias("lat"), (31 + F.pmod("user_id", F.lit(7)) * 0.01).alias("lon"))
     v = places.stays(p)
     by = ["user_id"]
