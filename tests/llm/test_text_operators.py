@@ -3,13 +3,14 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulselake.llm import registry
+from pulselake.llm import licenses, registry
 from pulselake.llm.bpe import decode, encode, heap_merge, load_ranks
 from pulselake.llm.licenses import scan_licenses
 from pulselake.llm.ngram_join import jaccard_components, level_of, signatures
@@ -181,6 +182,51 @@ def test_licenses_blocks_and_odd_rows(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def license_labels(text, templates=licenses.TEMPLATES, block=licenses.BLOCK):
+    """Labels and score by a plain scan of every block of a whole text."""
+    w = re.findall(licenses.LICENSE_WORD, (text or "").translate(brute.FOLD))
+    phrases = {label for p, label in licenses.PHRASES for n in range(len(w)) if w[n : n + len(p.split())] == p.split()}
+    found = {}
+    for label, t in templates:
+        words, length = set(t.split()), max(block, 2 * len(t.split()))
+        telling = words & set(licenses.MARKS)
+        least = 1 if len(words) < licenses.SHORT and not telling else licenses.THRESHOLD
+        for n in range(0, max(len(w), 1), length // 2):
+            b = set(w[n : n + length])
+            share = len(b & words) / len(words)
+            if telling <= b and share >= least - 1e-12:
+                found[label] = max(share, found.get(label, 0))
+    return ",".join(sorted(phrases | set(found))), 1.0 if phrases else max(found.values(), default=0.0)
+
+
+@pytest.mark.parametrize("d", ["sf0.001", "sf0.01"])
+def test_op8_labels_equal_brute_force(spark, d):
+    texts = spark.read.parquet(f"/root/testdata/{d}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.labels, r.score) for r in registry.queries()["op8_licenses"](spark, f"/root/testdata/{d}").collect()}
+    want = {i: license_labels(t) for i, t in texts}
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert {i: x for i, (_, x) in got.items()} == pytest.approx({i: x for i, (_, x) in want.items()})
+
+
+def test_licenses_told_apart(spark):
+    rows = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Licensed under CC BY 4.0.": "cc-by",
+        "Released under CC BY-SA 4.0": "cc-by,cc-by-sa", "Released under the Apache License, Version 2.0": "apache", "Licensed under the Apache 2.0 License": "apache",
+        "Licensed under the GPL license, version 2.0": "", "Released under the license of the city": "", "This work is licensed under the Eclipse Public License version 3": "", "Released under the MIT License": "mit",
+    }
+    got = {r.text: r.labels for r in scan_licenses(spark.createDataFrame([(x,) for x in rows], "text string")).collect()}
+    assert got == rows
+
+
+def test_licenses_long_templates(spark):
+    long = " ".join(f"n{i}" for i in range(40)), " ".join(f"l{i}" for i in range(90))
+    templates = (*licenses.TEMPLATES, ("own", long[0]), ("longer", long[1]), ("few", "all rights kept here"))
+    rows = ["x " * n + t + " y" * 70 for t in long for n in (0, 20, 47, 100)] + ["all rights here", "all rights kept here", "Licensed under CC " + "x " * 60 + "BY SA 4 0"]
+    got = {r.text: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame([(x,) for x in rows], "text string"), templates=templates).collect()}
+    assert got == {x: license_labels(x, templates) for x in rows}
+    assert [got[x][0] for x in rows] == ["own"] * 4 + ["longer"] * 4 + ["", "few", ""]
+
+
 def test_op10_equals_brute_force(spark, sf_dir, docs):
     got = registry.queries()["op10_substring_dedup"](spark, sf_dir).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute.remove_repeats(docs))
