@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import materialize, partitions, table
+from pulselake.llm.common import materialize, partitions, sized, table
 from pulselake.llm.components import components
 from pulselake.llm.vectors import by_length
 
@@ -23,14 +23,14 @@ BLOCK = 512
 
 
 def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, digest) of each row; digest is null for vectors that link with nothing."""
+    """(id, digest, x) of each row; digest is null for vectors that link with nothing."""
     for batch in batches:
         digest: list = [None] * batch.num_rows
         for rows, x in by_length(batch["x"]):
             for r, v in zip(rows, x + 0.0, strict=True):  # -0.0 becomes 0.0
                 if v.any():
                     digest[r] = hashlib.blake2b(v.tobytes(), digest_size=16).hexdigest()
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digest, pa.string())], names=["id", "digest"])
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(digest, pa.string()), batch["x"]], names=["id", "digest", "x"])
 
 
 def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
@@ -128,18 +128,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spanning forest, never all pairs. Cosines are exact doubles, so no link found is below the threshold.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, as do vectors of different
-    lengths with each other. A null id: no links, null component. Rows with one id and equal vectors are two vectors
-    in counts. An empty table gives no rows; other columns are ignored.
+    lengths with each other. A null id: no links, null component. Ids may repeat: each row counts as a vector of its own,
+    whether the vectors of an id are equal or not, and component_id is the least id of the rows that a row is linked
+    to by its own vector; kept goes by the id, so all rows with a component's least id are kept. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
-    known = materialize(rows.mapInArrow(_identify, "id long, digest string"), "digests")
+    named = rows.mapInArrow(_identify, f"id long, digest string, x {rows.schema['x'].dataType.simpleString()}")
+    known = materialize(named.select("id", "digest"), "digests")
     usable = known.where("digest is not null and id is not null")
-    reps = materialize(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "vectors")
+    reps = usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
+    reps = materialize(reps.withColumn("vertex", F.monotonically_increasing_id()), "vectors")
     n = reps.count()
     bits = min(30, max(8, math.ceil(math.log2(max(n, 2))) + 3))
     tables = table_count(bits, cosine, miss)
-    one = rows.join(reps.groupBy("rep").agg(F.max("w").alias("w")), rows["id"] == F.col("rep")).select("id", "w", "x")
+    once = named.where("digest is not null and id is not null").select("digest", "x").dropDuplicates(["digest"])
+    one = once.join(reps, "digest").select(F.col("vertex").alias("id"), "w", "x")
     hashed = one.mapInArrow(_hash(bits, tables, seed), "id long, w long, codes array<int>, packed binary, v binary")
     hashed = materialize(hashed.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "hashed")
     entries = hashed.select("id", "own", F.octet_length("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
@@ -147,15 +151,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = entries.join(full, ["t", "code", "dim"]).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod("own", F.col("nb")).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("id", "t", (F.col("code").cast("long") * 65536 + F.col("dim")).alias("code"), "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("id", "t", (F.col("code").cast("long") * (1 << 32) + F.col("dim")).alias("code"), "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = dealt.join(hashed.select("id", "w", "packed", "v"), "id")
     found = groups.repartition(partitions(spark), "t", "code", "i", "j").mapInArrow(_compare(cosine), "u long, v long, w long")
     found = materialize(found, "links")
-    counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("more"))
-    comp = components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
-    placed = reps.join(counts, "rep", "left").join(comp, "rep", "left")
+    counts = found.where("v is null").groupBy(F.col("u").alias("vertex")).agg(F.sum("w").alias("more"))
+    comp = components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "vertex")
+    least = materialize(comp.join(reps, "vertex").groupBy("component").agg(F.min("rep").alias("least")), "least")
+    placed = reps.join(counts, "vertex", "left").join(comp, "vertex", "left").join(sized(least), "component", "left")
     out = known.join(placed, "digest", "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.coalesce("least", "rep", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("id").isNull(), 0).otherwise(F.coalesce(F.col("w") - 1 + F.coalesce("more", F.lit(0)), F.lit(0))).cast("long").alias("n_links"),

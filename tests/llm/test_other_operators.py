@@ -78,6 +78,27 @@ def test_vectors_in_large_buckets(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(149, 0)}
 
 
+def test_vectors_with_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((4, 12)) * 9
+    near = lambda c: [float(x) for x in centres[c] + rng.standard_normal(12) * 0.05]
+    a, b, c = near(0), near(1), near(2)
+    rows = [(1, a), (1, a), (2, near(0))]  # one id, equal vectors, and a neighbour
+    rows += [(5, b), (5, c), (3, near(1)), (4, near(2))]  # one id, vectors of two components
+    rows += [(7, a), (7, a[:5]), (8, a[:5]), (7, None), (0, near(3)), (0, near(3))]  # one id, vectors of two lengths
+    rows += [(9, near(3)[:6]), (9, near(3)), (None, a)]
+    n, comp = vector_links(list(range(len(rows) - 1)), [v for _, v in spark.createDataFrame(rows, "i long, v array<float>").collect()])
+    least = {}
+    for i, c in comp.items():
+        least[c] = min(rows[i][0], least.get(c, rows[i][0]))
+    want = [(rows[i][0], n[i], least[comp[i]], rows[i][0] == least[comp[i]]) for i in n] + [(None, 0, None, False)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), miss=1e-9).collect()
+    order = lambda rs: sorted(rs, key=repr)
+    assert order(map(tuple, got)) == order(want)
+    six = [(6, a), (6, a)]
+    assert [r.n_links for r in near_vectors(spark.createDataFrame(six, "vec_id long, embedding array<float>")).collect()] == [1, 1]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(20)] + [(7, 7), (3, 2), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
