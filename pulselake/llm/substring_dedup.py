@@ -17,9 +17,8 @@ from pulselake.llm.fm_index import FMIndex
 WINDOW = 35
 #: Words of an anchor.
 ANCHOR = 8
-#: Anchors with more distinct regions than this have their windows dealt to salted shards.
+#: Anchors with more distinct regions than this have their windows counted by hash, one by one, and not indexed.
 HOT_REGIONS = 2000
-SALTS = 64
 
 
 class Regions:
@@ -81,7 +80,7 @@ def _find(window: int):
 
 
 def _cut(window: int):
-    """Of each text, the regions asked for, with their words; windows of hot anchors one by one."""
+    """Of each text, the regions asked for: the words, or for hot anchors the hash of each window (words null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "_t", 4 << 20):
@@ -91,6 +90,7 @@ def _cut(window: int):
             cols: list[list] = [[] for _ in range(6)]
             bounds = np.searchsorted(r.doc, np.arange(part.num_rows + 1))
             wanted_all = part["wanted"].to_pylist()
+            hashes = None  # of all windows of the block, once one is asked for
             for row in range(part.num_rows):
                 wanted = {(x["anchor"], x["digest"]): (x["m"], x["hot"]) for x in wanted_all[row]}
                 own, key = words.offsets[row], part["_k"][row].as_py()
@@ -100,48 +100,56 @@ def _cut(window: int):
                     if not m:
                         continue
                     s, e = int(r.begin[i]), int(r.end[i])
-                    spans = [(x, x + window) for x in range(s, e - window + 1)] if hot else [(s, e)]
                     if hot:
-                        at = np.array(spans, np.int64)
-                        salts = (r.run_hash(at[:, 0], at[:, 1]) % np.uint64(SALTS)).tolist()
-                    for j, (x, y) in enumerate(spans):
-                        text = data[words.begin[x] : words.end[y - 1]].tobytes()
-                        for c, v in zip(cols, (int(a[i]), salts[j] if hot else 0, key, x - own, text, m), strict=True):
+                        if hashes is None:
+                            at = np.arange(len(words.hashes) - window + 1)
+                            hashes = r.run_hash(at, at + window).view(np.int64)
+                        found = [(x - own, int(hashes[x]), None) for x in range(s, e - window + 1)]
+                    else:
+                        found = [(s - own, None, data[words.begin[s] : words.end[e - 1]].tobytes())]
+                    for x, h, text in found:
+                        for c, v in zip(cols, (int(a[i]), h, key, x, text, m), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.int64())], names=["anchor", "salt", "k", "s", "words", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.int64())], names=["anchor", "hash", "k", "s", "words", "m"])
 
     return run
 
 
-def _search(window: int, most_words: int = 2_000_000):
-    """Index the regions of a shard (a partition: whole anchors) and stream them through the index."""
+def _whole_anchors(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
+    """Tables of whole anchors, of about most_bytes of words, from rows in the order of their anchors."""
+    held: list[pa.Table] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.nbytes
+        if size < most_bytes:
+            continue
+        t = pa.concat_tables(held)
+        anchor = t["anchor"].to_numpy()
+        last = int(np.searchsorted(anchor, anchor[-1]))  # rows of the last anchor may go on
+        if last:
+            yield t.slice(0, last)
+        held = [t.slice(last)]
+        size = held[0].nbytes
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _search(window: int, most_bytes: int = 16 << 20):
+    """Index the regions of whole anchors, which come in order, and stream them through the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        # Words are one space apart at least, so texts may be laid end to end with their offsets.
-        words = Words(*arrow_bytes(t["words"]), fold=False)
-        anchor, salt = t["anchor"].to_numpy(), t["salt"].to_numpy()
-        order = np.lexsort((salt, anchor))
-        sizes = np.diff(words.offsets)[order]
-        group = np.ones(len(order), bool)
-        group[1:] = (anchor[order][1:] != anchor[order][:-1]) | (salt[order][1:] != salt[order][:-1])
-        begins = np.append(np.flatnonzero(group), len(order))
-        filled = np.concatenate([[0], np.cumsum(sizes)])[begins]
-        keys, starts, weights = t["k"].to_numpy(), t["s"].to_numpy(), t["m"].to_numpy()
-        at = 0
-        while at < len(begins) - 1:  # indexes of whole anchors, of about most_words words
-            to = max(at + 1, int(np.searchsorted(filled, filled[at] + most_words, side="right")) - 1)
-            rows = order[begins[at] : begins[to]]
-            own = np.concatenate([words.hashes[words.offsets[i] : words.offsets[i + 1]] for i in rows])
-            index = FMIndex(own, np.concatenate([[0], np.cumsum(np.diff(words.offsets)[rows])]), weights[rows])
-            text, end, length = index.matching_statistics(np.flatnonzero(weights[rows] == 1), window)
+        for t in _whole_anchors(batches, most_bytes):
+            # Words are one space apart at least, so texts may be laid end to end with their offsets.
+            words = Words(*arrow_bytes(t["words"]), fold=False)
+            keys, starts, weights = t["k"].to_numpy(), t["s"].to_numpy(), t["m"].to_numpy()
+            index = FMIndex(words.hashes, words.offsets, weights)
+            text, end, length = index.matching_statistics(np.flatnonzero(weights == 1), window)
             hit = length >= window
             text, end, length = text[hit], end[hit], length[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows[text]]), pa.array((starts[rows[text]] + end - length).astype(np.int32)), pa.array((starts[rows[text]] + end).astype(np.int32))], names=["k", "s", "e"])
-            at = to
+            yield pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array((starts[text] + end - length).astype(np.int32)), pa.array((starts[text] + end).astype(np.int32))], names=["k", "s", "e"])
 
     return run
 
@@ -182,7 +190,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
        builds FM-indexes over them, weighted by how often each occurs, and streams the regions through: backward
        search gives the longest run that ends at each word and occurs twice; runs of window words or more are
        reported. As every window is in one region and equal windows meet in one shard, nothing is missed or
-       counted twice. Windows of an anchor with very many regions go to salted shards by their own hash.
+       counted twice. A shard reads its anchors in order and holds few at a time. Windows of an anchor with very many
+       regions are not indexed: their hashes are counted by an aggregation that combines before the shuffle.
     3. The reported spans of each document are removed.
 
     Null or empty text: no words, kept text empty. Fewer words than a window: kept. Very long texts are treated whole;
@@ -201,8 +210,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     wanted = distinct.join(mixed, "anchor").groupBy("k").agg(F.collect_list(F.struct("anchor", "digest", "m", "hot")).alias("wanted"))
     wanted = materialize(wanted.withColumnRenamed("k", "_k"), "wanted")
     texts = keyed.select("_k", "_t").join(sized(wanted.select("_k")), "_k", "left_semi").dropDuplicates(["_k"])
-    cut = texts.join(wanted, "_k").select("_k", "_t", "wanted").mapInArrow(_cut(window), "anchor long, salt long, k long, s int, words binary, m long")
-    partly = cut.repartition(partitions(spark), "anchor", "salt").mapInArrow(_search(window), "k long, s int, e int")
+    cut = texts.join(wanted, "_k").select("_k", "_t", "wanted").mapInArrow(_cut(window), "anchor long, hash long, k long, s int, words binary, m long")
+    cut = materialize(cut, "cut")
+    indexed = cut.where("words is not null").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+    partly = indexed.select("anchor", "k", "s", "words", "m").mapInArrow(_search(window), "k long, s int, e int")
+    hot = cut.where("words is null").select("anchor", "hash", "k", "s", "m")
+    again = hot.groupBy("anchor", "hash").agg(F.sum("m").alias("n")).where("n > 1").select("anchor", "hash")
+    partly = partly.unionByName(hot.where("m = 1").join(again, ["anchor", "hash"]).select("k", "s", (F.col("s") + window).alias("e")))
     wholly = found.join(distinct.where("m > 1").select("anchor", "digest"), ["anchor", "digest"]).select("k", "s", "e")
     spans = wholly.unionByName(partly).distinct().groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = materialize(spans.withColumnRenamed("k", "_k"), "spans")

@@ -256,3 +256,37 @@ def test_remove_repeats_hot_anchor(spark, monkeypatch):
     rows = [(n, " ".join([f"a{rng.random()}" for _ in range(20)] + passage + [f"b{rng.random()}" for _ in range(20)])) for n in range(30)]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
     assert sorted(map(tuple, got)) == sorted(brute.remove_repeats(rows))
+
+
+def test_hot_anchor_is_never_indexed_whole(spark, monkeypatch):
+    """Regions of a hot anchor do not reach an index, whatever their number; counts of windows take their place."""
+    from pulselake.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT_REGIONS", 3)
+    plain, limit = substring_dedup._search, 400
+    monkeypatch.setattr(substring_dedup, "_search", lambda window: lambda batches: plain(window)(_at_most(batches, limit)))
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(n, " ".join([f"a{rng.random()}" for _ in range(20)] + passage + [f"b{rng.random()}" for _ in range(20)])) for n in range(700)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.remove_repeats(rows))
+
+
+def _at_most(batches, limit):
+    n = 0
+    for batch in batches:
+        n += batch.num_rows
+        assert n <= limit, "an index of a hot anchor"
+        yield batch
+
+
+def test_shards_read_whole_anchors():
+    import pyarrow as pa
+
+    from pulselake.llm.substring_dedup import _whole_anchors
+
+    anchors = sorted(random.Random(6).choices(range(-20, 20), k=1000))
+    t = pa.table({"anchor": pa.array(anchors, pa.int64())})
+    parts = [p["anchor"].to_pylist() for p in _whole_anchors(iter(t.to_batches(max_chunksize=7)), 400)]
+    assert sum(parts, []) == anchors and len(parts) > 5
+    assert all(not set(a) & set(b) for a, b in zip(parts, parts[1:], strict=False))
