@@ -284,6 +284,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document is its own component. A null id gets a null component and takes no part; rows with equal ids are one
     document each and share the id's component by their links. Other columns are ignored. An empty table gives no rows.
     """
+    if percent < PERCENT:  # sizes of linked sets may differ by more than a class, and one-token sets have no signature
+        raise ValueError(f"percent is {PERCENT} at least: signatures would miss links below it")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -156,6 +156,13 @@ def test_signatures_meet_whenever_sets_link():
         assert np.intersect1d(signatures(a, count(a), 30)[0], signatures(b, count(b), 30)[0]).size
 
 
+def test_jaccard_refuses_percents_whose_links_it_would_miss(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="80 at least"):
+        jaccard_components(df, percent=79)
+    assert jaccard_components(df, percent=80).count() == 1
+
+
 def test_op8_base_places(spark, sf_dir, docs):
     import re
 
