@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="pulselake-")
@@ -46,7 +48,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/pulselake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of materialized DataFrames that nothing reads any more."""
+    for df in written:
+        _delete(df.sparkSession, df.written_at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -77,10 +87,14 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd base of the polynomial over a word's bytes; its powers and their inverses modulo 2**64.
 _BASE = 0x5851F42D4C957F2D
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+#: Tables for bytes.translate: 1 for white space, else 0; and A-Z lower-cased.
+_SPACE = bytes(int(b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256))
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _translated(data: np.ndarray, table: bytes) -> np.ndarray:
+    """data byte by byte through table (indexing an array by bytes would widen each to eight)."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +112,7 @@ class Words:
     def __init__(self, data: np.ndarray, starts: np.ndarray, fold: bool):
         """data: all texts' bytes; starts: text i is data[starts[i]:starts[i + 1]]."""
         n = len(data)
-        space = _SPACE[data]
+        space = _translated(data, _SPACE).view(bool)
         begin = ~space
         begin[1:] &= space[:-1]
         cut = starts[1:-1]
@@ -111,7 +125,7 @@ class Words:
         self.begin = np.flatnonzero(begin)
         self.end = np.flatnonzero(end) + 1
         self.offsets = np.searchsorted(self.begin, starts)
-        self.hashes = _word_hashes(_FOLD[data] if fold else data, self.begin, self.end)
+        self.hashes = _word_hashes(_translated(data, _FOLD) if fold else data, self.begin, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
@@ -168,7 +182,7 @@ def arrow_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(batches, text_col: str, most_bytes: int = 8 << 20):
+def blocks(batches, text_col: str, most_bytes: int = 2 << 20):
     """Cut Arrow batches into slices of at most most_bytes of text (one row at least)."""
     import pyarrow as pa
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import materialize
+from pulselake.llm.common import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        e = materialize(_small_star(_large_star(e)), "edges")
+        e, old = materialize(_small_star(_large_star(e)), "edges"), e
+        discard(old)
         before, state = state, _mark(e)
         if state == before:
             break

@@ -12,16 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import Words, arrow_bytes, blocks, materialize, mix, partitions, shingle_hashes, sized, table
+from pulselake.llm.common import Words, arrow_bytes, blocks, discard, materialize, mix, partitions, shingle_hashes, sized, table
 from pulselake.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-#: The frequency sketch has a byte for each cell, and this many cells at most: what is broadcast stays bounded.
-MOST_CELLS = 1 << 25
+#: The frequency sketch has a cell for so many bytes of text, and so many cells at most: what is broadcast, a byte for
+#: each cell, stays bounded. Frequencies are kept on a scale of logarithms, so that they never overflow a byte.
+CELL_BYTES, MOST_CELLS, SCALE = 64, 1 << 24, 8
 SLICES = 64
-#: Salts among which the rows of a frequent signature are dealt.
-SALTS = 32
+#: Bytes of text whose signatures go to one partition, about.
+PART_BYTES = 16 << 20
 #: Longs of a set's parity bitmap.
 LONGS = 16
 BITS = [f"b{i}" for i in range(LONGS)]
@@ -58,7 +59,7 @@ def _profile(id_col: str, text_col: str, k: int, cells: int):
     names = ["doc", "v", "n", "k0", "k1", "k2", *BITS, "slice", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(cells, np.uint8)
+        sketch = np.zeros(cells, np.uint16)
         mask = np.uint64(cells - 1)
         seeds = mix(np.arange(1, 7, dtype=np.uint64))
         for part in blocks(batches, text_col):
@@ -66,7 +67,7 @@ def _profile(id_col: str, text_col: str, k: int, cells: int):
             for _, h in _sets(part, id_col, text_col, k):
                 at = (h & mask).astype(np.int64)
                 now = sketch[at]
-                sketch[at] = now + (now < 255)
+                sketch[at] = now + (now < 65535)
                 vs.append(_vertex(h))
                 ns.append(len(h))
                 bits.append(_parity(h))
@@ -89,14 +90,19 @@ def _profile(id_col: str, text_col: str, k: int, cells: int):
     return run
 
 
+def level(count):
+    """A frequency on the sketch's scale, from 0 to 255."""
+    return np.minimum(255, np.rint(SCALE * np.log2(1.0 + count))).astype(np.uint8)
+
+
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, raw in zip(batch["slice"].to_pylist(), batch["cells"], strict=True):
-            own = np.frombuffer(zlib.decompress(raw.as_py()), np.uint8)
-            sums[i] = np.minimum(255, sums[i] + own.astype(np.uint16)) if i in sums else own.astype(np.uint16)
+            own = np.frombuffer(zlib.decompress(raw.as_py()), np.uint16)
+            sums[i] = sums[i] + own if i in sums else own.astype(np.int64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["slice", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([level(x).tobytes() for x in sums.values()], pa.binary())], names=["slice", "cells"])
 
 
 def _commonness(id_col: str, text_col: str, k: int, sketch):
@@ -113,7 +119,7 @@ def _commonness(id_col: str, text_col: str, k: int, sketch):
     return run
 
 
-def level_of(n: int) -> int:
+def size_class(n: int) -> int:
     """Size class: linked sets, whose sizes differ by a factor of 1.25 at most, are in the same or neighbouring classes."""
     return int(math.log(n) / math.log(1.25) + 1e-9)
 
@@ -138,7 +144,7 @@ def signatures(h: np.ndarray, counts: np.ndarray, cutoff: int, percent: int = PE
         return h[order[:need]], np.arange(need, dtype=np.int32)
     out = [h[order[:rare]]]
     frequent = h[order[rare:]]
-    for tag in (level_of(n), level_of(n) + 1):
+    for tag in (size_class(n), size_class(n) + 1):
         classes = max(1, int(1.25**tag / 20))
         own = (mix(frequent ^ np.uint64(tag)) % np.uint64(classes)).astype(np.int64)
         counted = np.ones(len(own), np.int64)
@@ -181,22 +187,33 @@ def _sign(id_col: str, text_col: str, k: int, percent: int, sketch, cutoff: int)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's rows, those whose signature is found in two components, and all combinations (which are
-    salted, so that others can be elsewhere); each (signature, vertex) once."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    sig, v, c = (np.concatenate([b[x].to_numpy() for b in got]) for x in ("sig", "v", "c"))
-    pos, n = (np.concatenate([b[x].to_numpy() for b in got]) for x in ("pos", "n"))
-    order = np.lexsort((c, v, sig))
-    sig, v, c, pos, n = (x[order] for x in (sig, v, c, pos, n))
-    first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (v[1:] != v[:-1])
-    sig, v, c, pos, n = (x[first] for x in (sig, v, c, pos, n))
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    several = np.minimum.reduceat(c, starts) < np.maximum.reduceat(c, starts)
-    keep = np.repeat(several, np.diff(np.append(starts, len(sig)))) | (pos < 0)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, v, c, n, pos)], names=["sig", "v", "c", "n", "pos"])
+    """Of rows in the order of (sig, v), each (signature, vertex) once: combinations (which are salted, so that others can
+    be elsewhere), and rare signatures found in two components. Only the rows of one rare signature, which the cutoff
+    bounds, are held from batch to batch."""
+    names = ["sig", "v", "c", "n", "pos"]
+    held = [np.zeros(0, np.int64) for _ in names]
+
+    def sift(cols: list[np.ndarray]) -> pa.RecordBatch:
+        sig, v, c, _, pos = cols
+        first = np.ones(len(sig), bool)
+        first[1:] = (sig[1:] != sig[:-1]) | (v[1:] != v[:-1])
+        cols = [x[first] for x in cols]
+        sig, v, c, _, pos = cols
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        several = np.minimum.reduceat(c, starts) < np.maximum.reduceat(c, starts)
+        keep = np.repeat(several, np.diff(np.append(starts, len(sig)))) | (pos < 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int32 if n == "pos" else np.int64)) for x, n in zip(cols, names, strict=True)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.concatenate([h, batch[x].to_numpy().astype(np.int64)]) for h, x in zip(held, names, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1])) if cols[4][-1] >= 0 else len(cols[0])
+        held = [x[last:] for x in cols]
+        if last:
+            yield sift([x[:last] for x in cols])
+    if len(held[0]):
+        yield sift(held)
 
 
 def _exact(percent: int):
@@ -271,11 +288,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents with equal shingle sets are one vertex. Steps:
     1. One pass gives each document's vertex, set size and three min-hash keys, and a frequency sketch of shingles
-       over all documents: a byte for each of a bounded number of cells, never below a shingle's true frequency.
+       over all documents: a bounded number of cells, each with the logarithm of its count in a byte.
     2. Vertices are compared, exactly, with the vertex of most frequent shingles among those that share a min-hash
        key. This joins the bulk of large groups of copies by a star around the original instead of all their pairs.
-    3. A second pass signs every set (see signatures). A rare signature is found in a bounded number of documents by
-       the sketch; combinations are salted. Only signatures that two different components share go on.
+    3. A second pass signs every set (see signatures). A rare signature is found in at most as many documents as
+       the cutoff allows (the sketch counts too much, never too little); combinations are salted. Only signatures that two different components share go on.
     4. All pairs of vertices from different components that share a signature and pass the length, positional and
        bitmap filters (see _candidates) are verified exactly; with step 2's links they give the components. Pairs inside one component need no look, so
        no link between components is lost.
@@ -289,14 +306,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    cells = 1 << min(MOST_CELLS.bit_length() - 1, max(14, int(size // 24).bit_length()))
+    cells = 1 << min(MOST_CELLS.bit_length() - 1, max(14, int(size // CELL_BYTES).bit_length()))
     seen = materialize(docs.mapInArrow(_profile(id_col, text_col, k, cells), f"doc long, v long, n long, k0 long, k1 long, k2 long, {', '.join(f'{b} long' for b in BITS)}, slice int, cells binary"), "profile")
     profile = seen.where("slice is null")
     slices = seen.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(_add_slices, "slice int, cells binary").collect()  # cells bytes in all
     sketch = np.concatenate([np.frombuffer(bytes(r["cells"]), np.uint8) for r in sorted(slices, key=lambda r: r["slice"])]) if slices else np.zeros(cells, np.uint8)
     # Well above what cells hold on average, and few enough to keep the pairs of a rare signature bounded.
-    cutoff = int(min(250, max(32, 4 * sketch.mean())))
+    mean = float(np.bincount(sketch, minlength=256) @ (np.exp2(np.arange(256) / SCALE) - 1)) / len(sketch)
+    cutoff = int(level(max(32.0, 4 * mean)))
     shared = spark.sparkContext.broadcast(sketch.tobytes())
+    del slices, sketch
 
     reps = profile.where("doc is not null and n > 0").groupBy("v", "n", "k0", "k1", "k2").agg(F.min("doc").alias("doc"), *[F.min(b).alias(b) for b in BITS])
     reps = materialize(reps, "vertices")
@@ -308,17 +327,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = reps.select("v", "doc")
     links = materialize(_verify(docs, ids, stars, id_col, text_col, k, percent), "links")
     comp = materialize(components(links), "components")
+    discard(stars, links)
 
     grouped = materialize(profile.where("doc is not null").join(comp, profile["v"] == comp["node"]).select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), F.col("component").alias("_c")).distinct(), "grouped")
     to_sign = docs.where(F.col(id_col).isNotNull()).join(sized(grouped), docs[id_col] == F.col("_doc"), "left").select(id_col, text_col, "_v", "_c")
     signed = to_sign.mapInArrow(_sign(id_col, text_col, k, percent, shared, cutoff), "sig long, pos int, v long, c long, n long")
-    salt = F.when(F.col("pos") < 0, F.pmod("v", F.lit(SALTS))).otherwise(0)
-    common = materialize(signed.repartition(partitions(spark), "sig", salt).mapInArrow(_shared, "sig long, v long, c long, n long, pos int"), "signatures")
+    parts = max(partitions(spark), -(-int(size) // PART_BYTES))
+    salt = F.when(F.col("pos") < 0, F.pmod("v", F.lit(parts))).otherwise(0)
+    dealt = signed.repartition(parts, "sig", salt).sortWithinPartitions("sig", "v")
+    common = materialize(dealt.mapInArrow(_shared, "sig long, v long, c long, n long, pos int"), "signatures")
     pairs = materialize(_candidates(common, reps, percent), "pairs")
     more = _verify(docs, ids, pairs, id_col, text_col, k, percent)
     # Links of the second kind join whole components.
     joined = more.join(pairs, ["u", "v"]).select(F.col("cu").alias("u"), F.col("c").alias("v"))
     comp = materialize(components(joined.union(comp.select("node", "component"))), "components")
+    discard(common, pairs, grouped)
 
     placed = profile.join(comp, profile["v"] == comp["node"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "v")).alias("c"))
     smallest = comp.join(ids, comp["node"] == ids["v"]).groupBy("component").agg(F.min("doc").alias("_least"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pulselake.llm import licenses, registry
 from pulselake.llm.bpe import decode, encode, heap_merge, load_ranks
 from pulselake.llm.licenses import scan_licenses
-from pulselake.llm.ngram_join import jaccard_components, level_of, signatures
+from pulselake.llm.ngram_join import jaccard_components, size_class, signatures
 from pulselake.llm.substring_dedup import remove_repeats
 from pulselake.llm.toxicity import Model, fit, score
 from tests.llm import brute
@@ -152,7 +152,7 @@ def test_signatures_meet_whenever_sets_link():
         if 100 * both < 80 * (len(a) + len(b) - both) or np.array_equal(a, b):
             continue
         count = lambda h, t=trial: ((h >> np.uint64(7)) % np.uint64(3 + t % 5)).astype(np.int64) * 20
-        assert abs(level_of(len(a)) - level_of(len(b))) <= 1
+        assert abs(size_class(len(a)) - size_class(len(b))) <= 1
         assert np.intersect1d(signatures(a, count(a), 30)[0], signatures(b, count(b), 30)[0]).size
 
 
