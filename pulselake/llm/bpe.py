@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulselake.llm.common import arrow_bytes, blocks, table
 
@@ -20,8 +22,12 @@ from pulselake.llm.common import arrow_bytes, blocks, table
 BUCKETS = 1 << 14
 #: Words of more bytes than this get the same merges from a heap in the Arrow step: folding is quadratic.
 LONG_WORD = 64
-#: Text bytes whose distinct words are encoded together. More shares more words; a block is one row.
-BLOCK_BYTES = 24 << 20
+#: Text bytes of a block, which is one row.
+BLOCK_BYTES = 2 << 20
+#: Bytes of distinct words that a task remembers from block to block; beyond it starts anew.
+MEMORY_BYTES = 6 << 20
+#: Words whose ids are put in place at a time.
+STEP_WORDS = 100_000
 NO_MERGE = 1 << 24
 
 
@@ -65,8 +71,8 @@ class WordFold:
     pairs that change; a word of n bytes takes n - 1 steps at most, and steps that find no merge pass the state on.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranked = rank_literal(ranks)
+    def __init__(self, ranked: Column):
+        self.ranked = ranked
 
     def rank(self, piece: Column) -> Column:
         return F.try_element_at(F.get(self.ranked, (F.crc32(piece) % BUCKETS).cast("int")), piece)
@@ -104,6 +110,12 @@ class WordFold:
             _let(self.rank(word), lambda w: F.when(w.isNotNull() | (n == 1), F.array(w)).otherwise(folded)))
 
 
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>>: the ids of each of an array of words. The rank map is bound to a variable, so that the plan
+    holds it once, however often the fold looks up."""
+    return _let(rank_literal(ranks), lambda ranked: F.transform(words, lambda w: WordFold(ranked).ids(w)))
+
+
 def joined_pieces(ids: Column, pieces: Column, chunk: int = 512) -> Column:
     """The bytes of ids: pieces are concatenated in chunks, then the chunks."""
 
@@ -147,6 +159,7 @@ def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _split_schema() -> T.StructType:
     return T.StructType([
+        T.StructField("anew", T.BooleanType()),
         T.StructField("words", T.ArrayType(T.StringType())),
         T.StructField("codes", T.BinaryType()),
         T.StructField("counts", T.BinaryType()),
@@ -154,101 +167,104 @@ def _split_schema() -> T.StructType:
     ])
 
 
-def _split(pattern: str, text_col: str, block_bytes: int):
-    """One row for each block of texts: its distinct words, each word's number, words a text, the other columns."""
+def _split(pattern: str, text_col: str, block_bytes: int, memory_bytes: int):
+    """One row for each block of texts: the words that the task hasn't met before, every word's number, words a text, the
+    other columns. Words are numbered on from block to block; anew says that numbers begin at 0 again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        number: dict[str, int] = {}
-        codes: list[np.ndarray] = []
-        counts: list[int] = []
-        kept: list[pa.Table] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held
+        class Numbers(dict):
+            def __missing__(self, word: str) -> int:
+                self[word] = n = len(self)
+                return n
+
+        number = Numbers()
+        known, remembered = 0, 0
+        for part in blocks(batches, text_col, block_bytes):
+            anew = remembered >= memory_bytes
+            if anew:
+                number.clear()
+                known = remembered = 0
+            codes, counts = [], []
+            for text in part[text_col]:
+                found = find(text.as_py() or "")
+                codes.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+                counts.append(len(found))
+            fresh = [w.encode() for w in itertools.islice(number, known, None)]
+            known, remembered = len(number), remembered + sum(map(len, fresh))
+            rest = part.drop_columns([text_col])
             sink = pa.BufferOutputStream()
-            rest = pa.concat_tables(kept)
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
-            words = pa.array([w.encode().decode("latin-1") for w in number], pa.string())
-            out = pa.RecordBatch.from_arrays([
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+            words = pa.array([w.decode("latin-1") for w in fresh], pa.string())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([anew]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                 pa.array([np.concatenate(codes).tobytes() if codes else b""], pa.binary()),
                 pa.array([np.array(counts, np.int32).tobytes()], pa.binary()),
                 pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-            ], names=["words", "codes", "counts", "kept"])
-            number.clear()
-            codes.clear()
-            counts.clear()
-            kept.clear()
-            held = 0
-            return out
-
-        for part in blocks(batches, text_col, 4 << 20):
-            kept.append(part.drop_columns([text_col]))
-            for text in part[text_col]:
-                text = text.as_py() or ""
-                found = find(text)
-                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
-                counts.append(len(found))
-                held += len(text)
-            if held >= block_bytes:
-                yield flush()
-        if kept:
-            yield flush()
+            ], names=["anew", "words", "codes", "counts", "kept"])
 
     return run
 
 
-def _assemble(ranks_path: str, kept_schema: pa.Schema):
-    """Back from blocks to texts: ids (packed little-endian unsigned 32-bit) and decoded bytes of each text."""
+class _Known:
+    """What each word of a task so far has become: runs of ids and of bytes, which grow block by block."""
+
+    def __init__(self):
+        self.ids, self.data = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.id_ends, self.data_ends = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, id_sizes: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(id_sizes)])
+        self.data_ends = np.concatenate([self.data_ends, self.data_ends[-1] + np.cumsum(sizes)])
+        self.ids, self.data = np.concatenate([self.ids, ids]), np.concatenate([self.data, data])
+
+
+def _assemble(ranks, kept_schema: pa.Schema):
+    """Back from blocks, in the order in which they were split, to texts: ids (packed little-endian unsigned 32-bit) and
+    decoded bytes of each text. ranks: a broadcast, read only where a long word occurs."""
+
+    def learn(known: _Known, batch: pa.RecordBatch, row: int) -> None:
+        lists, plain = batch["ids"][row].values, batch["bytes"][row].values
+        sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        values = np.asarray(lists.flatten()).astype(np.uint32)
+        data, off = arrow_bytes(plain)
+        lengths = np.diff(off)
+        if not lists.null_count:
+            return known.add(values, sizes, data, lengths)
+        words, back = batch["words"][row].values, {r: t for t, r in ranks.value.items()}
+        ends, own_values, own_data = np.concatenate([[0], np.cumsum(sizes)]), [], []
+        at = 0
+        for i in np.flatnonzero(np.asarray(lists.is_null())):
+            ids = heap_merge(words[int(i)].as_py().encode("latin-1"), ranks.value)
+            raw = b"".join(back[x] for x in ids)
+            own_values += [values[ends[at] : ends[i]], np.array(ids, np.uint32)]
+            own_data += [data[off[at] : off[i]], np.frombuffer(raw, np.uint8)]
+            sizes[i], lengths[i], at = len(ids), len(raw), i + 1
+        known.add(np.concatenate([*own_values, values[ends[at] :]]), sizes, np.concatenate([*own_data, data[off[at] :]]), lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks: dict[bytes, int] = {}
+        known = _Known()
         for batch in batches:
             for row in range(batch.num_rows):
-                lists, plain = batch["ids"][row].values, batch["bytes"][row].values
-                if lists.null_count:
-                    ranks = ranks or load_ranks(ranks_path)
-                    missing = np.flatnonzero(np.asarray(lists.is_null()))
-                    words = batch["words"][row].values
-                    long_ids = {int(i): heap_merge(words[int(i)].as_py().encode("latin-1"), ranks) for i in missing}
-                    own = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-                    for i, x in long_ids.items():
-                        own[i] = len(x)
-                    off = np.zeros(len(own) + 1, np.int64)
-                    np.cumsum(own, out=off[1:])
-                    values = np.empty(off[-1], np.uint32)
-                    is_long = np.zeros(len(own), bool)
-                    is_long[missing] = True
-                    values[~np.repeat(is_long, own)] = np.asarray(lists.flatten())
-                    for i, x in long_ids.items():
-                        values[off[i] : off[i + 1]] = x
-                    back = {r: t for t, r in ranks.items()}
-                    fixed = {i: b"".join(back[y] for y in x) for i, x in long_ids.items()}
-                    plain = pa.array([fixed.get(i, v) for i, v in enumerate(plain.to_pylist())], pa.large_binary())
-                else:
-                    off = np.zeros(len(lists) + 1, np.int64)
-                    np.cumsum(np.asarray(lists.value_lengths()), out=off[1:])
-                    values = np.asarray(lists.flatten()).astype(np.uint32)
-                data, data_off = arrow_bytes(plain)
+                if batch["anew"][row].as_py():
+                    known = _Known()
+                learn(known, batch, row)
                 codes = np.frombuffer(batch["codes"][row].as_py() or b"", np.int32)
                 ends = np.concatenate([[0], np.cumsum(np.frombuffer(batch["counts"][row].as_py(), np.int32), dtype=np.int64)])
                 kept = pa.ipc.open_stream(batch["kept"][row].as_py()).read_all()
                 at = 0
-                while at < kept.num_rows:  # texts of about a million words together
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + 500_000, side="right")) - 1)
+                while at < kept.num_rows:
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_WORDS, side="right")) - 1)
                     to = min(to, kept.num_rows)
                     own_codes, mark = codes[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
-                    ids, id_off = _gather(values, off, own_codes, mark)
-                    raw, raw_off = _gather(data, data_off, own_codes, mark)
-                    n_ids = np.diff(id_off)
+                    ids, id_off = _gather(known.ids, known.id_ends, own_codes, mark)
+                    raw, raw_off = _gather(known.data, known.data_ends, own_codes, mark)
                     part = kept.slice(at, to - at)
                     cols = {f.name: part[f.name].combine_chunks() for f in kept_schema}
-                    cols["n_tokens"] = pa.array(n_ids, pa.int64())
+                    cols["n_tokens"] = pa.array(np.diff(id_off), pa.int64())
                     cols["ids_le"] = _binary(ids.astype("<u4").view(np.uint8), id_off * 4)
                     cols["decoded"] = _binary(raw, raw_off)
                     yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols.values()], names=list(cols))
@@ -270,14 +286,15 @@ def _binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", block_bytes: int = BLOCK_BYTES, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """docs without its text, with n_tokens long, ids_le binary (ids as little-endian unsigned 32-bit) and decoded binary.
 
     Narrow steps only: no shuffle, no broadcast that grows, and a lost task is simply run again.
-    1. Texts are split by pattern; each block of texts becomes a row with its distinct words.
-    2. Higher-order functions fold the merges over each distinct word's bytes, with the rank map as a literal, and
+    1. Texts are split by pattern; each block of texts becomes a row with the distinct words that its task hasn't met.
+    2. Higher-order functions fold the merges over each such word's bytes, with the rank map as a literal, and
        concatenate the pieces of the ids they give.
-    3. Words' ids and bytes are put back in the order of each text.
+    3. Words' ids and bytes are remembered, up to memory_bytes of words, and put back in the order of each text. Steps
+       1 and 3 see the same rows of a task in the same order, so both remember the same words.
 
     Null and empty texts: no tokens. Texts of any length are encoded whole; words of over LONG_WORD bytes get the
     same merges from a heap. Repeated rows are encoded alike; an empty table gives no rows. Columns named n_tokens,
@@ -286,15 +303,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     ranks = load_ranks(ranks_path)
     docs = docs.drop("n_tokens", "ids_le", "decoded")
     kept_fields = [f for f in docs.schema.fields if f.name != text_col]
-    fold, pieces = WordFold(ranks), piece_literal(ranks)
-    split = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(_split(pattern, text_col, block_bytes), _split_schema())
-    ids = F.transform("words", fold.ids)
-    encoded = split.withColumn("ids", ids)
-    encoded = encoded.withColumn("bytes", F.transform("ids", lambda x: F.when(x.isNotNull(), F.aggregate(x, F.lit(b""), lambda acc, i: F.concat(acc, F.get(pieces, i))))))
-    schema = T.StructType([*kept_fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    pieces = piece_literal(ranks)
+    split = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(_split(pattern, text_col, block_bytes, memory_bytes), _split_schema())
+    encoded = split.withColumn("ids", fold_words(F.col("words"), ranks))
 
-    return encoded.mapInArrow(_assemble(ranks_path, to_arrow_schema(T.StructType(kept_fields))), schema)
+    def plain(lists: Column) -> Column:
+        return _let(pieces, lambda p: F.transform(lists, lambda x: F.when(x.isNotNull(), F.aggregate(x, F.lit(b""), lambda acc, i: F.concat(acc, F.get(p, i))))))
+
+    encoded = encoded.withColumn("bytes", plain(F.col("ids")))
+    schema = T.StructType([*kept_fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    return encoded.mapInArrow(_assemble(docs.sparkSession.sparkContext.broadcast(ranks), to_arrow_schema(T.StructType(kept_fields))), schema)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
