@@ -22,11 +22,6 @@ def ratio(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(default))
 
 
-def finite_or(x: Column, default: float = 0.0) -> Column:
-    """x, or default for null, NaN and infinities."""
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default)).otherwise(x)
-
-
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -69,7 +64,7 @@ def stress_level(score: Column, threshold: float = 0.5) -> Column:
 
 
 def anxiety_level(index: Column) -> Column:
-    return F.when(index <= 20, "calm").when(index <= 45, "mild").when(index <= 70, "moderate").otherwise("severe")
+    return F.when(index <= 20, "minimal").when(index <= 45, "mild").when(index <= 70, "moderate").otherwise("severe")
 
 
 def focus_level(score: Column) -> Column:
@@ -77,7 +72,7 @@ def focus_level(score: Column) -> Column:
 
 
 def depression_level(score: Column) -> Column:
-    return banded(score, [(30, "minimal"), (50, "mild"), (70, "moderate")], "severe")
+    return banded(score, [(30, "minimal"), (50, "mild"), (70, "moderate")], "high")
 
 
 def sentiment_label(score: Column) -> Column:
@@ -93,10 +88,27 @@ def questionnaire(answers: Column, cuts: list[tuple[int, str]], top: str) -> tup
     return total, c.otherwise(top)
 
 
+# Cuts of the questionnaires and ranges of the anxiety scales.
 PHQ9 = ([(4, "minimal"), (9, "mild"), (14, "moderate"), (19, "moderately_severe")], "severe")
 GAD7 = ([(4, "minimal"), (9, "mild"), (14, "moderate")], "severe")
 
 
+def stai_index(stai: Column) -> Column:
+    """A state-anxiety score (20 to 80) on a scale from 0 to 100."""
+    return F.round((stai - 20) / 60.0 * 100, 2)
+
+
+def bai_index(bai: Column) -> Column:
+    """An anxiety inventory score (0 to 63) on a scale from 0 to 100."""
+    return F.round(bai / 63.0 * 100, 2)
+
+
+def age_midpoint(group: Column) -> Column:
+    """The middle of an age group like '35-39'; null for other texts."""
+    low, high = (F.regexp_extract(group, r"^\s*(\d+)\s*-\s*(\d+)\s*$", i) for i in (1, 2))
+    return F.when(low != "", (low.try_cast("double") + high.try_cast("double")) / 2)
+
+
 def is_night(ts: Column) -> Column:
     return (F.hour(ts) >= 22) | (F.hour(ts) < 6)
 

@@ -2,43 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulselake.functions.scalar import ratio
 
 BINS = 20
+MINUTE = 60_000
+#: Hours of the day at which day and night change.
+DAY_HOURS = (7, 22)
 
 
-def per_minute(steps: DataFrame, by: list[str], start: str = "start_ms", end: str = "end_ms", count: str = "count") -> DataFrame:
-    """(by, minute, minute_ms, v): intervals spread evenly over their minutes, on a dense spine from the group's first
-    start to its last end. Spine and spread meet in one aggregation instead of a join."""
-    s = steps.groupBy(*by).agg(F.min(start).alias("_t0"), F.max(end).alias("_t1"))
-    total = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0")) / 60000)).cast("long")
-    spine = s.select(*by, "_t0", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("minute"), F.lit(0.0).alias("v"))
-    i = steps.join(s, by).withColumns({"_a": F.floor((F.col(start) - F.col("_t0")) / 60000), "_b": F.ceil((F.col(end) - F.col("_t0")) / 60000), "_n": total})
-    i = i.withColumn("_last", F.least("_b", "_n") - 1).where("_last >= _a")
-    part = i.select(*by, "_t0", F.explode(F.sequence("_a", "_last")).alias("minute"), (F.col(count) / F.greatest(F.lit(1), F.col("_b") - F.col("_a"))).alias("v"))
-    return spine.unionByName(part).groupBy(*by, "_t0", "minute").agg(F.sum("v").alias("v")).withColumn("minute_ms", F.col("_t0") + F.col("minute") * 60000).drop("_t0")
-
-
-def daily_features(minutes: DataFrame, by: list[str]) -> DataFrame:
-    """The 21 movement figures of each group of minutes (a user's day)."""
-    hour = F.pmod(F.floor(F.col("minute_ms") / 3_600_000), F.lit(24))
-    g = Window.partitionBy(*by)
-    order = g.orderBy("minute")
-    m = minutes.withColumns({"_idle": F.col("v") < 20, "_day": hour.between(7, 21), "_min": F.min("v").over(g), "_max": F.max("v").over(g)})
-    m = m.withColumn("_new", F.when(F.col("_idle") & ~F.lag("_idle", 1, False).over(order), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("_min")) / ((F.col("_max") - F.col("_min") + 1e-9) / BINS))))
-    runs = m.where("_idle").groupBy(*by, "_run").count().groupBy(*by).agg(F.max("count").alias("longest_rest_period"), F.count(F.lit(1)).alias("rest_period_count"))
-    bins = m.groupBy(*by, "_bin").count().withColumn("_p", F.col("count") / F.sum("count").over(g)).groupBy(*by).agg(F.sum(-F.col("_p") * F.log2("_p")).alias("activity_entropy"))
-    p = F.percentile("v", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    base = m.groupBy(*by).agg(
-        F.avg("v").alias("mean_activity"), F.stddev_pop("v").alias("std_activity"), F.max("v").alias("max_activity"), F.min("v").alias("min_activity"), p.alias("_p"),
-        F.count_if(F.col("v") < 20).alias("inactive_minutes"), F.count_if(F.col("v") > 200).alias("active_minutes"), F.count_if(F.col("v") > 500).alias("very_active_minutes"),
-        F.coalesce(F.avg(F.when(F.col("_day"), F.col("v"))), F.lit(0.0)).alias("day_mean"), F.coalesce(F.avg(F.when(~F.col("_day"), F.col("v"))), F.lit(0.0)).alias("night_mean"),
-    )
-    base = base.withColumns({f"p{q}": F.get("_p", F.lit(i)) for i, q in enumerate((10, 25, 50, 75, 90))}).drop("_p")
-    base = base.withColumns({"activity_range": F.col("max_activity") - F.col("min_activity"), "activity_cv": F.col("std_activity") / (F.col("mean_activity") + 1e-6), "day_night_ratio": ratio(F.col("day_mean"), F.col("night_mean") + 1)})
-    out = base.join(runs, by, "left").join(bins, by)
-    return out.na.fill(0, ["longest_rest_period", "rest_period_count"])
+def stretches(steps: DataFrame, by: list[str], start: str = "start_ms", end: str = "end_ms", count: str = "count") -> DataFrame:
+    """(by, t0, s): of each group (a user's day), stretches of minutes in which nothing changes, in order.
+
+    Intervals are spread evenly over their minutes, which count from the group's first start to its last end. A stretch is a
+    struct of its first minute a, its length n, the rate v and whether it is day. Minutes of one rate stay together, so a
+    day takes a few stretches, not 1,440 rows. Equal spans of minutes are summed before they meet, so a group holds as
+    many as its minutes allow.
+    """
+    lo, hi = F.floor((F.col(start) - F.col("t0")) / MINUTE), F.ceil((F.col(end) - F.col("t0")) / MINUTE)
+    s = steps.groupBy(*by).agg(F.min(start).alias("t0"), F.max(end).alias("_t1"))
+    total = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("t0")) / MINUTE)).cast("int")
+    i = steps.join(s, by).select(*by, "t0", total.alias("n"), lo.cast("int").alias("a"), F.least(hi.cast("int"), total).alias("b"), (F.col(count) / F.greatest(F.lit(1), hi - lo)).alias("v"))
+    i = i.groupBy(*by, "t0", "n", "a", "b").agg(F.sum("v").alias("v"))
+    g = i.groupBy(*by, "t0", "n").agg(F.collect_list(F.struct("a", "b", "v")).alias("i"))
+    # Whole hours begin at minutes that needn't be whole from t0: the first minute that starts in the hour or after it.
+    starts = F.array(*[(F.floor(F.col("t0") / 86_400_000) + d) * 86_400_000 + h * 3_600_000 for d in range(3) for h in DAY_HOURS])
+    hours = F.transform(starts, lambda x: F.ceil((x - F.col("t0")) / MINUTE).cast("int"))
+    cuts = F.array_sort(F.array_distinct(F.filter(F.flatten(F.array(F.array(F.lit(0), F.col("n")), F.transform("i", lambda x: x["a"]), F.transform("i", lambda x: x["b"]), hours)), lambda c: (c >= 0) & (c <= F.col("n")))))
+    g = g.withColumn("c", cuts)
+
+    def one(a: Column, k: Column) -> Column:
+        rate = F.aggregate(F.filter("i", lambda x: (x["a"] <= a) & (a < x["b"])), F.lit(0.0), lambda acc, x: acc + x["v"])
+        hour = F.pmod(F.floor((F.col("t0") + a.cast("long") * MINUTE) / 3_600_000), F.lit(24))
+        return F.struct(a.alias("a"), (F.get("c", k + 1) - a).alias("n"), rate.alias("v"), hour.between(DAY_HOURS[0], DAY_HOURS[1] - 1).alias("day"))
+
+    return g.select(*by, "t0", F.transform(F.slice("c", 1, F.size("c") - 1), one).alias("s"))
+
+
+def daily_features(s: DataFrame, by: list[str]) -> DataFrame:
+    """The movement figures of each group of stretches (a user's day). Everything is worked out from one row's stretches."""
+    c = F.col
+
+    def total(of, where=None) -> Column:
+        items = c("s") if where is None else F.filter("s", where)
+        return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + of(x))
+
+    minutes = lambda x: x["n"].cast("double")
+    weighted = lambda x: x["v"] * x["n"]
+    day = lambda x: x["day"]
+    out = s.withColumns({"_n": total(minutes), "_sum": total(weighted), "max_activity": F.array_max(F.transform("s", lambda x: x["v"])), "min_activity": F.array_min(F.transform("s", lambda x: x["v"]))})
+    out = out.withColumn("mean_activity", c("_sum") / c("_n"))
+    out = out.withColumn("std_activity", F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["n"] * F.pow(x["v"] - c("mean_activity"), 2)) / c("_n")))
+    # Percentiles: stretches by rate, each with the minutes up to its end.
+    ranked = F.array_sort(F.transform("s", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"))))
+    start = F.struct(F.lit(0.0).alias("n"), F.array().cast("array<struct<v:double,upto:double>>").alias("r"))
+    upto = F.aggregate(ranked, start, lambda acc, x: F.struct((acc["n"] + x["n"]).alias("n"), F.concat(acc["r"], F.array(F.struct(x["v"].alias("v"), (acc["n"] + x["n"]).alias("upto")))).alias("r")), lambda acc: acc["r"])
+    out = out.withColumn("_r", upto)
+    at = lambda i: F.get(F.filter("_r", lambda x: x["upto"] > i), F.lit(0))["v"]
+    percentiles = {}
+    for q in (10, 25, 50, 75, 90):
+        where = (c("_n") - 1) * (q / 100.0)
+        percentiles[f"p{q}"] = at(F.floor(where)) + (at(F.ceil(where)) - at(F.floor(where))) * (where - F.floor(where))
+    out = out.withColumns(percentiles)
+    below = lambda bound: (lambda x: x["v"] < bound)
+    above = lambda bound: (lambda x: x["v"] > bound)
+    # Rest: stretches below 20 that touch are one run.
+    run0 = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("most"), F.lit(0).alias("runs"))
+    runs = F.aggregate("s", run0, lambda acc, x: F.when(x["v"] < 20, F.struct((acc["now"] + x["n"]).alias("now"), F.greatest(acc["most"], acc["now"] + x["n"]).alias("most"), (acc["runs"] + F.when(acc["now"] == 0, 1).otherwise(0)).alias("runs"))).otherwise(F.struct(F.lit(0.0).alias("now"), acc["most"].alias("most"), acc["runs"].alias("runs"))))
+    width = (c("max_activity") - c("min_activity") + 1e-9) / BINS
+    in_bin = F.transform("s", lambda x: F.struct(F.least(F.lit(BINS - 1), F.floor((x["v"] - c("min_activity")) / width)).cast("int").alias("b"), x["n"].alias("n")))
+    out = out.withColumns({"_runs": runs, "_b": in_bin})
+    share = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.aggregate(F.filter("_b", lambda x: x["b"] == b), F.lit(0.0), lambda acc, x: acc + x["n"]) / c("_n"))
+    out = out.withColumns({
+        "inactive_minutes": total(minutes, below(20)).cast("long"), "active_minutes": total(minutes, above(200)).cast("long"), "very_active_minutes": total(minutes, above(500)).cast("long"),
+        "day_mean": ratio(total(weighted, day), total(minutes, day)), "night_mean": ratio(total(weighted, lambda x: ~x["day"]), total(minutes, lambda x: ~x["day"])),
+        "longest_rest_period": c("_runs.most").cast("long"), "rest_period_count": c("_runs.runs").cast("long"), "activity_range": c("max_activity") - c("min_activity"),
+        "activity_cv": c("std_activity") / (c("mean_activity") + 1e-6), "_share": share,
+    })
+    out = out.withColumns({"day_night_ratio": c("day_mean") / (c("night_mean") + 1), "activity_entropy": F.aggregate(F.filter("_share", lambda p: p > 0), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))})
+    return out.drop("s", "t0", "_n", "_sum", "_r", "_runs", "_b", "_share")

@@ -45,3 +45,10 @@ def normaliser(df: DataFrame, by: list[str], cols: list[str], least: int = 30) -
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_e")).select(*by, "_e.feature", "_e.x")
     ok = long.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
     return ok.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).where(F.col("n") >= least)
+
+
+def due(windows: DataFrame, baselines: DataFrame, as_of_ms: int, user: str = "user_id", hours: int = 24, least: int = MIN_WINDOWS) -> DataFrame:
+    """(user, n): users whose newest baseline is older than so many hours, or who have none, and who have the windows for a new one."""
+    n = windows.groupBy(user).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    newest = baselines.groupBy(user).agg(F.max("computed_at").alias("_at")).where(F.col("_at") >= as_of_ms - hours * 3_600_000)
+    return n.join(newest.select(user), user, "left_anti")

@@ -51,16 +51,44 @@ def regression_metrics(pred: DataFrame, by: list[str], y: str, z: str) -> DataFr
     return g
 
 
-def pick_threshold(pred: DataFrame, y: str, p: str, points: int = 101) -> DataFrame:
-    """(threshold, f1): the score quantile of best F1, the least of equals. The grid has points rows; rows meet it by
-    cumulative counts of distinct scores, not by a cross join."""
-    grid = pred.agg(F.percentile(p, F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("_g")).select(F.explode("_g").alias("threshold")).distinct()
-    counts = pred.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("np"))
-    both = counts.select("_p", "n", "np", F.lit(None).cast("double").alias("threshold")).unionByName(grid.select(F.col("threshold").alias("_p"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("np"), "threshold"))
-    w = Window.orderBy(F.desc("_p")).rangeBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"_hit": F.sum("n").over(w), "_tp": F.sum("np").over(w), "_all": F.sum("np").over(Window.partitionBy())})
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("_tp"), F.col("_hit") + F.col("_all")), F.lit(0.0))
-    return both.where("threshold is not null").select("threshold", f1.alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
+def pick_threshold(pred: DataFrame, y: str, p: str, by: str = "f1", points: int = 101, digits: int = 6) -> DataFrame:
+    """(threshold, f1, youden, balanced): the score quantile that is best by one of the three, the least of equals.
+
+    Scores count to so many digits, so that there are a million and one different ones at most. The grid of points
+    quantiles reaches the driver; rows meet it as a literal, and are summed by their place in it before anything is ordered.
+    """
+    s = pred.select(F.round(p, digits).alias("_p"), (F.col(y) == 1).alias("_y"))
+    grid = sorted(set(s.agg(F.percentile("_p", F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("g")).first()["g"] or []))
+    if not grid:
+        return s.sparkSession.createDataFrame([], "threshold double, f1 double, youden double, balanced double")
+    place = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("_p")))
+    c = s.groupBy(place.alias("_i")).agg(F.count(F.lit(1)).alias("n"), F.count_if("_y").alias("np"))
+    every = s.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "_i int, threshold double")
+    c = every.join(c, "_i", "full").na.fill(0, ["n", "np"])
+    down, all_ = Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()  # points rows and one
+    c = c.withColumns({"_hit": F.sum("n").over(down), "_tp": F.sum("np").over(down), "_n": F.sum("n").over(all_), "_all": F.sum("np").over(all_)})
+    zero = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    recall, fall = zero(F.col("_tp"), F.col("_all")), zero(F.col("_hit") - F.col("_tp"), F.col("_n") - F.col("_all"))
+    c = c.where("threshold is not null").select("threshold", zero(2 * F.col("_tp"), F.col("_hit") + F.col("_all")).alias("f1"), (recall - fall).alias("youden"), ((recall + 1 - fall) / 2).alias("balanced"))
+    return c.orderBy(F.desc(by), "threshold").limit(1)
+
+
+def base_rate_threshold(pred: DataFrame, by: list[str], p: str, prior: float) -> DataFrame:
+    """(by, threshold): the quantile above which a share of prior lies."""
+    return pred.groupBy(*by).agg(F.percentile(p, 1.0 - prior).alias("threshold"))
+
+
+def class_metrics(pred: DataFrame, by: list[str], y: str, z: str) -> DataFrame:
+    """(by, accuracy, macro_f1, weighted_f1, kappa) over any number of classes, from the counts of (actual, predicted). A
+    class counts if it is actual or predicted; one without hits has an F1 of 0."""
+    c = pred.where(F.col(y).isNotNull() & F.col(z).isNotNull()).groupBy(*by, F.col(y).alias("_y"), F.col(z).alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
+    both = F.explode(F.array(F.struct(F.col("_y").alias("c"), F.col("_n").alias("a"), F.lit(0).cast("long").alias("p")), F.struct(F.col("_z").alias("c"), F.lit(0).cast("long").alias("a"), F.col("_n").alias("p"))))
+    e = c.select(*by, F.when(F.col("_y") == F.col("_z"), F.col("_n")).otherwise(0).alias("_t"), both.alias("_e"))
+    k = e.groupBy(*by, F.col("_e.c").alias("_c")).agg(F.sum("_e.a").alias("_a"), F.sum("_e.p").alias("_p"), (F.sum(F.when(F.col("_e.a") > 0, F.col("_t")).otherwise(0))).alias("_t"))
+    f1 = 2.0 * F.col("_t") / (F.col("_a") + F.col("_p"))
+    g = k.groupBy(*by).agg(F.sum("_a").cast("double").alias("_n"), F.sum("_t").cast("double").alias("_hit"), F.avg(f1).alias("macro_f1"), (F.sum(f1 * F.col("_a")) / F.sum("_a")).alias("weighted_f1"), F.sum(F.col("_a").cast("double") * F.col("_p")).alias("_e"))
+    acc, chance = F.col("_hit") / F.col("_n"), F.col("_e") / (F.col("_n") * F.col("_n"))
+    return g.select(*by, acc.alias("accuracy"), "macro_f1", "weighted_f1", F.coalesce(F.try_divide(acc - chance, 1 - chance), F.lit(0.0)).alias("kappa"))
 
 
 def gate(candidate: DataFrame, champion: DataFrame) -> DataFrame:

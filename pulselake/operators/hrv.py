@@ -54,6 +54,9 @@ def time_domain(rr: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return g.withColumn("sd1_sd2", ratio(F.col("sd1"), F.col("sd2")))
 
 
+# The thresholds and points of the three rule scores below.
+
+
 def rule_stress(features: DataFrame) -> DataFrame:
     """Adds stress_score and stress_level from fixed rules on rmssd, hr_mean and, if there, lf_hf and a baseline."""
     c = features.columns
@@ -73,6 +76,8 @@ def rule_anxiety(features: DataFrame) -> DataFrame:
     s += F.when(F.col("hr_mean") > 95, 25).otherwise(0)
     if "lf_hf" in features.columns:
         s += F.when(F.col("lf_hf") > 4, 15).otherwise(0)
+    if "rmssd_mean" in features.columns:
+        s += F.when(F.col("rmssd") < F.col("rmssd_mean") - 1.5 * F.col("rmssd_std"), 10).otherwise(0)
     return features.withColumn("anxiety_index", clamp(half_up(s), 0, 100).cast("double"))
 
 

@@ -48,11 +48,61 @@ def around(epochs: DataFrame, samples: DataFrame, by: list[str], centre: str, at
 
 
 def unknown_places(places: DataFrame, known: DataFrame, by: list[str], radius_m: float = 100.0) -> DataFrame:
-    """Places (lat, lon) farther than radius_m from all known ones of the key: an anti join over neighbouring grid cells."""
+    """Places (lat, lon) farther than radius_m from all known ones of the key: an anti join over neighbouring grid cells.
+
+    Rows of cells are bands of latitude. Each band is cut into a whole number of cells around the earth, none narrower
+    than the radius, by the band's own width; a known place is entered in its band and both neighbours under their
+    cuts, so a place meets all known ones near it, across bands and across 180 degrees too.
+    """
     cell = radius_m / 111_000.0 * 1.05
-    p = places.withColumns({"_y": F.floor(F.col("lat") / cell), "_x": F.floor(F.col("lon") * F.cos(F.radians(F.round("lat", 0))) / cell)})
-    k = known.select(*by, F.col("lat").alias("_klat"), F.col("lon").alias("_klon"), F.floor(F.col("lat") / cell).alias("_ky"), F.floor(F.col("lon") * F.cos(F.radians(F.round("lat", 0))) / cell).alias("_kx"))
+    band = lambda lat: F.floor((lat + 90.0) / cell)
+    # The edge nearer to a pole is the shorter circle, so cells are wide enough everywhere in the band.
+    edge = lambda y: F.greatest(F.abs(y * cell - 90.0), F.abs((y + 1) * cell - 90.0))
+    around_ = lambda y: F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(F.least(edge(y), F.lit(90.0)))) / cell))
+    column = lambda lon, n: F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * n), n - 1)
+    p = places.withColumn("_y", band(F.col("lat"))).withColumn("_x", column(F.col("lon"), around_(F.col("_y"))))
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    k = k.withColumn("_y", F.explode(F.transform(near, lambda d: F.col("_ky") + d))).withColumn("_x", F.explode(F.transform(near, lambda d: F.col("_kx") + d)))
+    k = known.select(*by, F.col("lat").alias("_klat"), F.col("lon").alias("_klon"), F.explode(F.transform(near, lambda d: band(F.col("lat")) + d)).alias("_y"))
+    k = k.withColumn("_n", around_(F.col("_y")))
+    k = k.withColumn("_x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(column(F.col("_klon"), F.col("_n")) + d, F.col("_n")))))).drop("_n")
     cond = [p[c] == k[c] for c in [*by, "_y", "_x"]] + [haversine(p["lat"], p["lon"], k["_klat"], k["_klon"]) < radius_m]
     return p.join(k, cond, "left_anti").drop("_y", "_x")
+
+
+def looked_up(df: DataFrame, templates: DataFrame, key: str) -> DataFrame:
+    """df with its template's columns; a key that no template has is an error when the row is read."""
+    t = templates.withColumn("_there", F.lit(True))
+    j = df.join(t, key, "left")
+    ok = F.coalesce("_there", F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
+    return j.where(ok).drop("_there")
+
+
+def pure_label(windows: DataFrame, seconds: DataFrame, by: list[str], start: str, length: int, t: str, label: str, purity: float = 0.8) -> DataFrame:
+    """windows with the label that at least purity of their seconds carry (the least of equals); others are left out.
+    start: the window's first second, a multiple of length."""
+    s = seconds.withColumn("_s", F.floor(F.col(t) / length).cast("long") * length).groupBy(*by, "_s", label).agg(F.count_distinct(F.floor(t)).alias("_n"))
+    best = s.groupBy(*by, "_s").agg(F.min_by(F.struct(label, "_n"), F.struct(-F.col("_n"), label)).alias("_b")).where(F.col("_b._n") >= purity * length)
+    return windows.join(best.select(*by, F.col("_s").alias(start), F.col(f"_b.{label}").alias(label)), [*by, start])
+
+
+def at_index(epochs: DataFrame, series: DataFrame, by: list[str], centre: str, origin: str, step: float, index: str, value: str) -> DataFrame:
+    """epochs with the series' value at floor((centre - origin) / step); null outside it. An equality join on the index."""
+    i = F.floor((F.col(centre) - F.col(origin)) / step).cast("long")
+    s = series.select(*by, F.col(index).cast("long").alias("_i"), value)
+    return epochs.withColumn("_i", i).join(s, [*by, "_i"], "left").drop("_i")
+
+
+def nearest_day(days: DataFrame, sessions: DataFrame, by: list[str], at: str, start: str, tie: str, cols: list[str], within: int = 86_400_000) -> DataFrame:
+    """days with the first session (by start) that begins less than within from each day's time; null without one."""
+    d = days.withColumn("_b", F.floor(F.col(at) / within))
+    s = sessions.select(*by, F.col(start).alias("_start"), F.col(tie).alias("_tie"), *cols, F.explode(F.transform(F.array(*[F.lit(x) for x in (-1, 0, 1)]), lambda x: F.floor(F.col(start) / within) + x)).alias("_b"))
+    hit = d.select(*by, at, "_b").distinct().join(s, [*by, "_b"]).where(F.abs(F.col(at) - F.col("_start")) < within)
+    first = hit.groupBy(*by, at).agg(F.min_by(F.struct(*cols), F.struct("_start", "_tie")).alias("_r")).select(*by, at, "_r.*")
+    return days.join(first, [*by, at], "left")
+
+
+def zipped(df: DataFrame, series: dict[str, str], position: str = "i") -> DataFrame:
+    """Rows of arrays side by side: position from 0, and each array's element there; shorter ones are null at the end."""
+    z = F.arrays_zip(*[F.col(c).alias(n) for n, c in series.items()])
+    rest = [c for c in df.columns if c not in series.values()]
+    return df.select(*rest, F.posexplode(z).alias(position, "_z")).select(*rest, position, *[F.col("_z").getField(str(n)).alias(n) for n in series])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.scalar import EARTH_M
+from pulselake.operators.joins import unknown_places
+from pulselake.operators.windows import folded
 
 RADIUS_M = 100.0
 
@@ -18,45 +19,42 @@ def _metres(lat1, lon1, lat2, lon2):
 
 
 def stays(points: DataFrame, user: str = "user_id", ts: str = "ts_ms", tie: str = "event_id", radius: float = RADIUS_M) -> DataFrame:
-    """(user, arrival, departure, lat, lon, place): runs of points near a running centroid; place numbers each user's
-    places in order of first arrival. Order-dependent, so a fold over one user's points in time order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values([ts, tie])
-        rows, known = [], []
-
-        def close(lat, lon, arrived, left):
-            for i, (a, b) in enumerate(known):
+    """(user, arrival, departure, lat, lon, place): runs of points near a running centroid. A run belongs to the first of
+    the user's places, in order of arrival, whose own running centroid (the mean of its runs so far) is near; else it is a
+    new place. Order-dependent, so a fold over each user's points in time order; it carries the run and the places."""
+
+    def step(state: dict, row: dict | None) -> list[dict]:
+        run, known = state.get("run"), state.setdefault("known", [])
+        if row is not None and run and _metres(row["lat"], row["lon"], run[0], run[1]) < radius:
+            n = run[2]
+            state["run"] = ((run[0] * n + row["lat"]) / (n + 1), (run[1] * n + row["lon"]) / (n + 1), n + 1, run[3], row[ts], run[5])
+            return []
+        out = []
+        if run:
+            lat, lon, _, arrived, left, who = run
+            for i, (a, b, n) in enumerate(known):
                 if _metres(lat, lon, a, b) < radius:
+                    known[i] = ((a * n + lat) / (n + 1), (b * n + lon) / (n + 1), n + 1)
                     break
             else:
                 i = len(known)
-                known.append((lat, lon))
-            rows.append((pdf[user].iloc[0], arrived, left, lat, lon, i))
-
-        lat = lon = arrived = left = None
-        n = 0
-        for t, y, x in zip(p[ts], p["lat"], p["lon"], strict=True):
-            if n and _metres(y, x, lat, lon) < radius:
-                lat, lon, n, left = (lat * n + y) / (n + 1), (lon * n + x) / (n + 1), n + 1, t
-                continue
-            if n:
-                close(lat, lon, arrived, left)
-            lat, lon, n, arrived, left = y, x, 1, t, t
-        close(lat, lon, arrived, left)
-        return pd.DataFrame(rows, columns=[user, "arrival", "departure", "lat", "lon", "place"])
+                known.append((lat, lon, 1))
+            out.append({user: who, "arrival": arrived, "departure": left, "lat": lat, "lon": lon, "place": i})
+        state["run"] = None if row is None else (row["lat"], row["lon"], 1, row[ts], row[ts], row[user])
+        return out
 
-    return points.groupBy(user).applyInPandas(run, f"{user} long, arrival long, departure long, lat double, lon double, place int")
+    kind = points.schema[user].dataType.simpleString()
+    return folded(points.select(user, ts, tie, "lat", "lon"), [user], [ts, tie], dict, step, f"{user} {kind}, arrival long, departure long, lat double, lon double, place int")
 
 
 def place_summary(visits: DataFrame, by: list[str]) -> DataFrame:
-    """(by, place, label, visits, total, night, day): home is where most night time is spent, the last of equals; work
+    """(by, place, label, lat, lon, visits, total, night, day): a place lies at the mean of its visits; home is where most night time is spent, the last of equals; work
     where most weekday daytime is, elsewhere and more than none."""
     hour = F.pmod(F.floor(F.col("arrival") / 3_600_000), F.lit(24))
     weekday = F.pmod(F.floor(F.col("arrival") / 86_400_000) + 3, F.lit(7))  # Monday: 0
     length = F.col("departure") - F.col("arrival")
     c = visits.groupBy(*by, "place").agg(
-        F.count(F.lit(1)).alias("visits"), F.sum(length).alias("total_ms"), F.sum(F.when((hour >= 22) | (hour < 6), length).otherwise(0)).alias("night_ms"),
+        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count(F.lit(1)).alias("visits"), F.sum(length).alias("total_ms"), F.sum(F.when((hour >= 22) | (hour < 6), length).otherwise(0)).alias("night_ms"),
         F.sum(F.when((weekday < 5) & hour.between(8, 17), length).otherwise(0)).alias("day_ms"),
     )
     g = Window.partitionBy(*by)
@@ -65,14 +63,16 @@ def place_summary(visits: DataFrame, by: list[str]) -> DataFrame:
     return c.withColumn("label", F.when(F.col("_home"), "home").when(F.col("_work"), "work").otherwise(F.concat(F.lit("place_"), F.col("place")))).drop("_home", "_work")
 
 
-def diversity(visits: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
-    """(by, places, transitions, home_share, work_share, score, monotonous)."""
+def diversity(visits: DataFrame, places: DataFrame, by: list[str], known: DataFrame | None = None) -> DataFrame:
+    """(by, places, transitions, home_share, work_share, novel, score, monotonous). novel: places near none of known (by,
+    lat, lon), the places of the days before; all are, if there are none."""
     order = Window.partitionBy(*by).orderBy("arrival", "departure")
     moves = visits.withColumn("_m", (F.lag("place").over(order) != F.col("place")).cast("int")).groupBy(*by).agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("transitions"))
     share = lambda name: F.coalesce(F.try_divide(F.sum(F.when(F.col("label") == name, F.col("total_ms"))), F.sum("total_ms")), F.lit(0.0))
     p = places.groupBy(*by).agg(F.count(F.lit(1)).alias("places"), share("home").alias("home_share"), share("work").alias("work_share"), F.min(F.col("label").isin("home", "work")).alias("_known"))
-    out = p.join(moves, by)
-    out = out.withColumn("score", F.least(F.lit(100), (F.col("places") - 1) * 25 + F.when(F.col("transitions") > 2, 10).otherwise(0)))
+    new = places if known is None else unknown_places(places, known, by)
+    out = p.join(moves, by).join(new.groupBy(*by).agg(F.count(F.lit(1)).alias("novel")), by, "left").na.fill(0, ["novel"])
+    out = out.withColumn("score", F.least(F.lit(100), (F.col("places") - 1) * 25 + F.col("novel") * 15 + F.when(F.col("transitions") > 2, 10).otherwise(0)))
     return out.withColumn("monotonous", (F.col("places") <= 2) & F.col("_known")).drop("_known")
 
 

@@ -79,6 +79,11 @@ def score_trees(df: DataFrame, model: dict, out: str = "prob", missing: str = "y
     return df.withColumn(out, walked(*[F.col(f).cast("double") for f in features]))
 
 
+def tree_sum(model: dict, missing: str) -> Column:
+    """Base score and leaves of a small ensemble, without the sigmoid (for models of a quantity)."""
+    return sum((tree_column(t, missing) for t in model["trees"]), F.lit(float(model["baseScore"])))
+
+
 def normalise(df: DataFrame, stats: DataFrame, by: list[str], model: dict) -> DataFrame:
     """df with the model's features as z-scores: by the user's own figures where their deviation is above 0, else the
     model's. stats: (by, feature, mean, std). Missing values count as 0 before."""
@@ -91,11 +96,3 @@ def normalise(df: DataFrame, stats: DataFrame, by: list[str], model: dict) -> Da
         s = F.when(own, F.col(f"{f}_s")).otherwise(F.lit(float(model["normalization"]["std"].get(f, 1)) or 1.0))
         cols[f] = (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s
     return j.withColumns(cols).drop(*[f"{f}_{x}" for f in model["features"] for x in "ms"])
-
-
-def contributors(importances: dict[str, float], k: int = 3) -> Column:
-    """The k most important features as (feature, impact, value), impact as a share of all importances."""
-    total = sum(importances.values()) or 1.0
-    best = sorted(importances, key=lambda f: (-importances[f], f))
-    rows = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), F.lit(importances[f] / total).alias("impact"), F.col(f).cast("double").alias("value"))) for f in best]
-    return F.slice(F.array_compact(F.array(*rows)), 1, k)

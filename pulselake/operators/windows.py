@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,29 +30,41 @@ def spans(df: DataFrame, by: list[str], start: str, value: str, tie: str, end: s
 
 
 def zscores(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Adds <col>_z: sample z-scores in each group; 0 where the deviation is 0 or undefined."""
-    g = Window.partitionBy(*by)
-    return df.withColumns({f"{c}_z": ratio(F.col(c) - F.avg(c).over(g), F.nullif(F.stddev_samp(c).over(g), F.lit(0.0))) for c in cols})
+    """Adds <col>_z: sample z-scores in each group; 0 where the deviation is 0 or undefined. One aggregation, which combines
+    before its shuffle, joined back: a group of any size is never one task's."""
+    g = df.groupBy(*by).agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
+    j = _joined(df, g, by)
+    return j.withColumns({f"{c}_z": ratio(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))) for c in cols}).drop(*[f"_{x}_{c}" for x in "ms" for c in cols])
 
 
-def robust_z(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Adds <col>_rz: distance from the median by 1.4826 times the median distance (1 where that is tiny).
+def _joined(df: DataFrame, g: DataFrame, by: list[str]) -> DataFrame:
+    """df with the figures of its group; null keys are a group too."""
+    right = g.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for c in g.columns if c not in by])
+    cond = None
+    for c in by:
+        same = df[c].eqNullSafe(right[f"_k_{c}"])
+        cond = same if cond is None else cond & same
+    return df.join(right, cond, "left").drop(*[f"_k_{c}" for c in by])
 
-    Exact medians come from two grouped aggregations that are joined back, not from windows over whole groups.
-    """
-    med = df.groupBy(*by).agg(*[F.median(c).alias(f"_m_{c}") for c in cols])
-    out = df.join(med, by)
-    mad = out.groupBy(*by).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in cols])
-    out = out.join(mad, by)
-    scale = lambda c: 1.4826 * F.when(F.col(f"_d_{c}") <= 1e-8, 1.0 / 1.4826).otherwise(F.col(f"_d_{c}"))
-    return out.withColumns({f"{c}_rz": (F.col(c) - F.col(f"_m_{c}")) / scale(c) for c in cols}).drop(*[f"_{x}_{c}" for x in "md" for c in cols])
 
+def robust_z(df: DataFrame, by: list[str], cols: list[str], iqr: tuple = ()) -> DataFrame:
+    """Adds <col>_rz: distance from the median by 1.4826 times the median distance (1 where that is tiny); and for the
+    columns in iqr <col>_iz: distance from the median by the interquartile range (1 where that is 0).
 
-def iqr_z(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Adds <col>_iz: distance from the median by the interquartile range (1 where that is 0)."""
-    q = df.groupBy(*by).agg(F.percentile(col, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_q"))
-    spread = F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))
-    return df.join(q, by).withColumn(f"{col}_iz", (F.col(col) - F.get("_q", F.lit(1))) / F.when(spread == 0, 1.0).otherwise(spread)).drop("_q")
+    Three scans: one aggregation gives medians and quartiles, a second the median distances and carries the first's
+    figures along, and both are joined to the rows once.
+    """
+    every = list(dict.fromkeys([*cols, *iqr]))
+    quartiles = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    med = df.groupBy(*by).agg(*[(F.percentile(c, quartiles) if c in iqr else F.array(F.lit(None).cast("double"), F.median(c))).alias(f"_q_{c}") for c in every])
+    med = med.withColumns({f"_m_{c}": F.get(f"_q_{c}", F.lit(1)) for c in every} | {f"_s_{c}": F.get(f"_q_{c}", F.lit(2)) - F.get(f"_q_{c}", F.lit(0)) for c in iqr}).drop(*[f"_q_{c}" for c in every])
+    carried = [*[f"_m_{c}" for c in every], *[f"_s_{c}" for c in iqr]]
+    mad = _joined(df.select(*by, *every), med, by).groupBy(*by).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in cols], *[F.first(c).alias(c) for c in carried])
+    out = _joined(df, mad, by)
+    scale = lambda c: 1.4826 * F.when(F.col(f"_d_{c}") <= 1e-8, 1.0 / 1.4826).otherwise(F.col(f"_d_{c}"))
+    new = {f"{c}_rz": (F.col(c) - F.col(f"_m_{c}")) / scale(c) for c in cols}
+    new |= {f"{c}_iz": (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in iqr}
+    return out.withColumns(new).drop(*[f"_d_{c}" for c in cols], *carried)
 
 
 def place_in_night(df: DataFrame, by: list[str], order: list[str], profile: str = "device") -> DataFrame:
@@ -73,12 +88,13 @@ def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, r
     return df.withColumn(out, F.avg(value).over(_w(by, order).rowsBetween(-(rows - 1), 0)))
 
 
-def model_health(df: DataFrame, by: list[str], order: list[str], score: str, confidence: str, rows: int = 200, least: int = 20) -> DataFrame:
-    """Adds samples, mean_confidence, low_rate, degenerate and drift over the last rows predictions."""
+def model_health(df: DataFrame, by: list[str], order: list[str], score: str, confidence: str, rows: int = 200, least: int = 20, unit: float = 1.0) -> DataFrame:
+    """Adds samples, mean_confidence, low_rate, degenerate and drift over the last rows predictions. unit: what a confidence
+    of 1 is in the column; whole hundredths add up without rounding."""
     w = _w(by, order).rowsBetween(-(rows - 1), 0)
-    out = df.withColumns({"samples": F.count(F.lit(1)).over(w), "_c": F.avg(confidence).over(w), "_l": F.avg((F.col(confidence) < 0.5).cast("double")).over(w), "_v": F.var_pop(score).over(w)})
+    out = df.withColumns({"samples": F.count(F.lit(1)).over(w), "_c": F.avg(confidence).over(w), "_l": F.avg((F.col(confidence) < 0.5 * unit).cast("double")).over(w), "_v": F.var_pop(score).over(w)})
     ok = F.col("samples") >= least
-    out = out.withColumns({"mean_confidence": F.when(ok, F.col("_c")).otherwise(1.0), "low_rate": F.when(ok, F.col("_l")).otherwise(0.0), "degenerate": ok & (F.col("_v") < 1)})
+    out = out.withColumns({"mean_confidence": F.when(ok, F.col("_c") / unit).otherwise(1.0), "low_rate": F.when(ok, F.col("_l")).otherwise(0.0), "degenerate": ok & (F.col("_v") < 1)})
     return out.withColumn("drift", F.col("degenerate") | (F.col("low_rate") > 0.5)).drop("_c", "_l", "_v")
 
 
@@ -101,41 +117,96 @@ def majority(df: DataFrame, by: list[str], label: str, purity: float = 0.0) -> D
     return n.where((F.col("_r") == 1) & (F.col("share") >= purity)).drop("_c", "_r")
 
 
-def smooth_islands(classes: Column, confidence: Column, below: float = 0.6) -> Column:
-    """An array of classes with one-row islands of low confidence flipped to their neighbours' class, left to right:
-    earlier flips count for later ones, so this is a fold over the sequence."""
-    n = F.size(classes)
+def folded(df: DataFrame, by: list[str], order: list[str], start, step, fields: str) -> DataFrame:
+    """A fold over the rows of each key in order. Partitions hold whole keys, sorted; rows are read batch by batch and only
+    step's state is carried on, so a key of any length needs the memory of a batch.
+
+    start() gives a key's state; step(state, row) takes a dict of the row's columns and gives the rows to emit (dicts of
+    df's columns and the new ones); step(state, None) comes after a key's last row. fields: what is emitted, as DDL.
+    """
+    names = df.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in frames:
+            rows: list[dict] = []
+            for values in pdf.itertuples(index=False, name=None):
+                row = dict(zip(names, values, strict=True))
+                own = tuple(row[c] for c in by)
+                if own != key:
+                    if state is not None:
+                        rows += step(state, None)
+                    key, state = own, start()
+                rows += step(state, row)
+            if rows:
+                yield pd.DataFrame(rows)
+        if state is not None and (rest := step(state, None)):
+            yield pd.DataFrame(rest)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, fields)
+
+
+def _ddl(df: DataFrame, more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [more])
+
+
+def smoothed(df: DataFrame, by: list[str], order: list[str], cls: str, confidence: str, below: float = 0.6, out: str = "smoothed") -> DataFrame:
+    """Adds out: classes with one-row islands of low confidence flipped to their neighbours' class, left to right; earlier
+    flips count for later ones. The fold holds one row back, to see the next."""
+
+    def step(state: dict, row: dict | None) -> list[dict]:
+        done, held = [], state.get("held")
+        if held is not None:
+            own, prev = held[cls], state.get("prev")
+            if row is not None and prev is not None and prev == row[cls] and own != prev and held[confidence] < below:
+                own = prev
+            done, state["prev"] = [held | {out: own}], own
+        state["held"] = row
+        return done
+
+    return folded(df, by, order, dict, step, _ddl(df, f"{out} {df.schema[cls].dataType.simpleString()}"))
+
+
+def triggered(df: DataFrame, by: list[str], order: list[str], value: str, least: float, out: str = "hit") -> DataFrame:
+    """Adds out: whether a value is at least so far from the last one that triggered; the first triggers."""
 
-    def step(acc: Column, i: Column) -> Column:
-        prev, nxt, own = F.get(acc, i - 1), F.get(classes, i + 1), F.get(classes, i)
-        flip = (i > 0) & (i < n - 1) & (prev == nxt) & (own != prev) & (F.get(confidence, i) < below)
-        return F.concat(acc, F.array(F.when(flip, prev).otherwise(own)))
+    def step(state: dict, row: dict | None) -> list[dict]:
+        if row is None:
+            return []
+        hit = "last" not in state or abs(row[value] - state["last"]) >= least
+        if hit:
+            state["last"] = row[value]
+        return [row | {out: hit}]
 
-    return F.when(n == 0, classes).otherwise(F.aggregate(F.sequence(F.lit(0), n - 1), F.slice(classes, 1, 0), step))
+    return folded(df, by, order, dict, step, _ddl(df, f"{out} boolean"))
 
 
-def triggered(values: Column, least: float) -> Column:
-    """Which elements are at least so far from the last one that triggered; the first triggers."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("hit"))
+def cooled_down(df: DataFrame, by: list[str], order: list[str], at: str, gap: int, out: str = "let_through") -> DataFrame:
+    """Adds out: whether a row comes at least gap after the last one that was let through; the first is."""
 
-    def step(acc: Column, v: Column) -> Column:
-        hit = acc["last"].isNull() | (F.abs(v - acc["last"]) >= least)
-        return F.struct(F.when(hit, v).otherwise(acc["last"]).alias("last"), F.concat(acc["hit"], F.array(hit)).alias("hit"))
+    def step(state: dict, row: dict | None) -> list[dict]:
+        if row is None:
+            return []
+        hit = "last" not in state or row[at] - state["last"] >= gap
+        if hit:
+            state["last"] = row[at]
+        return [row | {out: hit}]
 
-    return F.aggregate(values, start, step, lambda acc: acc["hit"])
+    return folded(df, by, order, dict, step, _ddl(df, f"{out} boolean"))
 
 
-def cooled_down(times: Column, gap: int) -> Column:
-    """Which elements come at least gap after the last one that was let through; the first is."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("hit"))
+def capped(df: DataFrame, by: list[str], order: list[str], rows: int) -> DataFrame:
+    """The latest rows of each key, so many at most."""
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).drop("_r")
 
-    def step(acc: Column, t: Column) -> Column:
-        hit = acc["last"].isNull() | (t - acc["last"] >= gap)
-        return F.struct(F.when(hit, t).otherwise(acc["last"]).alias("last"), F.concat(acc["hit"], F.array(hit)).alias("hit"))
 
-    return F.aggregate(times, start, step, lambda acc: acc["hit"])
+def trailing_days(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
+    """Rows of the last days before as_of, the cutoff itself left out."""
+    return df.where((F.col(ts) > as_of - F.make_interval(days=F.lit(days))) & (F.col(ts) <= as_of))
 
 
-def in_order(df: DataFrame, by: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """One row for each group with an array of structs in order, for folds; a group is a night or a user's day."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order]))).alias("seq"))
+def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, by a maximum of structs instead of a sort."""
+    rest = [c for c in df.columns if c not in by]
+    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*by, "_r.*").select(df.columns)

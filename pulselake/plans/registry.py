@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulselake.plans import hrv, sequences, wellness
+from pulselake.plans import hrv, models, sequences, wellness
 
-MODULES = (hrv, sequences, wellness)
+MODULES = (hrv, sequences, wellness, models)
 
 
 def queries() -> dict:

@@ -20,7 +20,7 @@ def zscore_by_supplier(spark, d):
 
 def robust_by_supplier(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
-    out = windows.iqr_z(windows.robust_z(li, ["l_suppkey"], ["l_quantity", "l_extendedprice"]), ["l_suppkey"], "l_quantity")
+    out = windows.robust_z(li, ["l_suppkey"], ["l_quantity", "l_extendedprice"], ("l_quantity",))
     return rounded(out.select("l_orderkey", "l_linenumber", "l_quantity_rz", "l_extendedprice_rz", "l_quantity_iz"))
 
 
@@ -34,8 +34,8 @@ def score_smoothing(spark, d):
 
 
 def drift(spark, d):
-    e = events(spark, d).select("event_id", "user_id", "ms", "value", (F.col("k") / 100).alias("conf"))
-    return rounded(windows.model_health(e, ["user_id"], ORDER, "value", "conf").select("event_id", "samples", "mean_confidence", "low_rate", "degenerate", "drift"))
+    e = events(spark, d).select("event_id", "user_id", "ms", "value", F.col("k").cast("long").alias("conf"))
+    return rounded(windows.model_health(e, ["user_id"], ORDER, "value", "conf", unit=100.0).select("event_id", "samples", "mean_confidence", "low_rate", "degenerate", "drift"))
 
 
 def type_spans(spark, d):
@@ -100,15 +100,14 @@ def range_scan(spark, d):
 
 def trigger_and_cooldown(spark, d):
     """Per user: how many values are at least 7 from the last that triggered, and how many times come half a day apart."""
-    g = windows.in_order(events(spark, d), ["user_id"], ORDER, ["value"])
-    hits = windows.triggered(F.transform("seq", lambda s: s["value"]), 7.0)
-    cool = windows.cooled_down(F.transform("seq", lambda s: s["ms"]), 12 * HOUR)
-    n = lambda h: F.size(F.filter(h, lambda x: x)).cast("long")
-    return g.select("user_id", n(hits).alias("n_triggered"), n(cool).alias("n_cooled"))
+    e = events(spark, d).select("user_id", "event_id", "ms", "value")
+    hits = windows.triggered(e, ["user_id"], ORDER, "value", 7.0).groupBy("user_id").agg(F.count_if("hit").alias("n_triggered"))
+    cool = windows.cooled_down(e, ["user_id"], ORDER, "ms", 12 * HOUR).groupBy("user_id").agg(F.count_if("let_through").alias("n_cooled"))
+    return hits.join(cool, "user_id")
 
 
 def stage_softmax(spark, d):
-    """Class and confidence from the first four components of each vector as logits."""
+    """Class and confidence of each vector. A staging model has four logits: the vector's first four components stand in for them."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 10).alias("l"))
     e = e.withColumn("p", S.softmax(F.col("l")))
     return rounded(e.select("vec_id", S.argmax(F.col("l")).alias("stage"), F.array_max("p").alias("conf")))
@@ -118,9 +117,8 @@ def smoothed_stages(spark, d):
     """Stages in nights of 41 vectors with low-confidence islands flipped, left to right."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 10).alias("l"))
     e = e.select("vec_id", F.floor(F.col("vec_id") / 41).alias("night"), S.argmax(F.col("l")).alias("stage"), F.array_max(S.softmax(F.col("l"))).alias("conf"))
-    g = windows.in_order(e, ["night"], ["vec_id"], ["stage", "conf"])
-    out = windows.smooth_islands(F.transform("seq", lambda s: s["stage"]), F.transform("seq", lambda s: s["conf"]))
-    return g.select("night", F.posexplode(out).alias("epoch", "stage"))
+    e = e.withColumn("epoch", F.pmod("vec_id", F.lit(41)).cast("int"))
+    return windows.smoothed(e.select("night", "epoch", "stage", "conf"), ["night"], ["epoch"], "stage", "conf").select("night", "epoch", F.col("smoothed").alias("stage"))
 
 
 def daily_counts(spark, d):
@@ -151,7 +149,7 @@ SELECT l_orderkey, l_linenumber, round(dq / CASE WHEN aq <= 1e-8 THEN 1 ELSE 1.4
 g AS (SELECT user_id, count(*) AS n, avg(CASE WHEN i <= c // 2 THEN value END) AS first_avg, avg(CASE WHEN i > c // 2 THEN value END) AS second_avg FROM w GROUP BY 1)
 SELECT user_id, n, round(first_avg, 6) AS first_avg, round(second_avg, 6) AS second_avg, CASE WHEN n < 4 THEN 'stable' WHEN second_avg - first_avg > 5 THEN 'improving' WHEN second_avg - first_avg < -5 THEN 'declining' ELSE 'stable' END AS trend FROM g""",
     "score_smoothing": _E + ", w AS (SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS a FROM ev) SELECT event_id, CAST(floor(round(a, 6) + 0.5) AS BIGINT) AS smoothed, round(a, 6) AS avg24 FROM w",
-    "drift": _E + """, h AS (SELECT event_id, count(*) OVER w AS samples, avg(k / 100) OVER w AS c, avg(CASE WHEN k / 100 < 0.5 THEN 1.0 ELSE 0.0 END) OVER w AS l, var_pop(value) OVER w AS v FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
+    "drift": _E + """, h AS (SELECT event_id, count(*) OVER w AS samples, sum(CAST(k AS BIGINT)) OVER w / CAST(count(k) OVER w AS DOUBLE) / 100 AS c, avg(CASE WHEN k < 50 THEN 1.0 ELSE 0.0 END) OVER w AS l, var_pop(value) OVER w AS v FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
 SELECT event_id, samples, round(CASE WHEN samples >= 20 THEN c ELSE 1.0 END, 6) AS mean_confidence, round(CASE WHEN samples >= 20 THEN l ELSE 0.0 END, 6) AS low_rate, samples >= 20 AND v < 1 AS degenerate, samples >= 20 AND (v < 1 OR l > 0.5) AS drift FROM h""",
     "type_spans": _E + """, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS isl FROM a), g AS (SELECT user_id, isl, min(event_type) AS event_type, min(ms) AS s, max(ms) AS e, count(*) AS n FROM b GROUP BY 1, 2)
@@ -171,6 +169,14 @@ SELECT l.event_id, round(p.value, 6) AS last_value FROM l ASOF LEFT JOIN p ON l.
     "latest_event": _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM ev) SELECT user_id, event_id, event_type, round(value, 6) AS value, n FROM r WHERE r = 1",
     "range_scan": "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
     "stage_softmax": f"WITH l AS (SELECT vec_id, {_SM} AS l FROM embeddings), e AS (SELECT vec_id, l, list_max(l) AS t FROM l) SELECT vec_id, CAST(list_position(l, t) - 1 AS INTEGER) AS stage, round(1.0 / list_sum(list_transform(l, lambda x: exp(x - t))), 6) AS conf FROM e",
+    "trigger_and_cooldown": "WITH RECURSIVE " + EVENTS + f""", o AS (SELECT user_id, ms, value, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS i FROM ev),
+f AS (SELECT user_id, i, value AS last_v, ms AS last_t, 1 AS hit, 1 AS ok FROM o WHERE i = 1 UNION ALL
+  SELECT o.user_id, o.i, CASE WHEN abs(o.value - f.last_v) >= 7 THEN o.value ELSE f.last_v END, CASE WHEN o.ms - f.last_t >= {12 * HOUR} THEN o.ms ELSE f.last_t END, CASE WHEN abs(o.value - f.last_v) >= 7 THEN 1 ELSE 0 END, CASE WHEN o.ms - f.last_t >= {12 * HOUR} THEN 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, CAST(sum(hit) AS BIGINT) AS n_triggered, CAST(sum(ok) AS BIGINT) AS n_cooled FROM f GROUP BY 1""",
+    "smoothed_stages": f"""WITH RECURSIVE l AS (SELECT vec_id, {_SM} AS l FROM embeddings), e AS (SELECT CAST(vec_id // 41 AS BIGINT) AS night, CAST(vec_id % 41 AS INTEGER) AS epoch, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS stage, 1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS conf FROM l),
+s AS (SELECT night, epoch, stage AS own, conf, row_number() OVER w AS i, lead(stage) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY night ORDER BY epoch)),
+f AS (SELECT night, epoch, i, own AS stage FROM s WHERE i = 1 UNION ALL SELECT s.night, s.epoch, s.i, CASE WHEN s.nxt = f.stage AND s.own <> f.stage AND s.conf < 0.6 THEN f.stage ELSE s.own END FROM f JOIN s ON s.night = f.night AND s.i = f.i + 1)
+SELECT night, epoch, stage FROM f""",
     "daily_counts": "WITH dd AS (SELECT user_id, CAST(ts AS DATE) AS day, isodow(ts) - 1 AS wd, sum(value) AS s FROM events GROUP BY ALL) SELECT user_id, round(avg(s), 6) AS mean_daily, round(avg(CASE WHEN wd < 5 THEN s END), 6) AS mean_weekday, count(*) AS days FROM dd GROUP BY 1",
     "user_regression": _E + " SELECT user_id, round(regr_slope(value, k), 6) AS slope, round(regr_intercept(value, k), 6) AS intercept, round(covar_pop(value, k) / nullif(stddev_pop(value) * stddev_pop(k), 0), 6) AS r, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS median FROM ev GROUP BY 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from pulselake.functions import scalar as S
@@ -10,6 +12,7 @@ from pulselake.operators import actigraphy, baseline, evaluation, places, recomm
 from pulselake.plans.views import EVENTS, STAGES, WINDOWS, events, rounded, stages, table, windows
 
 MINUTE = 60_000
+MOVEMENT = ("mean_activity", "std_activity", "max_activity", "min_activity", "p10", "p25", "p50", "p75", "p90", "inactive_minutes", "active_minutes", "very_active_minutes", "day_mean", "night_mean", "day_night_ratio", "longest_rest_period", "rest_period_count", "activity_range", "activity_cv", "activity_entropy")
 
 
 # ---------------------------------------------------------------- nights, baselines, movement, light
@@ -39,9 +42,7 @@ def daily_movement(spark, d):
     """Movement figures of each user's day, from intervals of ten minutes spread over their minutes."""
     s = events(spark, d).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ms").alias("start_ms"), (F.col("ms") + 10 * MINUTE).alias("end_ms"), F.coalesce("k", F.lit(0.0)).alias("count"))
     by = ["user_id", "day"]
-    m = actigraphy.per_minute(s, by)
-    out = actigraphy.daily_features(m, by)
-    return rounded(out.select(*by, "mean_activity", "std_activity", "max_activity", "min_activity", "p10", "p25", "p50", "p75", "p90", "inactive_minutes", "day_mean", "night_mean", "longest_rest_period", "rest_period_count", "activity_range"))
+    return rounded(actigraphy.daily_features(actigraphy.stretches(s, by), by).select(*by, *MOVEMENT))
 
 
 def daily_sunlight(spark, d):
@@ -61,6 +62,7 @@ def place_stays(spark, d):
 
 
 def sentiment_scores(spark, d):
+    """Sentiment of what users said; the assistant's turns are not check-ins, so role = 'user' is part of the question."""
     c = table(spark, d, "conversations").where("role = 'user'").withColumn("w", T.tokens(F.coalesce("text", F.lit(""))))
     c = c.withColumn("sentiment", T.sentiment(F.col("w")))
     return rounded(c.select("conv_id", "turn", F.size("w").cast("long").alias("n_tokens"), "sentiment", S.sentiment_label(F.col("sentiment")).alias("label")))
@@ -175,9 +177,12 @@ y AS (SELECT *, CASE WHEN idle AND NOT coalesce(lag(idle) OVER (PARTITION BY use
 z AS (SELECT *, sum(new) OVER (PARTITION BY user_id, day ORDER BY minute) AS run FROM y),
 rr AS (SELECT user_id, day, max(c) AS longest, count(*) AS runs FROM (SELECT user_id, day, run, count(*) AS c FROM z WHERE idle GROUP BY 1, 2, 3) GROUP BY 1, 2),
 g AS (SELECT user_id, day, avg(v) AS mean_activity, stddev_pop(v) AS std_activity, max(v) AS max_activity, min(v) AS min_activity, """ + ", ".join(f"quantile_cont(v, {q / 100}) AS p{q}" for q in (10, 25, 50, 75, 90)) + """,
-  count(*) FILTER (v < 20) AS inactive_minutes, coalesce(avg(v) FILTER (dayt), 0.0) AS day_mean, coalesce(avg(v) FILTER (NOT dayt), 0.0) AS night_mean, max(v) - min(v) AS activity_range FROM z GROUP BY 1, 2)
+  count(*) FILTER (v < 20) AS inactive_minutes, count(*) FILTER (v > 200) AS active_minutes, count(*) FILTER (v > 500) AS very_active_minutes, coalesce(avg(v) FILTER (dayt), 0.0) AS day_mean, coalesce(avg(v) FILTER (NOT dayt), 0.0) AS night_mean, max(v) - min(v) AS activity_range FROM z GROUP BY 1, 2),
+hb AS (SELECT z.user_id, z.day, least(19, floor((v - min_activity) / ((max_activity - min_activity + 1e-9) / 20))) AS b, count(*) AS c FROM z JOIN g ON z.user_id = g.user_id AND z.day = g.day GROUP BY 1, 2, 3),
+he AS (SELECT user_id, day, sum(-(c / t) * log2(c / t)) AS activity_entropy FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id, day) AS DOUBLE) AS t FROM hb) GROUP BY 1, 2)
 SELECT g.user_id, g.day, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean_activity", "std_activity", "max_activity", "min_activity", "p10", "p25", "p50", "p75", "p90", "day_mean", "night_mean", "activity_range")) + """,
-  inactive_minutes, coalesce(longest, 0) AS longest_rest_period, coalesce(runs, 0) AS rest_period_count FROM g LEFT JOIN rr ON g.user_id = rr.user_id AND g.day = rr.day"""
+  round(day_mean / (night_mean + 1), 6) AS day_night_ratio, round(std_activity / (mean_activity + 1e-6), 6) AS activity_cv, round(activity_entropy, 6) AS activity_entropy, active_minutes, very_active_minutes,
+  inactive_minutes, coalesce(longest, 0) AS longest_rest_period, coalesce(runs, 0) AS rest_period_count FROM g LEFT JOIN rr ON g.user_id = rr.user_id AND g.day = rr.day JOIN he ON g.user_id = he.user_id AND g.day = he.day"""
 
 
 def _words(ws) -> str:
@@ -212,6 +217,7 @@ SELECT e.{by}, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, round(coales
   round(coalesce(((tp + tn) / n - chance) / nullif(1 - chance, 0), 0), 6) AS kappa, round((s - np * (np + 1) / 2.0) / nullif(CAST(np AS DOUBLE) * nn, 0), 6) AS auc FROM e JOIN u ON e.{by} = u.{by}"""
 
 
+# The rules' thresholds and priorities, as SQL, for the inputs that _state gives.
 _RULES = """WITH """ + EVENTS + """, s AS (SELECT user_id, avg(value) AS stress, avg(k) AS anxiety, max(value) / 2 AS sq, CAST(max(event_id) % 24 AS INTEGER) AS hour, count(*) FILTER (event_type = 'click') / count(*) AS sun, CAST(count(*) FILTER (event_type = 'view') AS DOUBLE) AS sm FROM ev GROUP BY 1),
 r AS (""" + " UNION ALL ".join(f"SELECT user_id, {n} AS n, '{i}' AS intervention, '{t}' AS trigger, {p} AS priority FROM s WHERE {c}" for n, (c, i, t, p) in enumerate([
     ("stress >= 70", "breathing_box", "biometric", 0.95), ("stress >= 70", "meditation_grounding", "biometric", 0.85),
@@ -234,9 +240,10 @@ UNION ALL SELECT event_id, 'hr_elevated', CASE WHEN hz > 3 THEN 'high' ELSE 'mod
     "daily_movement": _MOVE,
     "daily_sunlight": "WITH " + EVENTS + """, l AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, hour(ts) AS h, value * 30 AS lux FROM ev)
 SELECT user_id, day, count(*) FILTER (lux >= 1000) AS outdoor_minutes, count(*) FILTER (lux >= 1000 AND h BETWEEN 10 AND 14) AS optimal_minutes, round(greatest(max(lux), 0.0), 6) AS peak_lux, round(coalesce(avg(lux) FILTER (lux >= 1000), 0.0), 6) AS avg_outdoor_lux, round(least(1.0, CAST(count(*) FILTER (lux >= 1000) AS DOUBLE) / 30), 6) AS goal_progress FROM l GROUP BY 1, 2""",
+    "scrubbed": "SELECT conv_id, turn, md5(" + functools.reduce(lambda c, pn: f"regexp_replace({c}, '{pn[0]}', '{pn[1]}', 'g')", T.PERSONAL, "coalesce(text, '')") + ") AS scrubbed_md5 FROM conversations",
     "sentiment_scores": _SENT,
     "emotion_profile": _EMO,
-    "tree_scores": f"WITH {_SCORE}, z AS (SELECT *, floor(round(prob * 100, 6) + 0.5) AS s FROM sc) SELECT l_orderkey, l_linenumber, round(prob, 6) AS prob, CAST(s AS BIGINT) AS score, CASE WHEN s < 30 THEN 'minimal' WHEN s < 50 THEN 'mild' WHEN s < 70 THEN 'moderate' ELSE 'severe' END AS level FROM z",
+    "tree_scores": f"WITH {_SCORE}, z AS (SELECT *, floor(round(prob * 100, 6) + 0.5) AS s FROM sc) SELECT l_orderkey, l_linenumber, round(prob, 6) AS prob, CAST(s AS BIGINT) AS score, CASE WHEN s < 30 THEN 'minimal' WHEN s < 50 THEN 'mild' WHEN s < 70 THEN 'moderate' ELSE 'high' END AS level FROM z",
     "tree_metrics": _metrics(f"{_SCORE}, d AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, round(prob, 9) AS p FROM sc)", "l_suppkey", 0.45),
     "label_metrics": _metrics("d AS (SELECT 'all' AS model, quality AS y, CAST(1 - toxic AS DOUBLE) AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)", "model", 0.5),
     "label_confusion": "SELECT quality AS actual, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2",

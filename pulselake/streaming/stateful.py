@@ -36,38 +36,97 @@ def once_a_day(stream: DataFrame, by: list[str], ts: str, late: str = "1 day") -
     return stream.withColumn("_day", F.date_trunc("day", ts)).withWatermark("_day", late).dropDuplicates([*by, "_day"]).drop("_day")
 
 
-def _fold(stream: DataFrame, key: str, ms: str, value: str, tie: str, passes, state: str) -> DataFrame:
-    """The records that passes(last passed (ms, value) or None, ms, value) lets through, for each key.
-
-    State is one record of two numbers for each key and is kept: it grows with the keys, not with the stream. (A
-    processing-time timeout would keep an availableNow query running for ever.) Records of a micro-batch are taken
-    in order of time; across micro-batches in order of arrival.
+def heart_epochs(stream: DataFrame, by: list[str], ts: str, bpm: str, seconds: int = 30, reach: int = 120, late: str = "210 seconds") -> DataFrame:
+    """Heart figures of each epoch over the samples within reach of its centre: every sample goes to the epochs it reaches.
+    The watermark runs on the epochs' starts, of which the last lies reach - 15 s ahead of the sample, so an epoch closes
+    when samples have come to 135 s after its start. Epochs without samples don't come out."""
+    t = F.unix_micros(ts) / 1e6
+    first, last = F.ceil((t - reach - seconds / 2) / seconds), F.floor((t + reach - seconds / 2) / seconds)
+    inside = F.when((t - reach - seconds / 2) == first * seconds, first + 1).otherwise(first)  # samples end before centre + reach
+    e = stream.withColumn("_e", F.explode(F.sequence(inside.cast("long"), last.cast("long")))).withColumn("epoch_start", F.timestamp_seconds(F.col("_e") * seconds))
+    w = e.withWatermark("epoch_start", late).groupBy(*by, F.window("epoch_start", f"{seconds} seconds").alias("w"))
+    out = w.agg(F.avg(bpm).alias("hr_mean"), F.stddev_pop(bpm).alias("hr_std"), F.min(bpm).alias("hr_min"), F.max(bpm).alias("hr_max"), F.count(bpm).alias("n"))
+    return out.select(*by, F.col("w.start").alias("epoch_start"), "hr_mean", "hr_std", "hr_min", "hr_max", "n")
+
+
+def magnitudes(stream: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """Adds g, the size of an acceleration."""
+    return stream.withColumn("g", F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y) + F.col(z) * F.col(z)))
+
+
+def _fold(stream: DataFrame, keys: list[str], ms: str, value: str, tie: str, step, state: str, more: str = "") -> DataFrame:
+    """A fold over each key's records: step(last state or None, ms, value) gives (state, what to emit or None).
+
+    State is a small record for each key and is kept: it grows with the keys, not with the stream. (A processing-time
+    timeout would keep an availableNow query running for ever.) Records of a micro-batch are taken in order of time;
+    across micro-batches in order of arrival. What is emitted is the record, with the columns in more.
     """
-    fields = stream.select(key, ms, value, tie).schema
+    cols = [*keys, ms, value, tie]
+    names = [p.split()[0] for p in more.split(", ")] if more else []
+    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in stream.select(*cols).schema.fields] + ([more] if more else []))
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         last = tuple(group.get) if group.exists else None
         rows = pd.concat(list(frames)).sort_values([ms, tie], kind="stable")
-        kept = []
+        kept, extra = [], []
         for i, (t, v) in enumerate(zip(rows[ms], rows[value], strict=True)):
-            if passes(last, int(t), float(v)):
-                last = (int(t), float(v))
+            last, out = step(last, int(t), float(v))
+            if out is not None:
                 kept.append(i)
+                extra.append(out)
         if last is not None:
             group.update(last)
-        yield rows.iloc[kept][[key, ms, value, tie]]
+        got = rows.iloc[kept][cols].reset_index(drop=True)
+        for j, n in enumerate(names):
+            got[n] = [x[j] for x in extra]
+        yield got
+
+    return stream.select(*cols).groupBy(*keys).applyInPandasWithState(run, fields, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def _passing(passes):
+    def step(last, t, v):
+        return ((t, v), ()) if passes(last, t, v) else (last, None)
 
-    return stream.select(key, ms, value, tie).groupBy(key).applyInPandasWithState(run, fields, state, "append", GroupStateTimeout.NoTimeout)
+    return step
 
 
-def throttled(stream: DataFrame, key: str, ms: str, value: str, tie: str, gap_ms: int = 60_000) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def throttled(stream: DataFrame, key: str | list[str], ms: str, value: str, tie: str, gap_ms: int = 60_000) -> DataFrame:
     """Records at least gap_ms after the last one that was kept."""
-    return _fold(stream, key, ms, value, tie, lambda last, t, v: last is None or t - last[0] >= gap_ms, "last_ms long, last_value double")
+    return _fold(stream, _keys(key), ms, value, tie, _passing(lambda last, t, v: last is None or t - last[0] >= gap_ms), "last_ms long, last_value double")
+
+
+def cooled_down(stream: DataFrame, user: str, kind: str, ms: str, value: str, tie: str, gap_ms: int = 1_800_000) -> DataFrame:
+    """Alerts at least gap_ms after the last one of the same user and kind that was let through."""
+    return throttled(stream, [user, kind], ms, value, tie, gap_ms)
 
 
-def triggered(stream: DataFrame, key: str, ms: str, value: str, tie: str, least: float = 7.0) -> DataFrame:
+def triggered(stream: DataFrame, key: str | list[str], ms: str, value: str, tie: str, least: float = 7.0) -> DataFrame:
     """Records whose value is at least so far from the last that triggered."""
-    return _fold(stream, key, ms, value, tie, lambda last, t, v: last is None or abs(v - last[1]) >= least, "last_ms long, last_value double")
+    return _fold(stream, _keys(key), ms, value, tie, _passing(lambda last, t, v: last is None or abs(v - last[1]) >= least), "last_ms long, last_value double")
+
+
+def deltas(stream: DataFrame, key: str | list[str], ms: str, value: str, tie: str, width_ms: int = 30_000) -> DataFrame:
+    """Adds delta: the change from the epoch just before; 0 for the first and after a gap (an epoch that didn't come)."""
+
+    def step(last, t, v):
+        return (t, v), ((v - last[1] if last is not None and t - last[0] == width_ms else 0.0),)
+
+    return _fold(stream, _keys(key), ms, value, tie, step, "last_ms long, last_value double", "delta double")
+
+
+def smoothed_scores(stream: DataFrame, key: str | list[str], ms: str, value: str, tie: str, rows: int = 24) -> DataFrame:
+    """Adds smoothed: the mean of each key's last rows values, to a whole number. State is those values, so it is bounded."""
+
+    def step(last, t, v):
+        recent = [*(list(last[0]) if last is not None else []), v][-rows:]
+        return (recent,), (float(int(sum(recent) / len(recent) + 0.5)),)
+
+    return _fold(stream, _keys(key), ms, value, tie, step, "recent array<double>", "smoothed double")
 
 
 def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str, part: str, checkpoint: str) -> StreamingQuery:

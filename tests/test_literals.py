@@ -36,8 +36,9 @@ def test_time_domain(spark):
 def test_robust_z_and_smoothing(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4, 100)], "g string, x double")
     assert sorted(r.x_rz for r in windows.robust_z(df, ["g"], ["x"]).collect()) == pytest.approx([-1.348982, -0.674491, 0, 0.674491, 65.425604], abs=1e-5)
-    classes, conf = F.array(*map(F.lit, (0, 1, 0, 1, 1))), F.array(*map(F.lit, (0.9, 0.5, 0.5, 0.5, 0.9)))
-    assert one(spark, windows.smooth_islands(classes, conf))[0] == [0, 0, 0, 1, 1]
+    rows = [("n", i, c, p) for i, (c, p) in enumerate(zip((0, 1, 0, 1, 1), (0.9, 0.5, 0.5, 0.5, 0.9), strict=True))] + [("o", 0, 1, 0.1)]
+    got = windows.smoothed(spark.createDataFrame(rows, "n string, i int, c int, p double"), ["n"], ["i"], "c", "p").orderBy("n", "i").collect()
+    assert [r.smoothed for r in got] == [0, 0, 0, 1, 1, 1]
 
 
 def test_stays_share_a_place_on_return(spark):

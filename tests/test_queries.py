@@ -22,13 +22,13 @@ def duck(sf_dir):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v + 0.0, 5)
+        return "nan" if math.isnan(v) else round(v + 0.0, 6)
     return v
 
 
 def same(a, b):
     if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool):
-        return math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-5)
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-7)
     return a == b
 
 
@@ -38,7 +38,7 @@ def kind(x, digits):
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    return sorted(([plain(r[i]) for i in order] for r in rows), key=lambda r: ([kind(x, 3) for x in r], [kind(x, 5) for x in r]))
+    return sorted(([plain(r[i]) for i in order] for r in rows), key=lambda r: ([kind(x, 3) for x in r], [kind(x, 6) for x in r]))
 
 
 @pytest.mark.parametrize("name", NAMES)
