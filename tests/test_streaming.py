@@ -54,3 +54,43 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
         stateful.upsert_latest(stream, str(tmp_path / "out"), ["id"], "at", "day", str(tmp_path / "ck")).awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).select("id", "day", "at", "x").collect())
     assert got == [(1, "a", 2, 11), (2, "b", 1, 20), (3, "a", 1, 30)]
+
+
+def test_gap_reset_smoothing_and_cooldown(event_stream, spark, tmp_path):
+    rows, stream = event_stream
+    deltas = {r[3]: r[4] for r in drained(stateful.deltas(stream, "user_id", "ms", "value", "event_id", 20_000), tmp_path, "deltas")}
+    value = {i: v for _, _, v, i in rows}
+    assert all(deltas[i] == (value[i] - value[i - 1] if 0 < i < 40 else 0.0) for i in value)  # user 2's samples are gaps apart
+    smooth = {r[3]: r[4] for r in drained(stateful.smoothed_scores(stream, "user_id", "ms", "value", "event_id", 24), tmp_path, "smooth")}
+    for i in range(40):
+        own = [value[j] for j in range(max(0, i - 23), i + 1)]
+        assert smooth[i] == int(sum(own) / len(own) + 0.5)
+    kinds = stream.withColumn("kind", F.when(F.col("event_id") % 2 == 0, "a").otherwise("b"))
+    got = drained(stateful.cooled_down(kinds, "user_id", "kind", "ms", "value", "event_id", 200_000), tmp_path, "alerts")
+    want, last = set(), {}
+    for u, t, _, i in sorted(rows, key=lambda r: (r[0], r[1])):
+        if t - last.get((u, i % 2), -1e15) >= 200_000:
+            last[u, i % 2] = t
+            want.add(i)
+    assert {r[4] for r in got} == want
+
+
+def test_heart_epochs_equal_batch(event_stream, tmp_path):
+    rows, stream = event_stream
+    got = {(r[0], int(r[1].timestamp())): (r[2], r[6]) for r in drained(stateful.heart_epochs(stream, ["user_id"], "ts", "value"), tmp_path, "hearts")}
+    last = max(t for _, t, _, _ in rows) / 1000
+    assert got
+    for (u, start), (mean, n) in got.items():
+        own = [v for w, t, v, _ in rows if w == u and start + 15 - 120 <= t / 1000 < start + 15 + 120]
+        assert n == len(own) and mean == pytest.approx(sum(own) / len(own)) and start + 30 <= last + 120
+
+
+def test_trailing_and_sessions_equal_batch(event_stream, tmp_path):
+    rows, stream = event_stream
+    got = drained(stateful.sessions(stream, ["user_id"], "ts", "1 minute", "1 minute"), tmp_path, "sessions", "append")
+    assert {(r[0], r[3]) for r in got} <= {(1, 40), (2, 1)} and got  # user 2's samples are 90 s apart
+    hops = drained(stateful.trailing(stream, ["user_id"], "ts", "value", "2 minutes", "1 minute"), tmp_path, "hops", "complete")
+    for u, at, mean, n in hops:
+        end = int(at.timestamp() * 1000)
+        own = [v for w, t, v, _ in rows if w == u and end - 120_000 <= t < end]
+        assert n == len(own) and mean == pytest.approx(sum(own) / len(own))
