@@ -53,6 +53,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it what no column of df is called."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, taken: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of the names in taken under others, and how to rename them back, so that helper columns clash with none."""
+    back = {f"__own{i}": c for i, c in enumerate(df.columns) if c in taken}
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def discard(*written: DataFrame) -> None:
     """Delete the files of materialized DataFrames that nothing reads any more."""
     for df in written:
@@ -197,6 +210,7 @@ def blocks(batches, text_col: str, most_bytes: int = 2 << 20):
             to = max(at + 1, int(np.searchsorted(size, before + most_bytes, side="right")))
             yield t.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers are kept; what they don't need should not be
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulselake.llm.common import Words, arrow_bytes, blocks, materialize, mix, partitions, shingle_hashes, sized, table
+from pulselake.llm.common import Words, arrow_bytes, blocks, materialize, mix, partitions, set_aside, shingle_hashes, sized, table
 from pulselake.llm.fm_index import FMIndex
 
 WINDOW = 35
@@ -83,7 +83,7 @@ def _cut(window: int):
     """Of each text, the regions asked for: the words, or for hot anchors the hash of each window (words null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "_t", 4 << 20):
+        for part in blocks(batches, "_t", 1 << 20):
             data, off = arrow_bytes(part["_t"])
             words = Words(data, off, fold=False)
             r = Regions(words, window)
@@ -137,7 +137,7 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterat
         yield pa.concat_tables(held)
 
 
-def _search(window: int, most_bytes: int = 16 << 20):
+def _search(window: int, most_bytes: int = 4 << 20):
     """Index the regions of whole anchors, which come in order, and stream them through the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     Columns named n_words, n_removed or kept_text are replaced; others stay, also text_col.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs, back = set_aside(docs.drop("n_words", "n_removed", "kept_text"), {"_k", "_t", "spans"})
+    text_col = next((n for n, c in back.items() if c == text_col), text_col)
     others = [f for f in docs.schema.fields]
     named = [f for f in docs.columns if f != text_col]
     keyed = docs.withColumns({"_t": F.col(text_col), "_k": F.xxhash64(*[F.col(c) for c in [*named[:1], text_col]])})
@@ -224,7 +225,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     none = F.lit(None).cast("array<struct<s:int,e:int>>")
     both = keyed.join(touched, "_k", "left_semi").join(spans, "_k").unionByName(keyed.join(touched, "_k", "left_anti").withColumn("spans", none))
     schema = T.StructType(others + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return both.select(*docs.columns, "_t", "spans").mapInArrow(_remove(to_arrow_schema(T.StructType(others))), schema)
+    return both.select(*docs.columns, "_t", "spans").mapInArrow(_remove(to_arrow_schema(T.StructType(others))), schema).withColumnsRenamed(back)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
