@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import ascii_lower, table
+from pulselake.llm.common import ascii_lower, set_aside, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,6 +54,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple = TE
     labels (empty strings), null places, score 0. Very long texts are scanned whole. Repeated rows are scanned
     alike; an empty table stays so. Extra columns stay unless they have the names of the results, which replace them.
     """
+    docs, back = set_aside(docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"), {c for c in docs.columns if re.fullmatch(r"_w|_at|_hits|_b\d+", c)})
+    text_col = next((n for n, c in back.items() if c == text_col), text_col)
     t_words = [(label, list(dict.fromkeys(text.split())), max(block, 2 * len(text.split()))) for label, text in templates]
     vocabulary = sorted({w for _, ws, _ in t_words for w in ws})
     first_of = "|".join(GAP.join(p.split()) for p, _ in phrases)
@@ -132,7 +135,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple = TE
         "base_labels": F.array_join(base, ","),
         "labels": F.array_join(F.array_sort(F.array_union(base, F.transform("_hits", lambda x: x["label"]))), ","),
         "score": F.when(F.size("_at") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_hits", lambda x: x["score"])), F.lit(0.0))),
-    }).drop("_w", "_at", "_hits", *[f"_b{length}" for length in lengths])
+    }).drop("_w", "_at", "_hits", *[f"_b{length}" for length in lengths]).withColumnsRenamed(back)
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import WORD, materialize, table
+from pulselake.llm.common import WORD, materialize, set_aside, sized, table
 
 MAX_EPOCHS = 3
 #: Documents in a group within which fractional repetitions are dealt out.
@@ -50,18 +50,22 @@ def mix(docs: DataFrame, source: str, size: str, key: str, weights: tuple = (1,
 
     Null source: a source of its own. Null key: hashed as such. Rows of size 0 are repeated but take nothing.
     Rows with equal keys are ordered by size; identical rows are interchangeable. An empty table gives no rows.
+    Columns named source_size, target or reps are replaced; others stay.
     """
-    targets = source_targets(docs, source, size, weights, max_epochs)
-    joined = docs.join(F.broadcast(targets), docs[source].eqNullSafe(targets["_source"]), "left")  # one row per source
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    docs, back = set_aside(docs, {"source_size", "target", "reps", "_source", "_rows", "_h", "_g", "_ratio", "_w", "_cap", "_level"})
+    source, size, key = (next((n for n, c in back.items() if c == x), x) for x in (source, size, key))
+    back = {n: c for n, c in back.items() if c not in ("source_size", "target", "reps")}
+    targets = materialize(source_targets(docs, source, size, weights, max_epochs), "targets")
+    joined = docs.join(sized(targets), docs[source].eqNullSafe(targets["_source"]), "left")
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     groups = F.ceil(F.col("_rows") / GROUP_ROWS)
-    joined = joined.withColumns({"_h": h, "_g": F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), groups), "_ratio": F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))})
+    joined = joined.withColumns({"_h": F.substring(h, 9, 24), "_g": F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), groups), "_ratio": F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))})
     group = Window.partitionBy("_source", "_g")
     ordered = group.orderBy("_h", key, size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = F.floor("_ratio")
     midpoint2 = 2 * F.sum(size).over(ordered) - F.col(size)
     extra = F.when(midpoint2 < 2.0 * (F.col("_ratio") - whole) * F.sum(size).over(group), 1).otherwise(0)
-    return joined.withColumn("reps", (whole + extra).cast("int")).drop("_source", "_rows", "_h", "_g", "_ratio")
+    return joined.withColumn("reps", (whole + extra).cast("int")).drop("_source", "_rows", "_h", "_g", "_ratio", *[n for n in docs.columns if n.startswith("__own") and n not in back]).withColumnsRenamed(back)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import Words, arrow_bytes, blocks, discard, materialize, mix, partitions, shingle_hashes, sized, table
+from pulselake.llm.common import Words, arrow_bytes, blocks, discard, free_name, materialize, mix, partitions, shingle_hashes, sized, table
 from pulselake.llm.components import components
 
 SHINGLE = 5
@@ -354,8 +354,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that link, directly or not, to one of smaller id."""
-    drop = materialize(jaccard_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "dropped")
-    return docs.join(sized(drop), docs[id_col] == F.col("_drop"), "left_anti")
+    gone = free_name(docs, "_drop")
+    drop = materialize(jaccard_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "dropped")
+    return docs.join(sized(drop), docs[id_col] == F.col(gone), "left_anti")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pulselake.llm.embedding_dedup import op5_embedding_dedup
 from pulselake.llm.licenses import op8_licenses
 from pulselake.llm.mixing import op6_mixing
 from pulselake.llm.ngram_join import op3_ngram_join
+from pulselake.llm.oracles import ORACLES
 from pulselake.llm.sharding import op4_sharding
 from pulselake.llm.substring_dedup import op10_substring_dedup
 from pulselake.llm.topk import op7_topk
@@ -25,7 +26,6 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:

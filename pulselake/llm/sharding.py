@@ -48,6 +48,3 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-
-# The SQL checksum is left out where DuckDB has no crc32; the tests compare it with zlib instead.
-ORACLE_OP4 = None

@@ -130,12 +130,14 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
     proves nearly all rows out, and the possible rest is scored exactly. The best of all shards are then ranked.
 
     Vectors null, empty or with null or non-finite components take no part, nor null ids; vectors of another length
-    than the query's are no candidates. Rows with the query's id are its own. Ties go to the smaller id. Scores must
+    than the query's are no candidates. Rows with one id are one vector: equal ones count once, of
+    different ones the shorter, then the bytewise least counts. Ties go to the smaller id. Scores must
     fit a long. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     usable = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
-    whole = materialize(usable.mapInArrow(_integers, "id long, dim int, v binary"), "integers")
+    one = usable.mapInArrow(_integers, "id long, dim int, v binary").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("_r"))
+    whole = materialize(one.select("id", "_r.dim", "_r.v"), "integers")
     ask = queries(F.col("id"))
     n, n_ask = whole.agg(F.count(F.lit(1)), F.count_if(ask)).first()
     shards, n_blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(n_ask / (4 * QUERIES)))
@@ -143,7 +145,7 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
     rows = whole.select("*", F.lit(False).alias("query"), F.pmod(salt, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     asked = whole.where(ask).select("*", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(salt, F.lit(n_blocks)).cast("int").alias("block"))
     dealt = rows.unionByName(asked).repartition(partitions(spark), "dim", "shard", "block")
-    best = dealt.mapInArrow(_answer(k), "query_id long, id long, score long").distinct()
+    best = dealt.mapInArrow(_answer(k), "query_id long, id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import ascii_lower, table
+from pulselake.llm.common import ascii_lower, free_name, set_aside, table
 
 TOKEN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rules are a parameter and travel as literals; more than this many should be loaded as a table instead.
+#: Up to so many rules travel as literals; more are a table, and are joined (judge_by_table).
 MOST_RULES = 2000
 
 
@@ -67,10 +67,17 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = HOST
     rules' patterns run. Host rules outrank free patterns; among equals the longest name wins. rule is the winning
     host rule's name, else null; verdict is the winner's, else allow. No shuffle but the small count.
 
-    A null, empty or odd URL fetches nothing and is allowed. Repeated rows are judged alike; an empty table stays so.
+    A null, empty or odd URL fetches nothing and is allowed; long ones are looked at whole. Repeated rows are judged alike;
+    an empty table stays so. Columns named host, path, rule or verdict are replaced; others stay. A rule needs a token.
     """
+    if any(not r.tokens for r in rules):
+        raise ValueError("a rule needs at least one literal token, under which it is indexed")
     if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} travel as literals")
+        table_of = [(r.name, r.verdict, r.pattern, list(r.tokens), r.base) for r in rules]
+        return judge_by_table(pages, pages.sparkSession.createDataFrame(table_of, RULE_FIELDS), url_col)
+    pages, back = set_aside(pages, {"_fetched", "_hit", *({"host", "path", "rule", "verdict"} & {url_col})})
+    url_col = next((n for n, c in back.items() if c == url_col), url_col)
+    back = {n: c for n, c in back.items() if c not in ("host", "path", "rule", "verdict")}
     url = pages[url_col]
     host, path = host_and_path(url)
     work = pages.withColumns({"host": host, "path": path})
@@ -93,7 +100,30 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = HOST
     return work.withColumns({
         "rule": F.when(F.col("_hit.base"), F.col("_hit.name")),
         "verdict": F.coalesce("_hit.verdict", F.lit("allow")),
-    }).drop("_fetched", "_hit")
+    }).drop("_fetched", "_hit").withColumnsRenamed(back)
+
+
+RULE_FIELDS = "name string, verdict string, pattern string, tokens array<string>, base boolean"
+
+
+def judge_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+    """As judge, for a table of rules (RULE_FIELDS) of any size: tokens of distinct host + path meet rules in an equality
+    join on each rule's rarest token, and only the rules that a URL fetches run their patterns."""
+    pages = pages.drop(*({"host", "path", "rule", "verdict"} - {url_col}))
+    host, path = host_and_path(pages[url_col])
+    judged = {"host": host, "path": path}
+    at = free_name(pages, "_at")
+    work = pages.withColumn(at, F.concat(host, path))
+    targets = work.select(F.col(at).alias("t")).where("t != ''").distinct()
+    tokens = targets.select("t", F.explode(F.array_distinct(F.split(ascii_lower(F.col("t")), TOKEN_GAP, -1))).alias("token"))
+    literal = rules.select(F.struct("base", F.length("name").alias("n"), "name", "verdict", "pattern").alias("r"), F.explode("tokens").alias("token"))
+    seen = tokens.join(literal.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    rarest = literal.join(seen, "token", "left").groupBy("r").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token")).alias("_m")).select("r", F.col("_m.token").alias("token"))
+    hits = tokens.join(rarest, "token").where(F.rlike(F.col("t"), F.col("r.pattern"))).groupBy("t").agg(F.max("r").alias("r"))
+    won = free_name(work, "_won")
+    out = work.join(hits.select(F.col("t").alias(f"{at}t"), F.col("r").alias(won)), F.col(at) == F.col(f"{at}t"), "left")
+    judged |= {"rule": F.when(F.col(f"{won}.base"), F.col(f"{won}.name")), "verdict": F.coalesce(F.col(f"{won}.verdict"), F.lit("allow"))}
+    return out.withColumns(judged).drop(at, f"{at}t", won)
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
