@@ -53,7 +53,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     score's logit is penalised along with the loss: what labels say about texts that happen to mention a group
     can't settle on the group's name.
     Only the sample's (row, feature) numbers reach the driver: at most most_rows times the features.
-    Null labels and ids are left out, null text counts as empty; without rows of both labels the model is the base rate.
+    Null labels and ids are left out, null text counts as empty; rows of docs with one id are texts of their own, each with
+    the id's label; without rows of both labels the model is the base rate.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
@@ -80,16 +81,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     at = np.repeat(np.arange(len(rows)), [len(r["f"]) for r in rows])
     feature = np.array([number[w] for r in rows for w in r["f"]], int)
 
+    k = len(vocabulary)
     swaps: list[tuple[int, int]] = []  # (feature that goes, feature that comes) of each counterfactual text
     group_of = {number[w]: [number[x] for x in g if x != w] for g in groups for w in g}
-    for f in feature:
-        swaps += [(int(f), o) for o in group_of.get(int(f), ())]
-    # The texts' own words are the same on both sides, so a swap's change of the logit is w[goes] - w[comes].
+    for r in rows:
+        held = {number[w] for w in r["f"]}
+        swaps += [(f, k if o in held else o) for f in sorted(held) for o in group_of.get(f, ())]
+    # The texts' other words are the same on both sides, so a swap's change of the logit is w[goes] - w[comes]. Where the
+    # text holds the word that comes already, nothing comes: feature k, whose weight is 0.
     # Every group takes part with weight one in any case, so that names no labelled text mentions stay equal too.
     swaps += [(a, b) for g in groups for a, b in zip((number[w] for w in g), (number[w] for w in g[1:]), strict=False)]
     goes, comes = np.array(swaps, int).reshape(-1, 2).T
 
-    k = len(vocabulary)
     # Weights are drawn towards each word's own log odds (towards 0 for identity words): a word that always comes with
     # others of its kind then still counts where it stands alone.
     rate = pos / n
@@ -102,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         z = b + np.bincount(at, w[feature], len(rows))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
         g = np.bincount(feature, e[at], k) + l2 * (w - prior)
-        change = (w[goes] - w[comes]) * (2 * penalty / len(goes))
-        g += np.bincount(goes, change, k) - np.bincount(comes, change, k)
+        change = (w[goes] - np.append(w, 0.0)[comes]) * (2 * penalty / len(goes))
+        g += np.bincount(goes, change, k) - np.bincount(comes, change, k + 1)[:k]
         g = np.append(g, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -112,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1. Empty and null texts get the score of no words. Whole texts count."""
+    """docs with a score from 0 to 1 as out_col, which replaces a column of that name; others stay. Empty and null texts get
+    the score of no words. Whole texts count, however long; a word counts once. Repeated rows score alike; an empty
+    table stays so."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     logit = F.lit(model.bias)
     if model.weights:
