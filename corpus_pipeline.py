@@ -1,4 +1,10 @@
-"""From raw documents to token ids: toxicity filter, near-duplicate removal, repeated-passage removal, mixing, encoding."""
+"""From raw documents to token ids: toxicity filter, near-duplicate removal, repeated-passage removal, mixing, encoding.
+
+Stages keep the columns of their documents, whatever these are called. A null or empty text scores as a text without words, is
+near nothing, loses nothing, and takes part in the mix with size 0 (as often as its source's whole epochs); it encodes to no
+tokens. Rows with one id and one text are copies, of which near-duplicate removal keeps every row of the id that stays; they
+repeat one another's passages. Ties go to the smaller id. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.llm.bpe import encode
-from pulselake.llm.common import materialize, table
+from pulselake.llm.common import free_name, materialize, table
 from pulselake.llm.mixing import mix, word_count
 from pulselake.llm.ngram_join import keep_one
 from pulselake.llm.substring_dedup import remove_repeats
@@ -20,7 +26,8 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it learns from the labels outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    return score(docs, fit(docs, labels), out_col="_score").where(F.col("_score") < TOXIC).select(docs.columns)
+    own = free_name(docs, "_score")
+    return score(docs, fit(docs, labels), out_col=own).where(F.col(own) < TOXIC).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +37,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere; texts without any stay as they are."""
-    out = remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    back = {f"__kept{i}": c for i, c in enumerate(docs.columns) if c in ("n_words", "n_removed", "kept_text")}
+    out = remove_repeats(docs.withColumnsRenamed({c: n for n, c in back.items()}))
+    changed = F.col("n_removed") > 0
+    out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("n_words", "n_removed", "kept_text").withColumnsRenamed(back).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mix(docs.withColumn("_size", word_count(docs["text"])), "source", "_size", "doc_id")
-    return mixed.where(F.col("reps") > 0).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("reps")))).select(docs.columns)
+    size, rep = free_name(docs, "_size"), free_name(docs, "_rep")
+    back = {f"__kept{i}": c for i, c in enumerate(docs.columns) if c in ("source_size", "target", "reps")}
+    sized = docs.withColumnsRenamed({c: n for n, c in back.items()}).withColumn(size, word_count(docs["text"]))
+    mixed = mix(sized, "source", size, "doc_id").where(F.col("reps") > 0).withColumn(rep, F.explode(F.sequence(F.lit(1), F.col("reps"))))
+    return mixed.drop("source_size", "target", "reps").withColumnsRenamed(back).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
