@@ -35,7 +35,7 @@ def score_smoothing(spark, d):
 
 def drift(spark, d):
     e = events(spark, d).select("event_id", "user_id", "ms", "value", F.col("k").cast("long").alias("conf"))
-    return rounded(windows.model_health(e, ["user_id"], ORDER, "value", "conf", unit=100.0).select("event_id", "samples", "mean_confidence", "low_rate", "degenerate", "drift"))
+    return rounded(windows.model_health(e, ["user_id"], ORDER, "value", "conf", unit=100.0).select("event_id", "samples", "mean_confidence", "low_rate", "degenerate", "drift"), 10)
 
 
 def type_spans(spark, d):
@@ -150,7 +150,7 @@ g AS (SELECT user_id, count(*) AS n, avg(CASE WHEN i <= c // 2 THEN value END) A
 SELECT user_id, n, round(first_avg, 6) AS first_avg, round(second_avg, 6) AS second_avg, CASE WHEN n < 4 THEN 'stable' WHEN second_avg - first_avg > 5 THEN 'improving' WHEN second_avg - first_avg < -5 THEN 'declining' ELSE 'stable' END AS trend FROM g""",
     "score_smoothing": _E + ", w AS (SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS a FROM ev) SELECT event_id, CAST(floor(round(a, 6) + 0.5) AS BIGINT) AS smoothed, round(a, 6) AS avg24 FROM w",
     "drift": _E + """, h AS (SELECT event_id, count(*) OVER w AS samples, sum(CAST(k AS BIGINT)) OVER w / CAST(count(k) OVER w AS DOUBLE) / 100 AS c, avg(CASE WHEN k < 50 THEN 1.0 ELSE 0.0 END) OVER w AS l, var_pop(value) OVER w AS v FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
-SELECT event_id, samples, round(CASE WHEN samples >= 20 THEN c ELSE 1.0 END, 6) AS mean_confidence, round(CASE WHEN samples >= 20 THEN l ELSE 0.0 END, 6) AS low_rate, samples >= 20 AND v < 1 AS degenerate, samples >= 20 AND (v < 1 OR l > 0.5) AS drift FROM h""",
+SELECT event_id, samples, round(CASE WHEN samples >= 20 THEN c ELSE 1.0 END, 10) AS mean_confidence, round(CASE WHEN samples >= 20 THEN l ELSE 0.0 END, 10) AS low_rate, samples >= 20 AND v < 1 AS degenerate, samples >= 20 AND (v < 1 OR l > 0.5) AS drift FROM h""",
     "type_spans": _E + """, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS isl FROM a), g AS (SELECT user_id, isl, min(event_type) AS event_type, min(ms) AS s, max(ms) AS e, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT user_id, event_type, s AS span_start, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY isl), e) AS span_end, n FROM g""",

@@ -42,7 +42,7 @@ def daily_movement(spark, d):
     """Movement figures of each user's day, from intervals of ten minutes spread over their minutes."""
     s = events(spark, d).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ms").alias("start_ms"), (F.col("ms") + 10 * MINUTE).alias("end_ms"), F.coalesce("k", F.lit(0.0)).alias("count"))
     by = ["user_id", "day"]
-    return rounded(actigraphy.daily_features(actigraphy.stretches(s, by), by).select(*by, *MOVEMENT))
+    return rounded(actigraphy.daily_features(actigraphy.stretches(s, by), by).select(*by, *MOVEMENT), 10)
 
 
 def daily_sunlight(spark, d):
@@ -180,8 +180,8 @@ g AS (SELECT user_id, day, avg(v) AS mean_activity, stddev_pop(v) AS std_activit
   count(*) FILTER (v < 20) AS inactive_minutes, count(*) FILTER (v > 200) AS active_minutes, count(*) FILTER (v > 500) AS very_active_minutes, coalesce(avg(v) FILTER (dayt), 0.0) AS day_mean, coalesce(avg(v) FILTER (NOT dayt), 0.0) AS night_mean, max(v) - min(v) AS activity_range FROM z GROUP BY 1, 2),
 hb AS (SELECT z.user_id, z.day, least(19, floor((v - min_activity) / ((max_activity - min_activity + 1e-9) / 20))) AS b, count(*) AS c FROM z JOIN g ON z.user_id = g.user_id AND z.day = g.day GROUP BY 1, 2, 3),
 he AS (SELECT user_id, day, sum(-(c / t) * log2(c / t)) AS activity_entropy FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id, day) AS DOUBLE) AS t FROM hb) GROUP BY 1, 2)
-SELECT g.user_id, g.day, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean_activity", "std_activity", "max_activity", "min_activity", "p10", "p25", "p50", "p75", "p90", "day_mean", "night_mean", "activity_range")) + """,
-  round(day_mean / (night_mean + 1), 6) AS day_night_ratio, round(std_activity / (mean_activity + 1e-6), 6) AS activity_cv, round(activity_entropy, 6) AS activity_entropy, active_minutes, very_active_minutes,
+SELECT g.user_id, g.day, """ + ", ".join(f"round({c}, 10) AS {c}" for c in ("mean_activity", "std_activity", "max_activity", "min_activity", "p10", "p25", "p50", "p75", "p90", "day_mean", "night_mean", "activity_range")) + """,
+  round(day_mean / (night_mean + 1), 10) AS day_night_ratio, round(std_activity / (mean_activity + 1e-6), 10) AS activity_cv, round(activity_entropy, 10) AS activity_entropy, active_minutes, very_active_minutes,
   inactive_minutes, coalesce(longest, 0) AS longest_rest_period, coalesce(runs, 0) AS rest_period_count FROM g LEFT JOIN rr ON g.user_id = rr.user_id AND g.day = rr.day JOIN he ON g.user_id = he.user_id AND g.day = he.day"""
 
 
