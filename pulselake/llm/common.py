@@ -81,13 +81,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-#: Most rows of a few numbers that are broadcast; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Most rows, and most bytes of files, of a table that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a materialized table of a few numbers a row), marked for broadcast if its counted size allows."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def sized(df: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a materialized table), marked for broadcast if the size of its files and its counted rows allow."""
+    in_files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if in_files <= most_bytes and df.count() <= most_rows else df
 
 
 def partitions(spark: SparkSession) -> int:
