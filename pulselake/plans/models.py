@@ -11,7 +11,7 @@ from pulselake.functions import text as T
 from pulselake.operators import baseline, checkins, evaluation, features, hrv, joins, models, night, signal, sleep, training, windows
 from pulselake.plans.hrv import TIME
 from pulselake.plans.views import EVENTS, STAGES, events, rounded, stages, table
-from pulselake.plans.wellness import _NIGHTS, _SCORE, _TOK, _scored, _words
+from pulselake.plans.wellness import _NIGHTS, _SCORE, _SENT, _TOK, _scored, _words
 
 WEEK = 604_800
 WIN = ["user_id", "week"]
@@ -410,6 +410,8 @@ SELECT night, round(avg(p), 6) AS confidence, count(*) AS n_epochs, count(*) FIL
     "parsed_replies": """WITH t AS (SELECT conv_id, turn, turn + conv_id AS t FROM conversations), s AS (SELECT *, t % 5 >= 2 AS j, greatest(-1, least(1, (t % 7) - 3)) AS sc FROM t)
 SELECT conv_id, turn, CASE WHEN t % 5 = 0 THEN 'plain ' || turn WHEN t % 5 = 1 THEN 'hi' ELSE 'hello' END AS empathy, CASE WHEN j AND t % 3 = 0 THEN 'neutral' WHEN NOT j THEN 'neutral' WHEN sc >= 0.3 THEN 'positive' WHEN sc >= -0.1 THEN 'neutral' WHEN sc >= -0.5 THEN 'concerned' ELSE 'distressed' END AS sentiment,
   CAST(CASE WHEN j THEN sc ELSE 0 END AS DOUBLE) AS sentiment_score, CASE WHEN j THEN 'work' ELSE 'general' END AS themes, CAST(0.5 AS DOUBLE) AS intensity, CAST(CASE WHEN j THEN least(1, t % 3) ELSE 0 END AS DOUBLE) AS joy FROM s""",
+    "checkin_insights": _CK + ", z AS (" + _SENT + "), f AS (SELECT e.conv_id, e.turn, sentiment < -0.3 AS tense, (e.conv_id * 7 + e.turn) % 100 > 60 AS strained, e.conv_id % 60 AS hrv, greatest(" + ", ".join(T.EMOTIONS) + ") AS top, CASE greatest(" + ", ".join(T.EMOTIONS) + ") " + " ".join(f"WHEN {x} THEN '{x}'" for x in T.EMOTIONS) + """ END AS feel FROM e JOIN z ON e.conv_id = z.conv_id AND e.turn = z.turn)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN tense AND strained THEN 'words_and_body_stressed' WHEN tense THEN 'words_stressed_body_steady' WHEN strained THEN 'words_fine_body_stressed' END, CASE WHEN top > 0.3 THEN 'feels_' || feel END, CASE WHEN hrv > 0 AND hrv < 25 THEN 'hrv_low' END) AS codes FROM f""",
     "maturity_levels": _CK + """, c AS (SELECT *, conv_id + turn AS n FROM e), g AS (SELECT who, count(*) AS n, count(*) FILTER (n % 2 = 0) AS vc, count(*) FILTER (n % 4 = 0) / CAST(nullif(count(*) FILTER (n % 2 = 0), 0) AS DOUBLE) AS fr, count(*) FILTER (n % 3 <> 0) AS told, count(*) FILTER (n % 3 = 2) / CAST(nullif(count(*) FILTER (n % 3 <> 0), 0) AS DOUBLE) AS lr,
   (""" + " + ".join(f"max(CASE WHEN {e} > 0.3 THEN 1 ELSE 0 END)" for e in T.EMOTIONS) + """) / 8.0 AS br, count(*) FILTER (n % 9 = 0) AS al, count(*) FILTER (n % 2 = 0) / CAST(count(*) AS DOUBLE) AS fo, avg(CASE WHEN n % 5 = 0 THEN n * 40.0 END) AS la, ceil((1720000000000 - min(1700000000000 + n * 86400000)) / 86400000.0) AS days FROM c GROUP BY 1),
 l AS (SELECT who, n, """ + ", ".join(f"CAST({v} AS INTEGER) AS {k}" for k, v in _LV.items()) + " FROM g), s AS (SELECT *, (" + " + ".join(_LV) + ") / 7.0 AS mean FROM l) SELECT who, n, " + ", ".join(_LV) + ", CAST(floor(round(mean / 4 * 100, 9) + 0.5) AS BIGINT) AS score, CAST(least(4, floor(mean)) AS INTEGER) AS tier FROM s",
