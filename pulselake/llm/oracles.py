@@ -106,4 +106,29 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1), x AS (SELECT doc_id, u
 k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.place) AS kept FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.place = x.place WHERE gone.doc_id IS NULL GROUP BY 1)
 SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id"""
 
-ORACLES = {"op3_ngram_join": OP3, "op4_sharding": OP4, "op5_embedding_dedup": OP5, "op6_mixing": OP6, "op7_topk": OP7, "op8_licenses": _op8(), "op9_url_filter": _op9(), "op10_substring_dedup": OP10}
+OP11 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, m, unnest(list_transform(range(1, CAST(len(w) - m + 2 AS BIGINT)), lambda i: w[i:i + m - 1])) AS ws FROM w, (VALUES (1), (2), (3)) v(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, ws, count(*) AS f FROM g GROUP BY ALL), c AS (SELECT lang, m, ws, f AS a FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT c.*, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS o FROM k),
+h AS (SELECT lang, unnest([ws[1:2], ws[2:3]]) AS ws, a FROM c WHERE m = 3), i AS (SELECT lang, ws, max(a) AS longer FROM h GROUP BY 1, 2),
+s AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.ws = b.ws WHERE o = 1 AND 100 * coalesce(longer, 0) < 50 * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n ON n.lang = t.lang WHERE rank <= 2000"""
+
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+OP13 = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_SPLIT.format("text")} AS w FROM documents), e AS (SELECT text, min(doc_id) AS least FROM d GROUP BY 1),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY 1),
+x AS (SELECT part, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) AS INT) + 8 * CAST(regexp_matches(d.text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(least < d.doc_id, false) AS INT) AS mask,
+  coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM d JOIN e ON e.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.m, b.m, c.m, d.m, e.m] AS ms FROM {_LETTERS} a(x, m), {_LETTERS} b(x, m), {_LETTERS} c(x, m), {_LETTERS} d(x, m), {_LETTERS} e(x, m) WHERE a.m | b.m | c.m | d.m | e.m = 31),
+s AS (SELECT filter_order, step, ms[step] AS own, CAST(coalesce(list_sum(ms[1:step - 1]), 0) AS INT) AS before FROM o, (VALUES (1), (2), (3), (4), (5)) v(step)),
+p AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM x GROUP BY 1, 2),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN bad ELSE 0 END) AS toxic_lost FROM p, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op3_ngram_join": OP3, "op4_sharding": OP4, "op5_embedding_dedup": OP5, "op6_mixing": OP6, "op7_topk": OP7, "op8_licenses": _op8(), "op9_url_filter": _op9(), "op10_substring_dedup": OP10, "op11_collocations": OP11, "op13_filter_audit": OP13}

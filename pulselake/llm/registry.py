@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pulselake.llm.bpe import op1_bpe
+from pulselake.llm.collocations import op11_collocations
 from pulselake.llm.embedding_dedup import op5_embedding_dedup
+from pulselake.llm.filter_audit import op13_filter_audit
 from pulselake.llm.licenses import op8_licenses
 from pulselake.llm.mixing import op6_mixing
 from pulselake.llm.ngram_join import op3_ngram_join
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_collocations": op11_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
