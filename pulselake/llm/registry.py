@@ -10,6 +10,7 @@ from pulselake.llm.licenses import op8_licenses
 from pulselake.llm.mixing import op6_mixing
 from pulselake.llm.ngram_join import op3_ngram_join
 from pulselake.llm.oracles import ORACLES
+from pulselake.llm.quality import op12_quality
 from pulselake.llm.sharding import op4_sharding
 from pulselake.llm.substring_dedup import op10_substring_dedup
 from pulselake.llm.topk import op7_topk
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
     "op13_filter_audit": op13_filter_audit,
 }
 
