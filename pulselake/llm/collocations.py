@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from pulselake.llm.common import arrow_bytes, blocks, discard, materialize, partitions, table
-from pulselake.llm.token_shards import PIECES, SHARD_BYTES, Vocabulary, buckets_for, lower, marks, numbered, pack, piece_words, unpack, words_of
+from pulselake.llm.token_shards import PIECES, SHARD_BYTES, Vocabulary, buckets_for, lower, marks, numbered, pack, piece_words, runs, unpack, words_of
 
 #: Between pieces of a text stand BREAKS; between the words of a piece, BLANKS.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -120,9 +120,7 @@ class Cells:
         self.counts = np.diff(np.append(first, len(a)))
 
     def pieces(self, side: int) -> list[dict]:
-        tiles, first = np.unique(self.tile, return_index=True)
-        cuts = zip(tiles, first, np.append(first[1:], len(self.tile)), strict=True)
-        return [{"tile": int(t), "a": pack(self.a[i:j] // side), "b": pack(self.b[i:j] // side), "c": pack(self.counts[i:j])} for t, i, j in cuts]
+        return [{"tile": t, "a": pack(self.a[i:j] // side), "b": pack(self.b[i:j] // side), "c": pack(self.counts[i:j])} for t, i, j in runs(self.tile)]
 
 
 
@@ -150,8 +148,8 @@ def _next_level(k: int):
         own = np.zeros(len(words), np.int64)  # of the phrase of k words that begins at each place
         own[cells.at] = _ids(answers)[cells.cell]
         n = max(0, len(words) - k)
-        both = own[:n] * (own[1 : n + 1] > 0)  # a phrase is frequent only if what it starts and what it ends with are
-        return pa.Table.from_pylist([row | {"left": pack(own), "tiles": Cells(both, words[k:], row["side"]).pieces(row["side"])}], LEVEL)
+        both = own[:n] * (own[1 : n + 1] > 0)  # a phrase is frequent only if the two that it begins and ends with are
+        return pa.Table.from_pylist([row | {"left": pack(both), "tiles": Cells(both, words[k:], row["side"]).pieces(row["side"])}], LEVEL)
 
     return run
 

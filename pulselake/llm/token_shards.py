@@ -69,6 +69,12 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def runs(a: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal numbers in a sorted array."""
+    values, first = np.unique(a, return_index=True)
+    return list(zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(a)][: len(first)], strict=True))
+
+
 class Vocabulary:
     """The distinct words of a shard: codes (a local code for each word) and pieces, a dict for each bucket with its words in
     the order of their codes and how often each occurs."""
@@ -86,12 +92,11 @@ class Vocabulary:
         self.codes = code[np.asarray(enc.indices).astype(np.int64)]
         counts = np.bincount(self.codes, minlength=len(own))
         self.pieces = []
-        held, first = np.unique(bucket[order], return_index=True)
-        for k, at, to in zip(held, first, np.append(first[1:], len(order)), strict=True):
+        for k, at, to in runs(bucket[order]):
             part = own.take(pa.array(order[at:to]))
             o = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1)
             body = part.buffers()[2].to_pybytes()[o[0] : o[-1]]
-            self.pieces.append({"bucket": int(k), "n_bytes": len(body), "words": pa.compress(body, codec="zstd", asbytes=True), "lengths": pack(np.diff(o)), "counts": pack(counts[at:to])})
+            self.pieces.append({"bucket": k, "n_bytes": len(body), "words": pa.compress(body, codec="zstd", asbytes=True), "lengths": pack(np.diff(o)), "counts": pack(counts[at:to])})
 
 
 #: Type of Vocabulary.pieces.
