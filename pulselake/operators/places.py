@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from pulselake.functions.scalar import EARTH_M
 from pulselake.operators.joins import unknown_places
-from pulselake.operators.windows import folded
+from pulselake.operators.windows import key_runs
 
 RADIUS_M = 100.0
 
@@ -21,30 +26,64 @@ def _metres(lat1, lon1, lat2, lon2):
 def stays(points: DataFrame, user: str = "user_id", ts: str = "ts_ms", tie: str = "event_id", radius: float = RADIUS_M) -> DataFrame:
     """(user, arrival, departure, lat, lon, place): runs of points near a running centroid. A run belongs to the first of
     the user's places, in order of arrival, whose own running centroid (the mean of its runs so far) is near; else it is a
-    new place. Order-dependent, so a fold over each user's points in time order; it carries the run and the places."""
-
-    def step(state: dict, row: dict | None) -> list[dict]:
-        run, known = state.get("run"), state.setdefault("known", [])
-        if row is not None and run and _metres(row["lat"], row["lon"], run[0], run[1]) < radius:
-            n = run[2]
-            state["run"] = ((run[0] * n + row["lat"]) / (n + 1), (run[1] * n + row["lon"]) / (n + 1), n + 1, run[3], row[ts], run[5])
-            return []
-        out = []
-        if run:
-            lat, lon, _, arrived, left, who = run
-            for i, (a, b, n) in enumerate(known):
-                if _metres(lat, lon, a, b) < radius:
-                    known[i] = ((a * n + lat) / (n + 1), (b * n + lon) / (n + 1), n + 1)
-                    break
-            else:
-                i = len(known)
-                known.append((lat, lon, 1))
-            out.append({user: who, "arrival": arrived, "departure": left, "lat": lat, "lon": lon, "place": i})
-        state["run"] = None if row is None else (row["lat"], row["lon"], 1, row[ts], row[ts], row[user])
-        return out
-
-    kind = points.schema[user].dataType.simpleString()
-    return folded(points.select(user, ts, tie, "lat", "lon"), [user], [ts, tie], dict, step, f"{user} {kind}, arrival long, departure long, lat double, lon double, place int")
+    new place. Order-dependent, so a fold over each user's points in time order; it carries the run and the places. Points
+    without a time or a coordinate are left out; the null user is a user."""
+
+    rows = points.select(user, ts, tie, "lat", "lon")
+    names = [user, "arrival", "departure", "lat", "lon", "place"]
+    kinds = [rows.schema[user].dataType, LongType(), LongType(), DoubleType(), DoubleType(), IntegerType()]
+    schema = StructType([StructField(n, k) for n, k in zip(names, kinds, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, who, run_, known = None, None, None, []
+        out: dict[str, list] = {n: [] for n in names}
+
+        def leave() -> None:
+            """The run is over: it belongs to the first place near it, or to a new one."""
+            lat, lon, _, arrived, left = run_
+            near = next((i for i, (a, b, _) in enumerate(known) if _metres(lat, lon, a, b) < radius), len(known))
+            a, b, n = known[near] if near < len(known) else (0.0, 0.0, 0)
+            known[near : near + 1] = [((a * n + lat) / (n + 1), (b * n + lon) / (n + 1), n + 1)]
+            for c, v in zip(names[1:], (arrived, left, lat, lon, near), strict=True):
+                out[c].append(v)
+            whose.append(who)
+
+        for batch in batches:
+            whose: list[pa.Array] = []
+            if not batch.num_rows:
+                continue
+            key = batch[user]
+            runs, before = key_runs(batch, [user], before)
+            at, lats, lons = batch[ts].to_pylist(), batch["lat"].to_pylist(), batch["lon"].to_pylist()
+            for i, j, new in runs:
+                if new:
+                    if run_:
+                        leave()
+                    run_, known, who = None, [], key[i : i + 1]
+                for t, lat, lon in zip(at[i:j], lats[i:j], lons[i:j], strict=True):
+                    if lat is None or lon is None or t is None:
+                        continue
+                    if run_ and _metres(lat, lon, run_[0], run_[1]) < radius:
+                        n = run_[2]
+                        run_ = ((run_[0] * n + lat) / (n + 1), (run_[1] * n + lon) / (n + 1), n + 1, run_[3], t)
+                    else:
+                        if run_:
+                            leave()
+                        run_ = (lat, lon, 1, t, t)
+            if whose:
+                yield _stays_batch(whose, out, names, schema)
+                out = {n: [] for n in names}
+        if run_:
+            whose = []
+            leave()
+            yield _stays_batch(whose, out, names, schema)
+
+    return rows.repartition(user).sortWithinPartitions(user, ts, tie).mapInArrow(run, schema)
+
+
+def _stays_batch(whose: list[pa.Array], out: dict[str, list], names: list[str], schema: StructType) -> pa.RecordBatch:
+    types = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(whose).cast(types.field(0).type), *[pa.array(out[n], types.field(n).type) for n in names[1:]]], schema=types)
 
 
 def place_summary(visits: DataFrame, by: list[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pulselake.functions.scalar import ratio
 
@@ -117,82 +121,126 @@ def majority(df: DataFrame, by: list[str], label: str, purity: float = 0.0) -> D
     return n.where((F.col("_r") == 1) & (F.col("share") >= purity)).drop("_c", "_r")
 
 
-def folded(df: DataFrame, by: list[str], order: list[str], start, step, fields: str) -> DataFrame:
-    """A fold over the rows of each key in order. Partitions hold whole keys, sorted; rows are read batch by batch and only
-    step's state is carried on, so a key of any length needs the memory of a batch.
-
-    start() gives a key's state; step(state, row) takes a dict of the row's columns and gives the rows to emit (dicts of
-    df's columns and the new ones); step(state, None) comes after a key's last row. fields: what is emitted, as DDL.
+def _changes(keys: list[pa.Array]) -> np.ndarray:
+    """Whether each row but the first has another key than the row before. Nulls are equal, as are NaNs; values are compared as they
+    are, so that no key is rounded."""
+    out = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        a, b = k[1:], k[:-1]
+        if pa.types.is_nested(k.type):
+            out |= np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], bool)
+            continue
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        if pa.types.is_floating(k.type):
+            same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        out |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
+def key_runs(batch: pa.RecordBatch, by: list[str], before: list[pa.Array] | None) -> tuple[list[tuple[int, int, bool]], list[pa.Array]]:
+    """(begin, end, whether it is a new key) of each run of one key in batch, and the last row's key. before: the key of the row
+    before the batch, if there is one."""
+    n = batch.num_rows
+    keys = [batch[c] for c in by]
+    cut = np.flatnonzero(_changes(keys)) + 1
+    starts, ends = [0, *cut.tolist()], [*cut.tolist(), n]
+    goes_on = before is not None and not _changes([pa.concat_arrays([b, k[:1]]) for b, k in zip(before, keys, strict=True)])[0]
+    return [(i, j, i > 0 or not goes_on) for i, j in zip(starts, ends, strict=True)], [k[n - 1 :] for k in keys]
+
+
+def folded(df: DataFrame, by: list[str], order: list[str], cols: list[str], start: Callable[[], object], step: Callable, out: str, kind: T.DataType, gathered: bool = False) -> DataFrame:
+    """df with a column out from a fold over the rows of each key in order. Partitions hold whole keys, sorted; rows are read batch
+    by batch and only a state is carried on, so a key of any length needs the memory of a batch.
+
+    start() gives a key's state; step(state, arrays) takes the Arrow arrays of cols for the next rows of a key and gives their
+    values of out; it changes state in place. All other columns pass as they came. Null keys are one key, as are NaNs. A
+    column of the name out is replaced. gathered: a window over the same keys has dealt out df already.
     """
-    names = df.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in frames:
-            rows: list[dict] = []
-            for values in pdf.itertuples(index=False, name=None):
-                row = dict(zip(names, values, strict=True))
-                own = tuple(row[c] for c in by)
-                if own != key:
-                    if state is not None:
-                        rows += step(state, None)
-                    key, state = own, start()
-                rows += step(state, row)
-            if rows:
-                yield pd.DataFrame(rows)
-        if state is not None and (rest := step(state, None)):
-            yield pd.DataFrame(rest)
-
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, fields)
-
-
-def _ddl(df: DataFrame, more: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [more])
+    df = df.drop(out)
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, before = key_runs(batch, by, before)
+            arrays, values = [batch[c] for c in cols], []
+            for i, j, new in runs:
+                if new:
+                    state = start()
+                values.append(step(state, [a[i:j] for a in arrays]))
+            yield batch.append_column(out, pa.array(np.concatenate(values)).cast(arrow))
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+    return (df if gathered else df.repartition(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def smoothed(df: DataFrame, by: list[str], order: list[str], cls: str, confidence: str, below: float = 0.6, out: str = "smoothed") -> DataFrame:
-    """Adds out: classes with one-row islands of low confidence flipped to their neighbours' class, left to right; earlier
-    flips count for later ones. The fold holds one row back, to see the next."""
-
-    def step(state: dict, row: dict | None) -> list[dict]:
-        done, held = [], state.get("held")
-        if held is not None:
-            own, prev = held[cls], state.get("prev")
-            if row is not None and prev is not None and prev == row[cls] and own != prev and held[confidence] < below:
-                own = prev
-            done, state["prev"] = [held | {out: own}], own
-        state["held"] = row
-        return done
-
-    return folded(df, by, order, dict, step, _ddl(df, f"{out} {df.schema[cls].dataType.simpleString()}"))
+    """Adds out: classes with one-row islands of low confidence flipped to their neighbours' class, left to right; earlier flips
+    count for later ones. A flip looks at the row before as it came out and at the row after as it came in, which a window
+    function brings. Rows of null class or confidence stay as they are, and neighbours of null flip nothing."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    kind = df.schema[cls].dataType
+    # An island's class differs from the next row's; the fold only has to know whether the row before came out as the next came in.
+    own = df.withColumns({"_next": F.lead(cls).over(w), "_weak": F.coalesce((F.col(confidence) < below) & (F.lead(cls).over(w) != F.col(cls)), F.lit(False))})
+
+    def step(state: dict, arrays: list[pa.Array]) -> np.ndarray:
+        classes, following, weak = arrays[0].to_pylist(), arrays[1].to_pylist(), arrays[2].to_pylist()
+        last, flips = state.get("last"), []
+        for c, n, island in zip(classes, following, weak, strict=True):
+            flip = island and last is not None and last == n
+            last = n if flip else c
+            flips.append(flip)
+        state["last"] = last
+        return np.array(flips, bool)
+
+    f = folded(own, by, order, [cls, "_next", "_weak"], dict, step, "_flip", T.BooleanType(), gathered=True)
+    return f.withColumn(out, F.when(F.col("_flip"), F.col("_next")).otherwise(F.col(cls)).cast(kind)).drop("_next", "_weak", "_flip")
+
+
+def _far(values: np.ndarray, last: float | None, least: float, absolute: bool) -> tuple[list[int], float | None]:
+    """The rows at which values are at least so far from the last such row's, and the last one's value. NaNs never are."""
+    hits, i, n = [], 0, len(values)
+    while i < n:
+        span = 16  # rows looked at together; wider the longer nothing is found
+        while i < n:
+            part = values[i : i + span]
+            off = np.abs(part - last) if last is not None and absolute else part - last if last is not None else part
+            found = off >= least if last is not None else part == part
+            if found.any():
+                i += int(found.argmax())
+                break
+            i, span = i + span, span * 2
+        if i < n:
+            hits.append(i)
+            last = values[i].item()
+            i += 1
+    return hits, last
+
+
+def _passing(df: DataFrame, by: list[str], order: list[str], value: str, least: float, absolute: bool, out: str) -> DataFrame:
+    def step(state: dict, arrays: list[pa.Array]) -> np.ndarray:
+        usable = pc.is_valid(arrays[0]).to_numpy(zero_copy_only=False)
+        values = pc.fill_null(arrays[0], 0).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(usable)
+        hits, state["last"] = _far(values[at], state.get("last"), least, absolute)
+        got = np.zeros(len(values), bool)
+        got[at[hits]] = True
+        return got
+
+    return folded(df, by, order, [value], dict, step, out, T.BooleanType())
 
 
 def triggered(df: DataFrame, by: list[str], order: list[str], value: str, least: float, out: str = "hit") -> DataFrame:
-    """Adds out: whether a value is at least so far from the last one that triggered; the first triggers."""
-
-    def step(state: dict, row: dict | None) -> list[dict]:
-        if row is None:
-            return []
-        hit = "last" not in state or abs(row[value] - state["last"]) >= least
-        if hit:
-            state["last"] = row[value]
-        return [row | {out: hit}]
-
-    return folded(df, by, order, dict, step, _ddl(df, f"{out} boolean"))
+    """Adds out: whether a value is at least so far from the last one that triggered; the first triggers. Null and NaN values
+    don't trigger and count for nothing."""
+    return _passing(df, by, order, value, least, True, out)
 
 
 def cooled_down(df: DataFrame, by: list[str], order: list[str], at: str, gap: int, out: str = "let_through") -> DataFrame:
-    """Adds out: whether a row comes at least gap after the last one that was let through; the first is."""
-
-    def step(state: dict, row: dict | None) -> list[dict]:
-        if row is None:
-            return []
-        hit = "last" not in state or row[at] - state["last"] >= gap
-        if hit:
-            state["last"] = row[at]
-        return [row | {out: hit}]
-
-    return folded(df, by, order, dict, step, _ddl(df, f"{out} boolean"))
+    """Adds out: whether a row comes at least gap after the last one that was let through; the first is. Rows of null time aren't."""
+    return _passing(df, by, order, at, gap, False, out)
 
 
 def capped(df: DataFrame, by: list[str], order: list[str], rows: int) -> DataFrame:
