@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pulselake.sources import keyed
 
 DAY_MS = 86_400_000
 REDACTED = "[redacted]"
@@ -54,13 +57,8 @@ class Store:
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def _fs(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
     def exists(self, name: str) -> bool:
-        fs, target = self._fs(self._path(name))
-        return fs.exists(target)
+        return keyed.has_partitions(self.spark, self._path(name))
 
     def read(self, name: str) -> DataFrame:
         """The table under its schema: columns that older files lack are null; a table not written yet is empty."""
@@ -78,31 +76,29 @@ class Store:
         """Add rows; one job commits them all or none."""
         self._shaped(name, rows).write.mode("append").partitionBy("date").parquet(self._path(name))
 
-    def _replace(self, name: str, rows: DataFrame, mode: str = "dynamic") -> None:
-        staged = self._path(f"_staged/{name}")
-        rows.write.mode("overwrite").parquet(staged)
-        again = self.spark.read.schema(rows.schema).parquet(staged)
-        again.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("date").parquet(self._path(name))
-        fs, target = self._fs(staged)
-        fs.delete(target, True)
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        keyed.replace_partitions(rows, self._path(name), "date")
 
     def _touched(self, rows: DataFrame) -> list:
-        return [r[0] for r in rows.select("date").distinct().collect()]  # one batch's days
+        return keyed.distinct_values(rows, "date")  # one batch's days
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Insert or replace by the table's key within the days that rows touch; of equal keys the latest time stays."""
-        key, ts = self.schemas[name][1], self.schemas[name][2]
-        new = self._shaped(name, rows).withColumn("_new", F.lit(1))
-        old = self.read(name).where(F.col("date").isin(self._touched(new))).withColumn("_new", F.lit(0))
-        both = old.unionByName(new)
-        rest = [c for c in both.columns if c not in (*key, "date", "_new")]
-        last = both.groupBy(*key, "date").agg(F.max_by(F.struct(*rest), F.struct("_new", ts)).alias("_r"))
-        self._replace(name, last.select(*key, "_r.*", "date").select(*[c for c in both.columns if c != "_new"]))
+        """Insert or replace by the table's key, on whatever days the key's rows are; the latest time stays, of equal ones the row
+        that is written last. Only the days that hold rows of these keys are rewritten (see keyed.merge)."""
+        keyed.merge(self._path(name), self._shaped(name, rows), list(self.schemas[name][1]), self.schemas[name][2], "date")
+
+    def get(self, name: str, wanted: DataFrame) -> DataFrame:
+        """The rows of the keys in wanted, such as settings of users: read from the days that the index names, not all."""
+        return keyed.lookup(self._path(name), wanted, list(self.schemas[name][1]), "date", self.read(name).schema)
+
+    def upsert_stream(self, stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+        """upsert of every micro-batch; a batch that is run again after a failure changes nothing."""
+        return stream.writeStream.foreachBatch(lambda batch, _: self.upsert(name, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def patch(self, name: str, column: str, patches: DataFrame) -> None:
         """Merge JSON patches (key, date, patch) into a column of the rows with their keys; other rows stay."""
         key = list(self.schemas[name][1])
-        old = self.read(name).where(F.col("date").isin(self._touched(patches)))
+        old = self.read(name).where(keyed.among("date", self._touched(patches)))
         j = old.join(patches.select(*key, "date", F.col("patch").alias("_p")), [*key, "date"], "left")
         self._replace(name, j.withColumn(column, F.when(F.col("_p").isNotNull(), merged_json(F.col(column), F.col("_p"))).otherwise(F.col(column))).select(*old.columns))
 
@@ -120,8 +116,7 @@ class Store:
             self._drop(name, d)
 
     def _drop(self, name: str, day) -> None:
-        fs, target = self._fs(f"{self._path(name)}/date={day}")
-        fs.delete(target, True)
+        keyed.drop(self.spark, f"{self._path(name)}/date={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
 
     def retain(self, as_of_ms: int, days: dict | None = None) -> dict[str, int]:
         """Delete what is older than each table keeps; (table: rows deleted). Whole days go as folders; the edge day is rewritten."""
@@ -143,20 +138,22 @@ class Store:
 
     def delete_all(self, user_id: int | None = None) -> None:
         """Delete every table, points and settings too; or one user's rows in all of them."""
-        for name in self.schemas:
-            if not self.exists(name):
-                continue
+        for name, (_, key, *_) in self.schemas.items():
             if user_id is None:
-                fs, target = self._fs(self._path(name))
-                fs.delete(target, True)
+                keyed.drop(self.spark, self._path(name))
+                continue
+            if not self.exists(name):
                 continue
-            touched = self._touched(self.read(name).where(F.col("user_id") == user_id))
-            rest = self.read(name).where(F.col("date").isin(touched) & (F.col("user_id") != user_id))
+            theirs = F.col("user_id").eqNullSafe(user_id)  # rows of no user are not theirs
+            touched = self._touched(self.read(name).where(theirs))
+            rest = self.read(name).where(keyed.among("date", touched) & ~theirs)
             left = self._touched(rest)
             if left:
                 self._replace(name, rest)
             for d in set(touched) - set(left):
                 self._drop(name, d)
+            if key:
+                keyed.forget(self._path(name), self.read(name), list(key), "date", theirs)
 
     def export(self, path: str, start_ms: int, end_ms: int, full: bool = False) -> None:
         """One JSON object for each user and table: (user_id, table, n, rows), as files below path. Transcripts are left out unless full."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pulselake.sources import keyed
+
 
 def tumbling(stream: DataFrame, by: list[str], ts: str, value: str, width: str = "30 seconds", late: str = "105 seconds") -> DataFrame:
     """Mean, deviation, extremes and count of each key's epochs. An epoch closes when the watermark passes its end; its
@@ -130,27 +132,6 @@ def smoothed_scores(stream: DataFrame, key: str | list[str], ms: str, value: str
 
 
 def upsert_latest(stream: DataFrame, path: str, keys: list[str], order: str, part: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key in Parquet partitions: of the partitions that a micro-batch touches, the stored and
-    the new rows are merged, last write wins, and those partitions alone are replaced. The merge goes to a new
-    folder first, since a partition can't be read while it is replaced."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        touched = [r[0] for r in batch.select(part).distinct().collect()]  # partitions of one micro-batch
-        if not touched:
-            return
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path).where(F.col(part).isin(touched))
-        except Exception as e:  # noqa: BLE001 - the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0)
-        both = stored.unionByName(batch)
-        rest = [c for c in both.columns if c not in (*keys, part)]
-        latest = both.groupBy(*keys, part).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, part, "_r.*").select(*batch.columns)
-        staged = f"{checkpoint.rstrip('/')}/merge/{number}"
-        latest.write.mode("overwrite").parquet(staged)
-        again = spark.read.schema(batch.schema).parquet(staged)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint.rstrip('/')}/stream").trigger(availableNow=True).start()
+    """Keep the latest row of each key in Parquet partitions, on whatever partition its rows come (see keyed.merge). Every
+    micro-batch rewrites the partitions that its keys are in; run again after a failure, it changes nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, _: keyed.merge(path, batch, keys, order, part)).option("checkpointLocation", f"{checkpoint.rstrip('/')}/stream").trigger(availableNow=True).start()
