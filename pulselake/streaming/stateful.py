@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,29 +62,36 @@ def _fold(stream: DataFrame, keys: list[str], ms: str, value: str, tie: str, ste
 
     State is a small record for each key and is kept: it grows with the keys, not with the stream. (A processing-time
     timeout would keep an availableNow query running for ever.) Records of a micro-batch are taken in order of time;
-    across micro-batches in order of arrival. What is emitted is the record, with the columns in more.
+    across micro-batches in order of arrival. What is emitted is the record, with the columns in more. Records without a
+    time or a value are left out; null keys are a key. Keys are numbers, strings, booleans or dates.
     """
     cols = [*keys, ms, value, tie]
-    names = [p.split()[0] for p in more.split(", ")] if more else []
-    fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in stream.select(*cols).schema.fields] + ([more] if more else []))
+    given = T.StructType([stream.schema[c] for c in dict.fromkeys(cols)])
+    extra = T.StructType.fromDDL(more) if more else T.StructType([])
+    names = extra.names
+    fields = T.StructType([T.StructField("_row", T.StringType()), *extra.fields])
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         last = tuple(group.get) if group.exists else None
-        rows = pd.concat(list(frames)).sort_values([ms, tie], kind="stable")
-        kept, extra = [], []
-        for i, (t, v) in enumerate(zip(rows[ms], rows[value], strict=True)):
+        rows = pd.concat(list(frames)).sort_values(["_ms", "_tie"], kind="stable")
+        kept, extras = [], []
+        for i, (t, v) in enumerate(zip(rows["_ms"], rows["_value"], strict=True)):
             last, out = step(last, int(t), float(v))
             if out is not None:
                 kept.append(i)
-                extra.append(out)
+                extras.append(out)
         if last is not None:
             group.update(last)
-        got = rows.iloc[kept][cols].reset_index(drop=True)
+        got = rows.iloc[kept][["_row"]].reset_index(drop=True)
         for j, n in enumerate(names):
-            got[n] = [x[j] for x in extra]
+            got[n] = [x[j] for x in extras]
         yield got
 
-    return stream.select(*cols).groupBy(*keys).applyInPandasWithState(run, fields, state, "append", GroupStateTimeout.NoTimeout)
+    # Keys and records travel as JSON: as columns of pandas, long numbers would be rounded next to nulls.
+    rows = stream.where(F.col(ms).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        F.to_json(F.struct(*keys)).alias("_key"), F.col(ms).cast("long").alias("_ms"), F.col(value).cast("double").alias("_value"), F.col(tie).alias("_tie"), F.to_json(F.struct(*given.names)).alias("_row"))
+    out = rows.groupBy("_key").applyInPandasWithState(run, fields, state, "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.from_json("_row", given).alias("_r"), *names).select("_r.*", *names)
 
 
 def _passing(passes):

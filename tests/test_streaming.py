@@ -94,3 +94,13 @@ def test_trailing_and_sessions_equal_batch(event_stream, tmp_path):
         end = int(at.timestamp() * 1000)
         own = [v for w, t, v, _ in rows if w == u and end - 120_000 <= t < end]
         assert n == len(own) and mean == pytest.approx(sum(own) / len(own))
+
+
+def test_null_and_huge_keys_stay_apart(spark, tmp_path):
+    big = 9_007_199_254_740_992
+    rows = [(u, 1000 * i, float(v), big + i) for u in (None, big, big + 1) for i, v in enumerate((0.0, 5.0, 8.0, float('nan'), 30.0))]
+    schema = "user_id long, ms long, value double, event_id long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = drained(stateful.triggered(stream, "user_id", "ms", "value", "event_id"), tmp_path, "odd")
+    assert sorted(got, key=str) == sorted([(u, 1000 * i, float(v), big + i) for u in (None, big, big + 1) for i, v in ((0, 0), (2, 8), (4, 30))], key=str)
