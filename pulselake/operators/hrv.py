@@ -131,23 +131,84 @@ def dfa_alpha(x: np.ndarray) -> float:
     return float(np.polyfit(np.log(list(sizes)), np.log(flux), 1)[0]) if (flux > 0).all() else 0.0
 
 
-def spectrum(rr: np.ndarray, fs: float = 4.0, profile: str = DEVICE) -> dict[str, float]:
-    """Power of the beat series in three bands, from an evenly resampled, Hann-windowed series; defaults below 30 beats."""
-    even = 50.0 if profile == DEVICE else 0.0
-    empty = {"vlf": 0.0, "lf": 0.0, "hf": 0.0, "lf_hf": 0.0, "total_power": 0.0, "lf_norm": even, "hf_norm": even}
+def cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through (x, y), x rising, whose third derivative is continuous at the second and the last but one
+    knot; beyond the ends its outer pieces go on."""
+    n, h = len(x), np.diff(x)
+    slope = np.diff(y) / h
+    if n == 2:
+        return y[0] + slope[0] * (at - x[0])
+    if n == 3:
+        return y[0] + slope[0] * (at - x[0]) + (slope[1] - slope[0]) / (x[2] - x[0]) * (at - x[0]) * (at - x[1])
+    # Second derivatives m at the knots: three diagonals inside; at the ends the first and last two pieces are one cubic, which
+    # gives the outer m from the next two.
+    low, mid, up, right = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    a, b = h[0] / h[1], h[-1] / h[-2]
+    mid[0] += low[0] * (1 + a)
+    up[0] -= low[0] * a
+    mid[-1] += up[-1] * (1 + b)
+    low[-1] -= up[-1] * b
+    for i in range(1, n - 2):
+        w = low[i] / mid[i - 1]
+        mid[i] -= w * up[i - 1]
+        right[i] -= w * right[i - 1]
+    m = np.zeros(n)
+    m[n - 2] = right[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (right[i] - up[i] * m[i + 2]) / mid[i]
+    m[0], m[-1] = (1 + a) * m[1] - a * m[2], (1 + b) * m[-2] - b * m[-3]
+    k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    u = at - x[k]
+    return y[k] + u * (slope[k] - h[k] * (2 * m[k] + m[k + 1]) / 6 + u * (m[k] / 2 + u * (m[k + 1] - m[k]) / (6 * h[k])))
+
+
+def welch(x: np.ndarray, fs: float, segment: int = 256, overlap: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, power density): mean periodogram of overlapping segments, each without its mean and under a periodic Hann
+    window; one-sided, so all but the first (and of an even length the last) are doubled."""
+    n = min(segment, len(x))
+    step = n - min(overlap, len(x) // 2)
+    parts = np.lib.stride_tricks.sliding_window_view(x, n)[::step]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * window)) ** 2 / (fs * (window**2).sum())
+    power[:, 1 : (-1 if n % 2 == 0 else None)] *= 2
+    return np.fft.rfftfreq(n, 1 / fs), power.mean(axis=0)
+
+
+def _bands(rr: np.ndarray, fs: float, profile: str) -> list[float] | None:
+    """Power in the three bands; None if the series is too short."""
+    limits = ((0.003, 0.04), (0.04, 0.15), (0.15, 0.4))
+    if len(rr) < 30:
+        return None
+    if profile != DEVICE:  # a beat's interval counts from its end
+        t = np.cumsum(rr) / 1000.0
+        t = t - t[0]
+        at = np.arange(0.0, t[-1], 1 / fs)
+        if len(at) < 30:
+            return None
+        f, psd = welch(cubic(t, rr, at) - np.mean(cubic(t, rr, at)), fs)
+        inside = [(f >= a) & (f < b) for a, b in limits]
+        return [float(np.trapezoid(psd[i], f[i])) if i.any() else 0.0 for i in inside]
     t = np.concatenate([[0.0], np.cumsum(rr) / 1000.0])
-    n = int(np.floor(t[-1] * fs)) if len(rr) else 0
-    if len(rr) < 30 or n < 32:
-        return empty
-    at = np.arange(n) / fs
-    times = t[:-1] if profile == DEVICE else t[1:]  # a beat's interval counts from its start (device) or its end
-    even_rr = np.interp(at, times, rr)
+    n = int(np.floor(t[-1] * fs))
+    if n < 32:
+        return None
+    even_rr = np.interp(np.arange(n) / fs, t[:-1], rr)
     v = (even_rr - even_rr.mean()) * 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / (n - 1)))
     psd = np.abs(np.fft.rfft(v)[: n // 2]) ** 2 / (n * fs)
     f = np.arange(n // 2) * fs / n
-    vlf, lf, hf = (float(psd[(f >= a) & (f < b)].sum()) for a, b in ((0.003, 0.04), (0.04, 0.15), (0.15, 0.4)))
+    return [float(psd[(f >= a) & (f < b)].sum()) for a, b in limits]
+
+
+def spectrum(rr: np.ndarray, fs: float = 4.0, profile: str = DEVICE) -> dict[str, float]:
+    """Power of the beat series in three bands; defaults below 30 beats. Device: linear resampling, one Hann window, sums.
+    Train: cubic resampling, overlapping segments, trapezoids."""
+    bands = _bands(rr, fs, profile)
+    if bands is None:
+        even = 50.0 if profile == DEVICE else 0.0
+        return {"vlf": 0.0, "lf": 0.0, "hf": 0.0, "lf_hf": 0.0, "total_power": 0.0, "lf_norm": even, "hf_norm": even}
+    vlf, lf, hf = bands
     both = lf + hf
-    return {"vlf": vlf, "lf": lf, "hf": hf, "lf_hf": lf / hf if hf > 0 else 0.0, "total_power": vlf + both, "lf_norm": lf / both * 100 if both > 0 else even, "hf_norm": hf / both * 100 if both > 0 else even}
+    return {"vlf": vlf, "lf": lf, "hf": hf, "lf_hf": lf / hf if hf > 0 else 0.0, "total_power": vlf + both, "lf_norm": lf / both * 100 if both > 0 else 50.0, "hf_norm": hf / both * 100 if both > 0 else 50.0}
 
 
 SERIES = ("vlf", "lf", "hf", "lf_hf", "total_power", "lf_norm", "hf_norm", "sampen", "dfa_alpha1")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.scalar import anxiety_level, clamp, depression_level, focus_level, half_up, stress_level
-from pulselake.operators.features import activity_code, usable_signal
+from pulselake.operators.features import usable_signal
 from pulselake.operators.hrv import rule_anxiety, rule_focus, rule_stress
-from pulselake.operators.scoring import normalise, score_trees, tree_sum
+from pulselake.operators.scoring import by_deviation, normalise, raw_value, score_trees, tree_sum
 
 # Usual ranges of six signals, the side that is bad, and their names.
 NORMAL_RANGES = {
@@ -25,13 +25,23 @@ def confidence() -> Column:
     return clamp(c, 0.1, 1)
 
 
-def contributors(model: dict, k: int = 3) -> Column:
+#: Which column of a user's baseline is the reference point of which feature.
+PERSONAL = {"rmssd": "rmssd_mean", "sdnn": "sdnn_mean", "hr_mean": "resting_hr_mean"}
+
+
+def contributors(model: dict, k: int = 3, personal: tuple[str, ...] = ()) -> Column:
     """array<struct<feature, impact, direction>>: the k most important features that have a value (equal importances in the
-    model's order); impact is the share of all importances; direction says on which side of the training mean."""
+    model's order); impact is the share of all importances; direction says on which side of the reference point: the user's own
+    baseline where its column is among personal and not null, else the training mean, else the value itself."""
     imp, mean = model.get("importances", {}), model["normalization"]["mean"]
     total = sum(imp.get(f, 0.0) for f in model["features"]) or 1.0
     ranked = sorted((f for f in model["features"] if imp.get(f, 0.0) > 0), key=lambda f: -imp[f])
-    rows = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), F.lit(imp[f] / total).alias("impact"), F.when(F.col(f) >= mean.get(f, float("-inf")), "high").otherwise("low").alias("direction"))) for f in ranked]
+
+    def reference(f: str) -> Column:
+        own = [F.col(PERSONAL[f])] if PERSONAL.get(f) in personal else []
+        return F.coalesce(*own, F.lit(float(mean[f])) if f in mean else F.col(f))
+
+    rows = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), F.lit(imp[f] / total).alias("impact"), F.when(F.col(f) >= reference(f), "high").otherwise("low").alias("direction"))) for f in ranked]
     return F.slice(F.array_compact(F.array(*rows)), 1, k)
 
 
@@ -48,12 +58,13 @@ def elevated(k: int = 4) -> Column:
 def predict_stress(windows: DataFrame, key: list[str], model: dict | None, stats: DataFrame | None = None, user: list[str] | None = None) -> DataFrame:
     """(key, stress_score, stress_level, is_stressed, confidence, contributors). Without a model (confidence 0.6), or
     for windows without a usable signal (0.3), fixed rules score; else the trees, on z-scores of the user's own figures (stats:
-    user, feature, mean, std) or the model's."""
+    user, feature, mean, std) or the model's. Contributors are above or below the user's baseline where windows carry its
+    columns (PERSONAL)."""
     rules = rule_stress(windows).withColumnRenamed("stress_score", "_rule")
     none = F.array().cast("array<struct<feature:string,impact:double,direction:string>>")
     if model is None:
         return rules.select(*key, F.col("_rule").alias("stress_score"), "stress_level", (F.col("_rule") >= 50).alias("is_stressed"), F.lit(0.6).alias("confidence"), none.alias("contributors"))
-    raw = rules.withColumns({"_ok": F.coalesce(usable_signal(), F.lit(False)), "_conf": confidence(), "_why": contributors(model)})
+    raw = rules.withColumns({"_ok": F.coalesce(usable_signal(), F.lit(False)), "_conf": confidence(), "_why": contributors(model, personal=tuple(windows.columns))})
     z = _z(raw, model, stats, user)
     z = score_trees(z, model, "_p", "yes")
     threshold = float(model.get("decisionThreshold", 0.5))
@@ -68,8 +79,7 @@ def _z(df: DataFrame, model: dict, stats: DataFrame | None, user: list[str] | No
     if stats is not None:
         return normalise(df, stats, user, model)
     mean, std = model["normalization"]["mean"], model["normalization"]["std"]
-    of = lambda f: (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - float(mean.get(f, 0))) / float(std.get(f, 1)) if float(std.get(f, 1)) > 0 else F.lit(0.0)
-    return df.withColumns({f: of(f) for f in model["features"]})
+    return df.withColumns({f: by_deviation(raw_value(f), F.lit(float(mean.get(f, 0))), F.lit(float(std.get(f, 1)))) for f in model["features"]})
 
 
 def predict_anxiety(windows: DataFrame, key: list[str], model: dict | None) -> DataFrame:
@@ -78,7 +88,7 @@ def predict_anxiety(windows: DataFrame, key: list[str], model: dict | None) -> D
     if model is None:
         w = rule_anxiety(windows).withColumn("_i", F.col("anxiety_index"))
     else:
-        raw = {f: F.coalesce(activity_code(F.col(f)) if f == "activity_type" else F.col(f).cast("double"), F.lit(0.0)) for f in model["features"]}
+        raw = {f: raw_value(f) for f in model["features"]}
         keep = windows.withColumn("_rmssd", F.col("rmssd"))
         w = keep.withColumns(raw).withColumn("_i", clamp(tree_sum(model, "yes"), 0, 100)).withColumn("rmssd", F.col("_rmssd")).drop("_rmssd")
     has = {"rmssd_mean", "rmssd_std"} <= set(windows.columns)

@@ -166,8 +166,9 @@ def occlusion(df: DataFrame, features: list[str], score: Callable[[DataFrame, st
 
 def attribution_ranks(attributions: DataFrame, feature: str = "feature", value: str = "value", of: str = "x") -> DataFrame:
     """(feature, importance, rank, direction): mean absolute attribution, its rank, and whether it rises (1) or falls (-1)
-    with the feature's value."""
-    g = attributions.groupBy(feature).agg(F.avg(F.abs(value)).alias("importance"), F.covar_pop(value, of).alias("_c"))
+    with the feature's value; rows without a value (null or NaN) say nothing on that."""
+    x = F.col(of).cast("double")
+    g = attributions.groupBy(feature).agg(F.avg(F.abs(value)).alias("importance"), F.coalesce(F.covar_pop(value, F.when(~F.isnan(x), x)), F.lit(0.0)).alias("_c"))
     w = Window.orderBy(F.desc("importance"), feature)  # a row for each feature
     return g.withColumns({"rank": F.row_number().over(w), "direction": F.signum("_c").cast("int")}).drop("_c")
 
