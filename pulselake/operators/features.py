@@ -72,6 +72,13 @@ def master(hrv: DataFrame, by: list[str], temp: DataFrame, steps: DataFrame, mea
     return with_movement(j.drop("direct_rmssd"))
 
 
+def complete(windows: DataFrame, series: DataFrame, by: list[str]) -> DataFrame:
+    """master's windows with the spectral and non-linear figures of the same windows (hrv.series_features); where a window has too few
+    beats for those, the figures of an empty series."""
+    empty = {"vlf": 0.0, "lf": 0.0, "hf": 0.0, "lf_hf": 0.0, "total_power": 0.0, "lf_norm": 50.0, "hf_norm": 50.0, "sampen": 0.0, "dfa_alpha1": 0.0}
+    return windows.join(series, by, "left").na.fill(empty)
+
+
 def usable_signal() -> Column:
     """Whether a window carries a usable heart signal."""
     return (F.col("rmssd") > 0) & (F.col("mean_rr") > 0) & F.col("hr_mean").between(30, 220)

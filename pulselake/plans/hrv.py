@@ -54,9 +54,10 @@ def rr_intervals_train(spark, d):
 
 
 def hrv_series(spark, d):
-    """Spectrum, sample entropy and scaling exponent of each user's beats, week by week (no SQL; the tests have a plain twin)."""
+    """Spectrum, sample entropy and scaling exponent of each user's beats, week by week, by both profiles (no SQL; the tests have a plain twin)."""
     rr = _rr(spark, d).select("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 604_800).alias("week"), "ts", "event_id", "rr")
-    return hrv.series_features(rr, ["user_id", "week"], ["ts", "event_id"])
+    by, order = ["user_id", "week"], ["ts", "event_id"]
+    return rounded(hrv.series_features(rr, by, order).withColumn("profile", F.lit(hrv.DEVICE)).unionByName(hrv.series_features(rr, by, order, hrv.TRAIN).withColumn("profile", F.lit(hrv.TRAIN))))
 
 
 QUERIES = {"hrv_stress_summary": hrv_stress_summary, "rr_intervals": rr_intervals, "rr_intervals_train": rr_intervals_train, "hrv_series": hrv_series}

@@ -69,6 +69,19 @@ DEPRESSION = {
 }
 
 
+FOCUS = {
+    "features": ["hr_mean", "rmssd", "sdnn"], "baseScore": 0.2, "normalization": {"mean": {"hr_mean": 85.0, "rmssd": 40.0, "sdnn": 90.0}, "std": {"hr_mean": 15.0, "rmssd": 20.0, "sdnn": 40.0}},
+    "trees": [_split("hr_mean", 0.15625, 0.5, -0.6), _split("sdnn", 0.21875, _split("rmssd", -0.53125, -0.4, 0.1), 0.3), _split("rmssd", 0.03125, -0.2, 0.35)],
+}
+
+
+def _numbered(tree: dict, features: list[str]) -> dict:
+    """A tree as a model that was trained on arrays is dumped: splits by the features' numbers."""
+    if "leaf" in tree:
+        return tree
+    return tree | {"split": f"f{features.index(tree['split'])}", "children": [_numbered(c, features) for c in tree["children"]]}
+
+
 def _names(column, field="feature"):
     return F.array_join(F.transform(column, lambda x: x[field]), ",")
 
@@ -94,7 +107,9 @@ def anxiety_predictions(spark, d):
 
 
 def focus_predictions(spark, d):
-    p = models.predict_focus(_master(spark, d).withColumn("sampen", F.lit(None).cast("double")), WIN, None)
+    """Focus of each feature window by trees that were dumped by feature number."""
+    dumped = FOCUS | {"trees": [_numbered(t, FOCUS["features"]) for t in FOCUS["trees"]]}
+    p = models.predict_focus(_master(spark, d).withColumn("sampen", F.lit(None).cast("double")), WIN, dumped)
     return rounded(p.select(*WIN, "focus_score", "focus_level", _names("elevated").alias("elevated")))
 
 
@@ -206,18 +221,18 @@ def maturity_levels(spark, d):
 
 
 def nearest_purchase_day(spark, d):
-    """For every login, the first purchase less than a day away."""
+    """For every signup, the first purchase less than a day away."""
     e = events(spark, d)
-    days = e.where("event_type = 'login'").select("user_id", "event_id", F.col("ms").alias("at"))
+    days = e.where("event_type = 'signup'").select("user_id", "event_id", F.col("ms").alias("at"))
     buys = e.where("event_type = 'purchase'").select("user_id", F.col("ms").alias("start"), F.col("event_id").alias("purchase"))
     return joins.nearest_day(days, buys, ["user_id"], "at", "start", "purchase", ["purchase"]).select("event_id", "purchase")
 
 
 def week_labels(spark, d):
-    """The event type that at least 35 % of a user's week's hours with events carry, of windows that begin a week."""
-    e = events(spark, d).select("user_id", (F.floor(F.col("ms") / 3_600_000)).alias("hour"), "event_type").distinct()
-    w = e.select("user_id", (F.floor(F.col("hour") / 168) * 168).alias("start")).distinct()
-    return joins.pure_label(w, e, ["user_id"], "start", 168, "hour", "event_type", 0.04)
+    """The return flag that at least 80 % of three neighbouring lines of an order carry."""
+    s = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("at"), "l_returnflag")
+    w = s.select("l_orderkey", (F.floor(F.col("at") / 3) * 3).alias("start")).distinct()
+    return joins.pure_label(w, s, ["l_orderkey"], "start", 3, "at", "l_returnflag")
 
 
 def index_lookup(spark, d):
@@ -260,7 +275,7 @@ def side_features(spark, d):
 
 def stage_class_metrics(spark, d):
     """Metrics of a rule that names the event type by its value, over five classes and each user."""
-    guess = F.when(F.col("value") < 10, "view").when(F.col("value") < 20, "click").when(F.col("value") < 40, "purchase").otherwise("login")
+    guess = F.when(F.col("value") < 10, "view").when(F.col("value") < 20, "click").when(F.col("value") < 40, "purchase").otherwise("signup")
     return rounded(evaluation.class_metrics(table(spark, d, "events").withColumn("guess", guess), ["user_id"], "event_type", "guess"))
 
 
@@ -385,7 +400,7 @@ ORACLES = {
     "stress_by_rules": _MASTER + _BASES + ", r AS (SELECT m.*, " + _RULE.format("+ CASE WHEN rmssd < rm - rs THEN 10 ELSE 0 END + CASE WHEN hr_mean > hm + hs THEN 10 ELSE 0 END") + " AS s FROM m LEFT JOIN b ON m.user_id = b.user_id) SELECT user_id, week, CAST(s AS DOUBLE) AS stress_score, " + _level("s") + " AS stress_level, s >= 50 AS is_stressed, CAST(0.6 AS DOUBLE) AS confidence FROM r",
     "anxiety_predictions": _MASTER + ", a AS (SELECT user_id, week, rmssd, hr_mean, CASE activity_type WHEN 'walking' THEN 1 WHEN 'active' THEN 2 WHEN 'sleeping' THEN 3 ELSE 0 END AS act FROM m), s AS (SELECT user_id, week, greatest(0, least(100, " + _ANX + ")) AS i FROM a) SELECT user_id, week, round(CAST(i AS DOUBLE), 6) AS anxiety_index, CASE WHEN i <= 20 THEN 'minimal' WHEN i <= 45 THEN 'mild' WHEN i <= 70 THEN 'moderate' ELSE 'severe' END AS level, CAST(0 AS DOUBLE) AS baseline_deviation FROM s",
     "focus_predictions": _MASTER + ", u AS (" + " UNION ALL ".join(f"SELECT user_id, week, '{f}' AS feature, {f'{f} - {h}' if bad == 'high' else f'{lo} - {f}'} AS d, {float(h - lo)} AS span FROM m" for f, (lo, h, bad, _) in models.NORMAL_RANGES.items() if f != "sampen") + """), v AS (SELECT *, row_number() OVER (PARTITION BY user_id, week ORDER BY d / span DESC, feature) AS o FROM u WHERE d / span > 0),
-g AS (SELECT user_id, week, string_agg(feature, ',' ORDER BY o) AS elevated FROM v WHERE o <= 4 GROUP BY 1, 2), s AS (SELECT user_id, week, greatest(0, least(100, 60.0 - CASE WHEN hr_mean > 90 THEN 20 WHEN hr_mean > 80 THEN 8 ELSE 0 END - CASE WHEN rmssd < 20 THEN 20 WHEN rmssd < 35 THEN 10 ELSE 0 END)) AS x FROM m)
+g AS (SELECT user_id, week, string_agg(feature, ',' ORDER BY o) AS elevated FROM v WHERE o <= 4 GROUP BY 1, 2), z AS (SELECT user_id, week, """ + ", ".join(f"{_zsql(FOCUS, f)} AS z_{f}" for f in FOCUS["features"]) + """ FROM m), s AS (SELECT user_id, week, greatest(0, least(100, floor(round(100 / (1 + exp(-""" + _sum(FOCUS, "z_{}") + """)), 9) + 0.5))) AS x FROM z)
 SELECT s.user_id, s.week, CAST(x AS DOUBLE) AS focus_score, CASE WHEN x < 25 THEN 'scattered' WHEN x < 50 THEN 'drifting' WHEN x < 75 THEN 'steady' ELSE 'sharp' END AS focus_level, coalesce(elevated, '') AS elevated FROM s LEFT JOIN g ON s.user_id = g.user_id AND s.week = g.week""",
     "bio_age": _E + """, w AS (SELECT user_id, 40 + value AS hr_mean, 15 + k AS rmssd, 30 + value AS sdnn, 60000 / (40 + value) AS mean_rr, event_id FROM ev),
 g AS (SELECT user_id, count(*) FILTER (rmssd > 0 AND mean_rr > 0) AS n, """ + ", ".join(f"coalesce(median({f}) FILTER (rmssd > 0 AND mean_rr > 0), 0.0) AS {f}" for f in AGE["features"]) + """, CAST(20 + max(event_id) % 50 AS INTEGER) AS age FROM w GROUP BY 1),
@@ -415,8 +430,8 @@ SELECT conv_id, turn, concat_ws(',', CASE WHEN tense AND strained THEN 'words_an
     "maturity_levels": _CK + """, c AS (SELECT *, conv_id + turn AS n FROM e), g AS (SELECT who, count(*) AS n, count(*) FILTER (n % 2 = 0) AS vc, count(*) FILTER (n % 4 = 0) / CAST(nullif(count(*) FILTER (n % 2 = 0), 0) AS DOUBLE) AS fr, count(*) FILTER (n % 3 <> 0) AS told, count(*) FILTER (n % 3 = 2) / CAST(nullif(count(*) FILTER (n % 3 <> 0), 0) AS DOUBLE) AS lr,
   (""" + " + ".join(f"max(CASE WHEN {e} > 0.3 THEN 1 ELSE 0 END)" for e in T.EMOTIONS) + """) / 8.0 AS br, count(*) FILTER (n % 9 = 0) AS al, count(*) FILTER (n % 2 = 0) / CAST(count(*) AS DOUBLE) AS fo, avg(CASE WHEN n % 5 = 0 THEN n * 40.0 END) AS la, ceil((1720000000000 - min(1700000000000 + n * 86400000)) / 86400000.0) AS days FROM c GROUP BY 1),
 l AS (SELECT who, n, """ + ", ".join(f"CAST({v} AS INTEGER) AS {k}" for k, v in _LV.items()) + " FROM g), s AS (SELECT *, (" + " + ".join(_LV) + ") / 7.0 AS mean FROM l) SELECT who, n, " + ", ".join(_LV) + ", CAST(floor(round(mean / 4 * 100, 9) + 0.5) AS BIGINT) AS score, CAST(least(4, floor(mean)) AS INTEGER) AS tier FROM s",
-    "nearest_purchase_day": _E + ", p AS (SELECT a.event_id, b.event_id AS purchase, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ms, b.event_id) AS o FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND abs(a.ms - b.ms) < 86400000 WHERE a.event_type = 'login') SELECT a.event_id, p.purchase FROM ev a LEFT JOIN p ON a.event_id = p.event_id AND o = 1 WHERE a.event_type = 'login'",
-    "week_labels": _E + ", h AS (SELECT DISTINCT user_id, ms // 3600000 AS hour, event_type FROM ev), c AS (SELECT user_id, hour // 168 * 168 AS start, event_type, count(*) AS n FROM h GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, start ORDER BY n DESC, event_type) AS o FROM c) SELECT user_id, start, event_type FROM o WHERE o = 1 AND n >= 0.04 * 168",
+    "nearest_purchase_day": _E + ", p AS (SELECT a.event_id, b.event_id AS purchase, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ms, b.event_id) AS o FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND abs(a.ms - b.ms) < 86400000 WHERE a.event_type = 'signup') SELECT a.event_id, p.purchase FROM ev a LEFT JOIN p ON a.event_id = p.event_id AND o = 1 WHERE a.event_type = 'signup'",
+    "week_labels": "WITH c AS (SELECT l_orderkey, CAST((l_linenumber - 1) // 3 * 3 AS BIGINT) AS start, l_returnflag, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1, 2, 3), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, start ORDER BY n DESC, l_returnflag) AS o FROM c) SELECT l_orderkey, start, l_returnflag FROM o WHERE o = 1 AND n >= 0.8 * 3",
     "index_lookup": _E + ", f AS (SELECT user_id, min(ms) AS t0 FROM ev GROUP BY 1), s AS (SELECT ev.user_id, (ms - t0) // 86400000 AS i, max(value) AS load FROM ev JOIN f ON ev.user_id = f.user_id GROUP BY 1, 2) SELECT ev.event_id, round(s.load, 6) AS load FROM ev JOIN f ON ev.user_id = f.user_id LEFT JOIN s ON s.user_id = ev.user_id AND s.i = (ms + 86400000 - t0) // 86400000 WHERE event_type = 'click'",
     "filled_gaps": _E + """, g AS (SELECT user_id, ms, max(CASE WHEN event_type <> 'purchase' THEN value END) AS v FROM ev GROUP BY 1, 2), w AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN ms END IGNORE NULLS) OVER b AS t0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN ms END IGNORE NULLS) OVER a AS t1 FROM g
   WINDOW b AS (PARTITION BY user_id ORDER BY ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, ms, round(coalesce(v, v0 + (v1 - v0) * (CAST(ms - t0 AS DOUBLE) / nullif(t1 - t0, 0)), v0, v1), 6) AS filled FROM w""",
@@ -424,7 +439,7 @@ l AS (SELECT who, n, """ + ", ".join(f"CAST({v} AS INTEGER) AS {k}" for k, v in
     "flat_users": _E + ", l AS (SELECT user_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) < 1e-6 AS f FROM ev), g AS (SELECT user_id, stddev_pop(value) AS std, count(*) FILTER (f) / CAST(count(*) AS DOUBLE) AS flat_share FROM l GROUP BY 1) SELECT user_id, round(std, 6) AS std, round(flat_share, 6) AS flat_share, std >= 20.0 AND flat_share < 0.3 AS valid FROM g",
     "epoch_motion": "WITH " + _EV + ", l AS (SELECT user_id, week, value, abs(value - lag(value) OVER (PARTITION BY user_id, week ORDER BY event_id)) AS d FROM ev) SELECT user_id, week, round(coalesce(sum(d), 0.0), 6) AS act_count, round(coalesce(max(d), 0.0), 6) AS act_max, round(CASE WHEN count(*) > 1 THEN stddev_pop(value) ELSE 0.0 END, 6) AS act_std, round(coalesce(avg(CASE WHEN d < 0.02 THEN 1.0 WHEN d IS NOT NULL THEN 0.0 END), 0.0), 6) AS immobility FROM l GROUP BY 1, 2",
     "side_features": "WITH " + _EV + ", l AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, week ORDER BY event_id) - 1 AS DOUBLE) AS i FROM ev) SELECT user_id, week, round(coalesce(avg(value), 0.0), 6) AS hr_mean, round(coalesce(stddev_pop(value), 0.0), 6) AS hr_std, round(coalesce(avg(k), 0.0), 6) AS acc_mean, round(coalesce(stddev_pop(k), 0.0), 6) AS acc_std, round(coalesce(avg(value), 0.0), 6) AS temp_mean, round(coalesce(covar_pop(value, i) / nullif(var_pop(i), 0), 0.0), 6) AS temp_slope FROM l GROUP BY 1, 2",
-    "stage_class_metrics": """WITH d AS (SELECT user_id, event_type AS y, CASE WHEN value < 10 THEN 'view' WHEN value < 20 THEN 'click' WHEN value < 40 THEN 'purchase' ELSE 'login' END AS z FROM events), c AS (SELECT user_id, y AS c FROM d UNION SELECT user_id, z FROM d),
+    "stage_class_metrics": """WITH d AS (SELECT user_id, event_type AS y, CASE WHEN value < 10 THEN 'view' WHEN value < 20 THEN 'click' WHEN value < 40 THEN 'purchase' ELSE 'signup' END AS z FROM events), c AS (SELECT user_id, y AS c FROM d UNION SELECT user_id, z FROM d),
 k AS (SELECT c.user_id, c.c, count(*) FILTER (d.y = c.c) AS a, count(*) FILTER (d.z = c.c) AS p, count(*) FILTER (d.y = c.c AND d.z = c.c) AS t FROM c JOIN d ON c.user_id = d.user_id GROUP BY 1, 2), g AS (SELECT user_id, sum(a) AS n, sum(t) / CAST(sum(a) AS DOUBLE) AS acc, avg(2.0 * t / (a + p)) AS mf, sum(2.0 * t / (a + p) * a) / sum(a) AS wf, sum(CAST(a AS DOUBLE) * p) AS e FROM k GROUP BY 1)
 SELECT user_id, round(acc, 6) AS accuracy, round(mf, 6) AS macro_f1, round(wf, 6) AS weighted_f1, round(coalesce((acc - e / (CAST(n AS DOUBLE) * n)) / nullif(1 - e / (CAST(n AS DOUBLE) * n), 0), 0), 6) AS kappa FROM g""",
     "supplier_means": f"WITH {_SCORE} SELECT l_suppkey, CAST(arg_min(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, l_orderkey * 10 + l_linenumber) AS INTEGER) AS y, round(avg(prob), 6) AS prob, count(*) AS n FROM sc GROUP BY 1",

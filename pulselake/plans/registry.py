@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulselake.plans import hrv, models, sequences, wellness
+from pulselake.plans import hrv, library, models, sequences, wellness
 
-MODULES = (hrv, sequences, wellness, models)
+MODULES = (hrv, sequences, wellness, models, library)
 
 
 def queries() -> dict:

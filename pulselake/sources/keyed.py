@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 INDEX = "_index"
 #: Buckets of an index: of those that a batch touches, all rows are rewritten.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def file_system(spark: SparkSession, path: str):
@@ -32,6 +32,11 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def by_partition(rows: DataFrame, part: str) -> DataFrame:
+    """rows dealt out by partition, small ones together and large ones split, so that a write makes few files and none too large."""
+    return rows.hint("rebalance", part)
+
+
 def replace_partitions(rows: DataFrame, path: str, part: str) -> None:
     """Replace the partitions that rows have by rows. They are staged in a folder of this call first: a partition can't be read
     while it is replaced, and two writers must not meet in one folder."""
@@ -39,7 +44,7 @@ def replace_partitions(rows: DataFrame, path: str, part: str) -> None:
     try:
         rows.write.parquet(staged)
         again = spark.read.schema(rows.schema).parquet(staged)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        by_partition(again, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     finally:
         drop(spark, staged)
 
@@ -99,7 +104,7 @@ def merge(path: str, rows: DataFrame, keys: list[str], order: str, part: str, bu
         index = read_index(spark, path, keys, new, part).where(F.col("bucket").isin(touched))
         before = by_keys(index, mine, keys, "left_semi")
         days = list(dict.fromkeys([*distinct_values(new, part), *distinct_values(before, part)]))
-        mine.write.mode("append").partitionBy("bucket").parquet(f"{path}/{INDEX}")
+        by_partition(mine, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{INDEX}")
 
         old = spark.read.schema(new.schema).parquet(path).where(among(part, days)) if has_partitions(spark, path) else new.limit(0)
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -108,7 +113,7 @@ def merge(path: str, rows: DataFrame, keys: list[str], order: str, part: str, bu
         merged.write.parquet(staged)
         again = spark.read.schema(new.schema).parquet(staged)
         left = distinct_values(again, part)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        by_partition(again, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
         for day in days:
             if day not in left:
                 drop(spark, f"{path}/{part}={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")

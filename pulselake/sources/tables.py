@@ -74,7 +74,7 @@ class Store:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows; one job commits them all or none."""
-        self._shaped(name, rows).write.mode("append").partitionBy("date").parquet(self._path(name))
+        keyed.by_partition(self._shaped(name, rows), "date").write.mode("append").partitionBy("date").parquet(self._path(name))
 
     def _replace(self, name: str, rows: DataFrame) -> None:
         keyed.replace_partitions(rows, self._path(name), "date")
