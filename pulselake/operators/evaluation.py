@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,18 +51,28 @@ def regression_metrics(pred: DataFrame, by: list[str], y: str, z: str) -> DataFr
     return g
 
 
-def pick_threshold(pred: DataFrame, y: str, p: str, by: str = "f1", points: int = 101, digits: int = 6) -> DataFrame:
+def pick_threshold(pred: DataFrame, y: str, p: str, by: str = "f1", points: int = 101, digits: int | None = 6) -> DataFrame:
     """(threshold, f1, youden, balanced): the score quantile that is best by one of the three, the least of equals.
 
-    Scores count to so many digits, so that there are a million and one different ones at most. The grid of points
-    quantiles reaches the driver; rows meet it as a literal, and are summed by their place in it before anything is ordered.
+    Rows are counted by score first; scores count to so many digits, so that there are a million and one different ones
+    at most. digits=None takes them as they are: exact, and the quantiles then hold all different scores in one task. The grid
+    of points quantiles reaches the driver; scores find their place in it by halving, as conditions of one expression.
+    Null scores are left out.
     """
-    s = pred.select(F.round(p, digits).alias("_p"), (F.col(y) == 1).alias("_y"))
-    grid = sorted(set(s.agg(F.percentile("_p", F.array(*[F.lit(i / (points - 1)) for i in range(points)])).alias("g")).first()["g"] or []))
+    score = F.col(p).cast("double") if digits is None else F.round(p, digits)
+    s = pred.where(F.col(p).isNotNull()).groupBy(score.alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("np"))
+    grid = sorted(set(s.agg(F.percentile("_p", F.array(*[F.lit(i / (points - 1)) for i in range(points)]), F.col("n")).alias("g")).first()["g"] or []))
     if not grid:
         return s.sparkSession.createDataFrame([], "threshold double, f1 double, youden double, balanced double")
-    place = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("_p")))
-    c = s.groupBy(place.alias("_i")).agg(F.count(F.lit(1)).alias("n"), F.count_if("_y").alias("np"))
+
+    def place(low: int, high: int) -> Column:
+        """How many of the grid are at most the score, which is from low to high."""
+        if low == high:
+            return F.lit(low)
+        half = (low + high) // 2
+        return F.when(F.col("_p") < grid[half], place(low, half)).otherwise(place(half + 1, high))
+
+    c = s.groupBy(place(0, len(grid)).alias("_i")).agg(F.sum("n").alias("n"), F.sum("np").alias("np"))
     every = s.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "_i int, threshold double")
     c = every.join(c, "_i", "full").na.fill(0, ["n", "np"])
     down, all_ = Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()  # points rows and one

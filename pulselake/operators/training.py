@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,14 +82,19 @@ def predicted(fitted, df: DataFrame, features: list[str], out: str = "prob") ->
     return got.withColumn(out, value).select(*df.columns, out)
 
 
-def cross_validated(df: DataFrame, fold: str, k: int, features: list[str], label: str, **settings) -> DataFrame:
-    """Every row with the prediction of the model that never saw its fold."""
-    out = None
-    for i in range(k):
-        fitted = boosted(df.where(F.col(fold) != i), features, label, **settings)
-        part = predicted(fitted, df.where(F.col(fold) == i), features)
-        out = part if out is None else out.unionByName(part)
-    return out
+def side_by_side(work: Callable, items: list, parallel: int = 1) -> list:
+    """work(item) of each item, so many at a time: Spark runs the jobs of several threads next to one another. In the items' order."""
+    if parallel <= 1 or len(items) <= 1:
+        return [work(x) for x in items]
+    with ThreadPoolExecutor(min(parallel, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
+
+
+def cross_validated(df: DataFrame, fold: str, k: int, features: list[str], label: str, parallel: int = 1, **settings) -> DataFrame:
+    """Every row with the prediction of the model that never saw its fold. parallel folds are fitted at a time."""
+    fitted = side_by_side(lambda i: boosted(df.where(F.col(fold) != i), features, label, **settings), list(range(k)), parallel)
+    parts = [predicted(m, df.where(F.col(fold) == i), features) for i, m in enumerate(fitted)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def transfer_matrix(sets: dict[str, DataFrame], fit: Callable, score: Callable[[object, DataFrame], float]) -> list[tuple[str, str, float]]:
@@ -99,43 +107,47 @@ def leak_gap(within: float, across: float) -> float:
     return within - across
 
 
-def swarm(loss: Callable[[dict], float], bounds: dict[str, tuple[float, float]], particles: int = 8, rounds: int = 5, seed: int = 42, inertia: float = 0.7, own: float = 1.5, shared: float = 1.5) -> tuple[dict, float]:
-    """Least loss over a box, by particles that are drawn to their own best and the common best place. Each trial is a Spark job."""
+def swarm(loss: Callable[[dict], float], bounds: dict[str, tuple[float, float]], particles: int = 8, rounds: int = 5, seed: int = 42, inertia: float = 0.7, own: float = 1.5, shared: float = 1.5, parallel: int = 1) -> tuple[dict, float]:
+    """Least loss over a box, by particles that are drawn to their own best and the common best place. Each trial is a Spark job; a
+    round's particles all move by the best places of the rounds before, so that parallel of them can be tried at a time and
+    the result is the same."""
     rng = random.Random(seed)
     names = list(bounds)
     inside = lambda v, n: min(max(v, bounds[n][0]), bounds[n][1])
     at = [{n: rng.uniform(*bounds[n]) for n in names} for _ in range(particles)]
     speed = [dict.fromkeys(names, 0.0) for _ in range(particles)]
-    best = [(loss(p), dict(p)) for p in at]
+    best = list(zip(side_by_side(loss, [dict(p) for p in at], parallel), [dict(p) for p in at], strict=True))
     top = min(best, key=lambda b: b[0])
     for _ in range(rounds):
         for i, p in enumerate(at):
             for n in names:
                 speed[i][n] = inertia * speed[i][n] + own * rng.random() * (best[i][1][n] - p[n]) + shared * rng.random() * (top[1][n] - p[n])
                 p[n] = inside(p[n] + speed[i][n], n)
-            got = loss(p)
+        for i, got in enumerate(side_by_side(loss, [dict(p) for p in at], parallel)):
             if got < best[i][0]:
-                best[i] = (got, dict(p))
+                best[i] = (got, dict(at[i]))
                 top = min(top, best[i], key=lambda b: b[0])
     return top[1], top[0]
 
 
-def pack(loss: Callable[[dict], float], bounds: dict[str, tuple[float, float]], wolves: int = 8, rounds: int = 5, seed: int = 42) -> tuple[dict, float]:
-    """Least loss over a box, by a pack that closes in on its three best places."""
+def pack(loss: Callable[[dict], float], bounds: dict[str, tuple[float, float]], wolves: int = 8, rounds: int = 5, seed: int = 42, parallel: int = 1) -> tuple[dict, float]:
+    """Least loss over a box, by a pack that closes in on its three best places; a round moves by those of the rounds before, and
+    parallel of its trials run at a time."""
     rng = random.Random(seed)
     names = list(bounds)
     at = [{n: rng.uniform(*bounds[n]) for n in names} for _ in range(wolves)]
-    seen = sorted(((loss(p), i, dict(p)) for i, p in enumerate(at)), key=lambda x: x[:2])[:3]
+    tried = lambda: [(got, i, dict(p)) for i, (got, p) in enumerate(zip(side_by_side(loss, [dict(p) for p in at], parallel), at, strict=True))]
+    seen = sorted(tried(), key=lambda x: x[:2])[:3]
     for r in range(rounds):
         a = 2.0 * (1 - r / rounds)
-        for i, p in enumerate(at):
+        for p in at:
             for n in names:
                 moves = []
                 for _, _, leader in seen:
                     pull, spread = a * (2 * rng.random() - 1), 2 * rng.random()
                     moves.append(leader[n] - pull * abs(spread * leader[n] - p[n]))
                 p[n] = min(max(sum(moves) / len(moves), bounds[n][0]), bounds[n][1])
-            seen = sorted([*seen, (loss(p), i, dict(p))], key=lambda x: x[:2])[:3]
+        seen = sorted([*seen, *tried()], key=lambda x: x[:2])[:3]
     return seen[0][2], seen[0][0]
 
 

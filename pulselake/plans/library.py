@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions import scalar as S
-from pulselake.operators import checkins, explain, features, joins, models, night, places, recommend, signal, training
+from pulselake.operators import charts, checkins, explain, features, joins, models, night, places, recommend, segments, signal, training
 from pulselake.plans.models import _MASTER, STRESS, WIN, _master
-from pulselake.plans.scratch import scratch
-from pulselake.plans.views import EVENTS, events, rounded, table
+from pulselake.sources.scratch import scratch
+from pulselake.plans import sequences
+from pulselake.plans.sequences import HOUR, ORDER
+from pulselake.plans.views import EVENTS, STAGES, events, rounded, stages, table
 from pulselake.plans.wellness import _SCORE, _scored
 from pulselake.sources import binary, records, tables
 from pulselake.streaming import epochs, stateful
@@ -189,6 +191,14 @@ def valid_events(spark, d):
     return features.valid_rows(_damaged(spark, d), "event_type", ["view", "click", "error"], ["a", "b"]).select("event_id")
 
 
+def split_triggers(spark, d):
+    """Triggers and cooldowns as trigger_and_cooldown counts them, with each user's rows in as many tasks as they need."""
+    e = events(spark, d)
+    hits = segments.triggered(e, ["user_id"], ORDER, "value", 7.0).groupBy("user_id").agg(F.count_if("hit").alias("n_triggered"))
+    cool = segments.cooled_down(e, ["user_id"], ORDER, "ms", 12 * HOUR).groupBy("user_id").agg(F.count_if("let_through").alias("n_cooled"))
+    return hits.join(cool, "user_id")
+
+
 def covered_days(spark, d):
     """Events of the days on which a user has three fifths of four at least."""
     e = events(spark, d).withColumn("day", F.floor(F.col("ms") / DAY))
@@ -301,6 +311,32 @@ def tree_attributions(spark, d):
     return rounded(out.select(*WIN, *[F.get("attributions", F.lit(i)).alias(f) for i, f in enumerate(STRESS["features"])], F.lit(base).alias("expected")))
 
 
+# ---------------------------------------------------------------- charts
+
+
+def hypnograms(spark, d):
+    """Where each sleep stage of every user's day is drawn."""
+    h = charts.hypnogram(stages(spark, d).select("user_id", "day", "event_id", "start_ms", "end_ms", "stage"), ["user_id", "day"])
+    return rounded(h.select("event_id", "row", "x0", "x1", "y"))
+
+
+def drawn_lines(spark, d):
+    """Each user's events as points of a line."""
+    return rounded(charts.line_points(events(spark, d), ["user_id"], ["ms", "event_id"], "value", 320.0, 100.0, 500.0).select("event_id", "x", "y"))
+
+
+def days_in_words(spark, d):
+    """Mood, anxiety and heart rate that each user's day stands for."""
+    g = events(spark, d).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 6).alias("stress"))
+    return g.select("user_id", "day", charts.day_in_words(F.col("stress")).alias("_w")).select("user_id", "day", "_w.*")
+
+
+def weekday_values(spark, d):
+    """Means by weekday over the week before the 20th, of all users but three."""
+    e = charts.without_subjects(events(spark, d).withColumn("who", F.concat(F.lit("S"), F.col("user_id"))), "who", ("S2", "S3", "S14"))
+    return charts.weekday_means(e, ["user_id"], "ts", "value", F.lit("2024-01-20").cast("timestamp"))
+
+
 # ---------------------------------------------------------------- recommendations with every input
 
 
@@ -321,8 +357,8 @@ def recommendations_in_full(spark, d):
 
 
 _ALL = (
-    upserted_settings, retained_light, rederived_diversity, night_epochs, night_epochs_stream, stream_deltas, stream_days, stream_upserts, nested_heart, nested_sleep, readings, wearable_batches, repaired_values, valid_events, covered_days, sampling_rates,
-    priced_orders, aligned_channels, novel_points, stays, zipped_days, legs, watch_scores, checkin_texts, stage_recordings, fewest_features, example_items, united_features, windows_of_29, tree_attributions, recommendations_in_full)
+    upserted_settings, retained_light, rederived_diversity, night_epochs, night_epochs_stream, stream_deltas, stream_days, stream_upserts, nested_heart, nested_sleep, readings, wearable_batches, repaired_values, valid_events, split_triggers, covered_days, sampling_rates,
+    priced_orders, aligned_channels, novel_points, stays, zipped_days, legs, watch_scores, checkin_texts, stage_recordings, fewest_features, example_items, united_features, windows_of_29, tree_attributions, hypnograms, drawn_lines, days_in_words, weekday_values, recommendations_in_full)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # ---------------------------------------------------------------- the same in SQL
@@ -394,6 +430,7 @@ ORACLES = {
 SELECT 'light' AS kind, path, ts_ms, round(f, 3) AS a, CASE WHEN f >= 1000 THEN 1.0 ELSE 0.0 END AS b, CAST(NULL AS DOUBLE) AS c FROM e UNION ALL SELECT 'location', path, ts_ms, round(30 + value / 1000, 3), round(k, 3), round(f, 3) FROM e UNION ALL SELECT 'sleep', path, ts_ms, round(f, 3), round(f, 3), 10.0 FROM e""",
     "repaired_values": _BAD + " SELECT event_id, round(CASE WHEN isfinite(a) OR a IS NULL THEN a ELSE 0.0 END, 6) AS a, round(CASE WHEN isfinite(b) OR b IS NULL THEN b ELSE 0.0 END, 6) AS b, CAST(NOT isfinite(coalesce(a, 0)) AS INT) + CAST(NOT isfinite(coalesce(b, 0)) AS INT) AS n_repaired FROM b",
     "valid_events": _BAD + " SELECT event_id FROM b WHERE event_type IN ('view', 'click', 'error') AND isfinite(a) AND isfinite(b)",
+    "split_triggers": sequences.ORACLES["trigger_and_cooldown"],
     "covered_days": _E + f", c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id, ms // {DAY}) AS n FROM ev) SELECT event_id FROM c WHERE n >= 2.4",
     "sampling_rates": _E + " SELECT user_id, count(*) AS n, round(count(*) / nullif(max(ms) / 1000.0 - min(ms) / 1000.0, 0), 6) AS rate FROM ev GROUP BY 1",
     "priced_orders": "SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS grade, CAST(length(o_orderpriority) * 2 AS INTEGER) AS days FROM orders",
@@ -411,5 +448,10 @@ SELECT conv_id, turn, role, CASE WHEN length(x) >= 8 THEN x ELSE 'Take one slow
     "example_items": "WITH " + _SCORE + """, s AS (SELECT l_suppkey, CAST(l_returnflag = 'R' AS INT) AS y, CAST(prob >= 0.5 AS INT) AS z, round(abs(prob - 0.5), 9) AS conf, l_orderkey * 10 + l_linenumber AS tie FROM sc), o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, y = z ORDER BY conf DESC, tie) AS o FROM s) SELECT l_suppkey, y = z AS right, tie, round(conf, 6) AS conf FROM o WHERE o = 1""",
     "united_features": _E + " SELECT user_id, round(avg(value), 6) AS mean, count(*) AS n, CAST(NULL AS DOUBLE) AS high FROM ev GROUP BY 1 UNION ALL SELECT o_custkey, NULL, count(*), round(max(o_totalprice), 6) FROM orders GROUP BY 1",
     "tree_attributions": _MASTER + ", l AS (SELECT user_id, week, " + ", ".join(f"{x} AS {f}" for f, x in _LEAVES.items()) + " FROM m), b AS (SELECT " + ", ".join(f"avg({f}) AS {f}" for f in _LEAVES) + " FROM l) SELECT l.user_id, l.week, " + ", ".join(f"round(CAST(l.{f} - b.{f} AS DOUBLE), 6) AS {f}" for f in _LEAVES) + ", 0.0::DOUBLE AS step_count, round(CAST(" + " + ".join(f"b.{f}" for f in _LEAVES) + " AS DOUBLE), 6) AS expected FROM l, b",
+    "hypnograms": "WITH " + STAGES + """, w AS (SELECT *, min(start_ms) OVER (PARTITION BY user_id, day) AS t0, max(end_ms) OVER (PARTITION BY user_id, day) AS t1, CASE WHEN stage IN ('awake', 'out_of_bed') THEN 0 WHEN stage = 'rem' THEN 1 WHEN stage = 'deep' THEN 3 ELSE 2 END AS r FROM st)
+SELECT event_id, ['awake', 'rem', 'light', 'deep'][r + 1] AS row, round((start_ms - t0) / CAST(greatest(1, t1 - t0) AS DOUBLE) * 300, 6) AS x0, round((end_ms - t0) / CAST(greatest(1, t1 - t0) AS DOUBLE) * 300, 6) AS x1, CAST(6 + r * 27 + 13.5 AS DOUBLE) AS y FROM w""",
+    "drawn_lines": _E + " SELECT event_id, round(coalesce(CAST(row_number() OVER w - 1 AS DOUBLE) / nullif(count(*) OVER (PARTITION BY user_id) - 1, 0), 0.0) * 320, 6) AS x, round(100 - value / 500 * 100, 6) AS y FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)",
+    "days_in_words": "WITH g AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS s FROM events GROUP BY 1, 2) SELECT user_id, day, CASE WHEN s > 60 THEN 'Stressed' WHEN s > 40 THEN 'Okay' ELSE 'Good' END AS mood, CAST(floor(round(s * 0.8, 9) + 0.5) AS BIGINT) AS anxiety, CAST(60 + floor(round(s * 0.2, 9) + 0.5) AS BIGINT) AS heart_rate FROM g",
+    "weekday_values": "WITH e AS (SELECT * FROM events WHERE user_id NOT IN (2, 3, 14)), i AS (SELECT user_id, isodow(ts) - 1 AS weekday, value FROM e WHERE ts <= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-13'), s AS (SELECT DISTINCT user_id, w AS weekday FROM e, range(0, 7) r(w)), m AS (SELECT user_id, weekday, avg(value) AS m, count(*) AS n FROM i GROUP BY 1, 2) SELECT s.user_id, CAST(s.weekday AS INTEGER) AS weekday, CAST(coalesce(floor(round(m, 9) + 0.5), 0) AS BIGINT) AS value, coalesce(n, 0) AS n FROM s LEFT JOIN m ON m.user_id = s.user_id AND m.weekday = s.weekday",
     "recommendations_in_full": _RECOMMEND,
 }

@@ -139,6 +139,8 @@ def test_thresholds_gate_and_metrics(spark):
     assert best.threshold == pytest.approx(0.6) and best.f1 == pytest.approx(6 / 7)
     assert evaluation.pick_threshold(p, "y", "p", "youden", 6).first().youden == pytest.approx(2 / 3)
     assert evaluation.pick_threshold(p.limit(0), "y", "p").count() == 0
+    close = frame(spark, [(0, 0.5), (1, 0.5 + 1e-9), (1, None)], "y int, p double")
+    assert evaluation.pick_threshold(close, "y", "p", points=2, digits=None).first().f1 == 1.0 > evaluation.pick_threshold(close, "y", "p", points=2).first().f1
     m = evaluation.class_metrics(frame(spark, [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "y string, z string").withColumn("g", F.lit(1)), ["g"], "y", "z").first()
     assert (m.accuracy, m.macro_f1) == pytest.approx((0.5, (0.5 + 2 / 3 + 0) / 3))
     folded = evaluation.folds(frame(spark, [(i % 7,) for i in range(70)], "s int"), "s", 3)
@@ -208,6 +210,31 @@ def test_splits_and_searches(spark):
     assert [(x, y) for x, y, _ in m] == [("a", "b"), ("b", "a")]
 
 
+def test_trials_side_by_side(spark):
+    import threading
+    import time
+
+    running, most = set(), []
+
+    def loss(p):
+        running.add(threading.get_ident())
+        most.append(len(running))
+        got = spark.range(20).select(F.sum(F.pow(F.col("id") / 20 - p["a"], 2)).alias("s")).first().s + (p["b"] - 1) ** 2
+        time.sleep(0.05)
+        running.discard(threading.get_ident())
+        return got
+
+    for search in (training.swarm, training.pack):
+        serial = search(loss, {"a": (0.0, 1.0), "b": (0.0, 2.0)}, 4, 2)
+        assert max(most) == 1
+        most.clear()
+        assert search(loss, {"a": (0.0, 1.0), "b": (0.0, 2.0)}, 4, 2, parallel=4) == serial
+        assert max(most) > 1
+        most.clear()
+    with pytest.raises(ZeroDivisionError):
+        training.side_by_side(lambda x: 1 / x, [1, 0], 2)
+
+
 def test_boosted_trees_and_their_portable_form(spark):
     rows = [(i, float(i % 20), float(i % 7), int(i % 20 > 9)) for i in range(400)]
     df = frame(spark, rows, "i int, a double, b double, y int")
@@ -217,7 +244,7 @@ def test_boosted_trees_and_their_portable_form(spark):
     q = scoring.score_trees(df, training.portable(fitted, ["a", "b"]), "again")
     far = training.parity(p, q, ["i"], "prob", "again").first()
     assert far.n == 400 and far.worst < 1e-9
-    cv = training.cross_validated(training.stratified_folds(df, "y", "i", 2), "fold", 2, ["a", "b"], "y", rounds=2, depth=2)
+    cv = training.cross_validated(training.stratified_folds(df, "y", "i", 2), "fold", 2, ["a", "b"], "y", parallel=2, rounds=2, depth=2)
     assert cv.count() == 400
     effect = {r.feature: r.effect for r in training.occlusion(df, ["a", "b"], lambda d, out: d.withColumn(out, F.col("a") * 2), ["i"]).collect()}
     assert effect["b"] == 0 and effect["a"] == pytest.approx(19.0)
