@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import materialize, partitions, table
+from pulselake.llm.common import materialize, table
 from pulselake.llm.vectors import by_length
 
 SCALE = 256
-#: Vectors of an index shard, and queries that are answered together.
-SHARD, QUERIES = 8192, 256
+#: Vectors of an index shard, queries that meet a shard in one group, and queries that are answered together.
+SHARD, ASKED, QUERIES = 8192, 4096, 256
 #: Components are quantised to multiples of this.
 STEP = 4
 
@@ -42,16 +42,18 @@ class ImpactIndex:
         new[1:] = (dim[1:] != dim[:-1]) | (level[1:] != level[:-1])
         begins = np.append(np.flatnonzero(new), len(order))
         self.segments = [(int(impact[a]), int(dim[a]), int(level[a]) * STEP, doc[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True) if impact[a]]
-        # How far a vector may be from what has been added for it, once all impacts of at least so much are done.
-        size, rest = np.abs(level_of(x)), x.astype(float)
+        # How far a vector may be from what has been added for it, once all impacts of at least so much are done; tried at
+        # impacts after which half, six tenths and so on of the postings have been added.
+        sizes = np.array([len(s[3]) for s in self.segments])
+        self.added = np.concatenate([[0], np.cumsum(sizes)])
         self.impacts = sorted({s[0] for s in self.segments}, reverse=True)
+        of = np.array([s[0] for s in self.segments])
+        upto = {i: int(self.added[np.count_nonzero(of >= i)]) for i in self.impacts}
+        shares = [next((i for i in self.impacts if upto[i] >= share * self.added[-1]), None) for share in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)]
+        size, rest = np.abs(level_of(x)), x.astype(float)
         gap = rest - STEP * level_of(x)
-        self.residual = {i: np.sqrt(np.where(size >= i, gap**2, rest**2).sum(axis=1)) for i in self._stops()}
-
-    def _stops(self) -> list[int]:
-        """The impacts after which a proof is tried."""
-        got = self.impacts
-        return sorted({got[min(len(got) - 1, k)] for k in (len(got) // 2, len(got) * 3 // 4, len(got) * 7 // 8, len(got) - 1)}, reverse=True) if got else []
+        self.residual = {i: np.sqrt(np.where(size >= i, gap**2, rest**2).sum(axis=1)) for i in shares if i is not None}
+        self.left_out = 0  # postings that searches had no need of
 
     def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(row numbers, exact scores) of the k best rows of each query (all, if fewer), ties to smaller ids; a query's own id is left out."""
@@ -72,9 +74,11 @@ class ImpactIndex:
             slack = self.residual[impact][:, None] * norm[None, :] * (1 + 1e-9) + 1e-6
             low = np.where(mine, -np.inf, acc - slack)
             least = np.partition(low, n - k, axis=0)[n - k]  # a k-th best score is at least this
-            possible = acc + slack >= least[None, :]
-            if possible.sum() <= 0.01 * possible.size:
-                break  # proven: no other row can be among the k best
+            possible = acc + slack >= least[None, :]  # proven: no other row can be among the k best
+            # The possible rows are scored exactly in any case: stop when that is less work than the postings left.
+            if possible.sum() * self.x.shape[1] <= (self.added[-1] - self.added[at]) * len(q):
+                self.left_out += int(self.added[-1] - self.added[at]) * len(q)
+                break
         possible &= ~mine
         out = []
         for j in range(len(q)):
@@ -89,33 +93,21 @@ def level_of(x: np.ndarray) -> np.ndarray:
     return np.floor_divide(2 * x + STEP, 2 * STEP)
 
 
+ANSWERS = pa.schema({"query_id": pa.int64(), "id": pa.int64(), "score": pa.int64()})
+
+
 def _answer(k: int):
-    """Each group (shard, query block) of a partition: the shard's k best for each query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        keys = np.stack([t[c].to_numpy() for c in ("dim", "shard", "block")])
-        order = np.lexsort(keys[::-1])
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(axis=0)
-        begins = np.append(np.flatnonzero(new), len(order))
-        ids, asks, vectors = t["id"].to_numpy(), t["query"].to_numpy(zero_copy_only=False), t["v"].combine_chunks()
-        for a, b in zip(begins[:-1], begins[1:], strict=True):
-            rows = order[a:b]
-            x = np.frombuffer(b"".join(vectors[int(r)].as_py() for r in rows), np.int64).reshape(len(rows), -1)
-            ask = asks[rows]
-            if ask.all() or not ask.any():
-                continue
-            index, own, theirs = ImpactIndex(x[~ask]), ids[rows[ask]], ids[rows[~ask]]
-            q = x[ask]
-            best = [y for c in range(0, len(q), QUERIES) for y in index.search(q[c : c + QUERIES], own[c : c + QUERIES], theirs, k)]
-            n = [len(r) for r, _ in best]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(own, n)), pa.array(np.concatenate([theirs[r] for r, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.int64)),
-            ], names=["query_id", "id", "score"])
+    """A group of one shard and one block of queries: the shard's k best for each query."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ask, ids = t["query"].to_numpy(), t["id"].to_numpy()
+        if ask.all() or not ask.any():
+            return ANSWERS.empty_table()
+        x = np.frombuffer(b"".join(t["v"].to_pylist()), np.int64).reshape(len(ids), -1)
+        index, own, theirs, q = ImpactIndex(x[~ask]), ids[ask], ids[~ask], x[ask]
+        best = [y for c in range(0, len(q), QUERIES) for y in index.search(q[c : c + QUERIES], own[c : c + QUERIES], theirs, k)]
+        n = [len(r) for r, _ in best]
+        return pa.table([pa.array(np.repeat(own, n)), pa.array(np.concatenate([theirs[r] for r, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.int64))], schema=ANSWERS)
 
     return run
 
@@ -126,26 +118,25 @@ def top_k(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vecto
     queries: a condition on id_col. Components become floor(256 x). Rows are dealt into index shards, queries into
     blocks; each pair of a shard and a block is one group, so neither side is broadcast or collected. In a
     group, posting segments (a dimension and a quantised value) are added score at a time by descending impact. After
-    some impacts, Cauchy-Schwarz on what is left of each vector bounds every score; processing stops only when that
-    proves nearly all rows out, and the possible rest is scored exactly. The best of all shards are then ranked.
+    half of the postings and each further tenth, Cauchy-Schwarz on what is left of each vector bounds every score and proves
+    rows out; the possible rest is scored exactly, and processing stops when that is less work than the postings left. A
+    group is one shard and one block of queries, so a task holds that much. The best of all shards are then ranked.
 
     Vectors null, empty or with null or non-finite components take no part, nor null ids; vectors of another length
     than the query's are no candidates. Rows with one id are one vector: equal ones count once, of
     different ones the shorter, then the bytewise least counts. Ties go to the smaller id. Scores must
     fit a long. An empty table gives no rows; other columns are ignored.
     """
-    spark = vectors.sparkSession
     usable = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
     one = usable.mapInArrow(_integers, "id long, dim int, v binary").groupBy("id").agg(F.min(F.struct("dim", "v")).alias("_r"))
     whole = materialize(one.select("id", "_r.dim", "_r.v"), "integers")
     ask = queries(F.col("id"))
     n, n_ask = whole.agg(F.count(F.lit(1)), F.count_if(ask)).first()
-    shards, n_blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(n_ask / (4 * QUERIES)))
+    shards, n_blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(n_ask / ASKED))
     salt = F.xxhash64("id")
     rows = whole.select("*", F.lit(False).alias("query"), F.pmod(salt, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     asked = whole.where(ask).select("*", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(salt, F.lit(n_blocks)).cast("int").alias("block"))
-    dealt = rows.unionByName(asked).repartition(partitions(spark), "dim", "shard", "block")
-    best = dealt.mapInArrow(_answer(k), "query_id long, id long, score long")
+    best = rows.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(_answer(k), "query_id long, id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
