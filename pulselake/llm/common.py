@@ -214,6 +214,34 @@ def blocks(batches, text_col: str, most_bytes: int = 2 << 20):
     pa.default_memory_pool().release_unused()  # workers are kept; what they don't need should not be
 
 
+def whole_groups(batches, keys: list[str], most_rows: int):
+    """Tables of whole groups from batches that are sorted by integer columns keys: each of about most_rows rows, or of one group
+    that is larger. So a task holds that much of its partition, not all of it."""
+    import pyarrow as pa
+
+    held: list = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < most_rows:
+            continue
+        t = pa.Table.from_batches(held)
+        new = np.zeros(n - 1, bool)
+        for k in keys:
+            v = t[k].to_numpy()
+            new |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(new) + 1
+        if len(cuts):
+            yield t.slice(0, int(cuts[-1]))
+            t = t.slice(int(cuts[-1]))
+        held, n = t.to_batches(), t.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words."""
     n = len(words) - k + 1

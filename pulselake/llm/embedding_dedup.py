@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import materialize, partitions, sized, table
+from pulselake.llm.common import materialize, partitions, sized, table, whole_groups
 from pulselake.llm.components import components
 from pulselake.llm.vectors import by_length
 
 COSINE = 0.95
 #: Chance that a pair at the threshold itself shares a bucket in no table.
 MISS = 0.005
-#: Vectors of a bucket that are compared at a time.
-BLOCK = 512
+#: Vectors of a bucket that are compared at a time; rows that a task takes in at a time.
+BLOCK, ROWS = 512, 8192
 
 
 def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,10 +47,10 @@ def _hash(bits: int, tables: int, seed: int):
                 for at in range(0, len(rows), 4096):
                     part, v = rows[at : at + 4096], x[at : at + 4096]
                     signs = v @ planes(v.shape[1], bits, tables, seed) >= 0
-                    codes = (signs.reshape(len(v), tables, bits) @ place).astype(np.int32)
+                    codes = signs.reshape(len(v), tables, bits) @ place
                     yield pa.RecordBatch.from_arrays([
                         batch["id"].take(pa.array(part)), batch["w"].take(pa.array(part)),
-                        pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), tables).cast(pa.list_(pa.int32())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), tables).cast(pa.list_(pa.int64())),
                         pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in v], pa.binary()),
                     ], names=["id", "w", "codes", "packed", "v"])
 
@@ -58,17 +58,17 @@ def _hash(bits: int, tables: int, seed: int):
 
 
 def _compare(cosine: float):
-    """Links in each group of a partition: weighted link counts of each vector (v null), and edges that span the links."""
+    """Links in each group of a sorted partition: weighted link counts of each vector (v null), and edges that span the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        keys = np.stack([t[c].to_numpy() for c in ("t", "code", "i", "j")])
-        order = np.lexsort(keys[::-1])
+        for t in whole_groups(batches, ["t", "code", "dim", "i", "j"], ROWS):
+            yield from compared(t)
+
+    def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.stack([t[c].to_numpy() for c in ("t", "code", "dim", "i", "j")])
+        order = np.arange(t.num_rows)
         new = np.ones(len(order), bool)
-        new[1:] = (keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(axis=0)
+        new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
         begins = np.append(np.flatnonzero(new), len(order))
         ids, ws, own, packed, vectors = t["id"].to_numpy(), t["w"].to_numpy(), t["own"].to_numpy(), t["packed"].combine_chunks(), t["v"].combine_chunks()
         for a, b in zip(begins[:-1], begins[1:], strict=True):
@@ -76,15 +76,12 @@ def _compare(cosine: float):
             if len(rows) < 2:
                 continue
             raw = [vectors[int(r)].as_py() for r in rows]
-            lengths = np.array([len(x) for x in raw])
-            if (lengths != lengths[0]).any():  # vectors of another length never link
-                raise ValueError("a bucket holds one length of vectors")
             x = np.frombuffer(b"".join(raw)).reshape(len(rows), -1)
             norm = np.sqrt((x * x).sum(axis=1))
             cos = (x @ x.T) / (norm[:, None] * norm[None, :])
-            codes = np.frombuffer(b"".join(packed[int(r)].as_py() for r in rows), np.int32).reshape(len(rows), -1)
+            codes = np.frombuffer(b"".join(packed[int(r)].as_py() for r in rows), np.int64).reshape(len(rows), -1)
             i, j = np.nonzero(np.triu(cos >= cosine, 1))
-            if keys[2, rows[0]] != keys[3, rows[0]]:  # pairs within a block are another group's
+            if keys[3, rows[0]] != keys[4, rows[0]]:  # pairs within a block are another group's
                 apart = own[rows[i]] != own[rows[j]]
                 i, j = i[apart], j[apart]
             table_ = int(keys[0, rows[0]])
@@ -140,20 +137,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
     reps = materialize(reps.withColumn("vertex", F.monotonically_increasing_id()), "vectors")
     n = reps.count()
-    bits = min(30, max(8, math.ceil(math.log2(max(n, 2))) + 3))
+    bits = max(8, math.ceil(math.log2(max(n, 2))) + 3)
     tables = table_count(bits, cosine, miss)
     once = named.where("digest is not null and id is not null").select("digest", "x").dropDuplicates(["digest"])
     one = once.join(reps, "digest").select(F.col("vertex").alias("id"), "w", "x")
-    hashed = one.mapInArrow(_hash(bits, tables, seed), "id long, w long, codes array<int>, packed binary, v binary")
+    hashed = one.mapInArrow(_hash(bits, tables, seed), "id long, w long, codes array<long>, packed binary, v binary")
     hashed = materialize(hashed.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "hashed")
     entries = hashed.select("id", "own", F.octet_length("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
     full = entries.groupBy("t", "code", "dim").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = entries.join(full, ["t", "code", "dim"]).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod("own", F.col("nb")).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("id", "t", (F.col("code").cast("long") * (1 << 32) + F.col("dim")).alias("code"), "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("id", "t", "code", "dim", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     groups = dealt.join(hashed.select("id", "w", "packed", "v"), "id")
-    found = groups.repartition(partitions(spark), "t", "code", "i", "j").mapInArrow(_compare(cosine), "u long, v long, w long")
+    found = groups.repartition(partitions(spark), "t", "code", "dim", "i", "j").sortWithinPartitions("t", "code", "dim", "i", "j").mapInArrow(_compare(cosine), "u long, v long, w long")
     found = materialize(found, "links")
     counts = found.where("v is null").groupBy(F.col("u").alias("vertex")).agg(F.sum("w").alias("more"))
     comp = components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "vertex")

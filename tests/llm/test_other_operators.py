@@ -203,3 +203,50 @@ def test_pipeline_stages(spark, sf_dir):
         ids = kept
     out = c.STAGES[-1][1](spark, docs, sf_dir)
     assert out.where(~F.col("round_trip")).count() == 0 and out.count() == docs.count()
+
+
+def test_top_k_stops_early(spark):
+    """On the given vectors, searches stop on proof before all postings are added, and lose nothing."""
+    from pulselake.llm.topk import ImpactIndex
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.floor(256 * np.array([r.embedding for r in rows], float)).astype(np.int64)
+    ids = np.array([r.vec_id for r in rows])
+    index, ask = ImpactIndex(x), ids % 50 == 0
+    got = index.search(x[ask], ids[ask], ids, 5)
+    assert index.left_out > 0.05 * index.added[-1] * ask.sum()
+    for q, own, (best, scores) in zip(x[ask], ids[ask], got, strict=True):
+        s = x @ q
+        want = [r for r in np.lexsort((ids, -s)) if ids[r] != own][:5]
+        assert best.tolist() == want and scores.tolist() == s[want].tolist()
+
+
+def test_near_vectors_recall_at_the_threshold(spark):
+    """Planted pairs of 64 dimensions with cosines from 0.94 to 0.96 among vectors that are near nothing."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for i in range(0, 1200, 2):
+        a = rng.standard_normal(64)
+        b = rng.standard_normal(64)
+        b -= a * (a @ b) / (a @ a)
+        c = rng.uniform(0.94, 0.96)
+        pair = a / np.linalg.norm(a), c * a / np.linalg.norm(a) + np.sqrt(1 - c * c) * b / np.linalg.norm(b)
+        rows += [(i, pair[0].tolist()), (i + 1, pair[1].tolist())]
+        x, y = np.array(rows[-2][1]), np.array(rows[-1][1])
+        if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95:
+            want.add(i)
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = {i for i, r in got.items() if i % 2 == 0 and r.n_links}
+    assert found <= want and len(found) >= 0.97 * len(want) and len(want) > 200
+    assert all(got[i + 1].component_id == i and not got[i + 1].kept for i in found)
+
+
+def test_whole_groups_of_sorted_batches():
+    import pyarrow as pa
+
+    from pulselake.llm.common import whole_groups
+
+    keys = sorted(random.Random(9).choices([(a, b) for a in range(4) for b in range(9)], k=700))
+    t = pa.table({"a": [a for a, _ in keys], "b": [b for _, b in keys]})
+    parts = [[tuple(r.values()) for r in p.to_pylist()] for p in whole_groups(iter(t.to_batches(max_chunksize=11)), ["a", "b"], 60)]
+    assert sum(parts, []) == keys and len(parts) > 5 and all(not set(x) & set(y) for x, y in zip(parts, parts[1:], strict=False))
