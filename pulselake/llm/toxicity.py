@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import table
+from pulselake.llm.common import materialize, partitions, table
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Groups of words that name people; a swap within a group must not move a score. A parameter.
+#: Groups of words that name people, in the languages of the texts; a swap within a group must not move a score. A parameter.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -21,10 +21,18 @@ IDENTITY_GROUPS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "natives"),
     ("elderly", "young", "disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"),
 )
-#: The bound of the labelled sample on which the classifier is fitted, and of its vocabulary.
+#: The bound of the labelled sample on which the classifier is fitted.
 MOST_ROWS = 20_000
-MOST_WORDS = 512
 #: Words are features if the log-likelihood ratio of their presence and the label exceeds this.
 LEAST_G2 = 20.0
 
@@ -44,22 +52,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, groups: tuple = IDENTITY_GROUPS, penalty: float = 10.0, l2: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, groups: tuple = IDENTITY_GROUPS, penalty: float = 10.0, l2: float = 1e-3) -> Model:
     """A logistic classifier on the presence of words, fitted on at most most_rows labelled rows.
 
-    The rows are those of least hashed id, so the sample is the same in every run. Words are chosen by their
-    log-likelihood ratio with the label over the sample; identity words are features too. For each labelled text
+    The rows are those of least hashed id, so the sample is the same in every run. Features are all words whose
+    log-likelihood ratio with the label over the sample is beyond chance, however many, and the identity words. For each labelled text
     and each identity word in it, the word is swapped for the others of its group, and the squared change of the
     score's logit is penalised along with the loss: what labels say about texts that happen to mention a group
     can't settle on the group's name.
-    Only the sample's (row, feature) numbers reach the driver: at most most_rows times the features.
+    The texts are read once, for the sample, which is written. Only its (row, feature) numbers reach the driver: at most
+    most_rows times the features.
     Null labels and ids are left out, null text counts as empty; rows of docs with one id are texts of their own, each with
-    the id's label; without rows of both labels the model is the base rate.
+    the id's label (the largest, where labels repeat), and count among most_rows; without rows of both labels the model is the
+    base rate.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", words_of(F.col("_t")).alias("_w"))  # most_rows rows at most
+    held = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", words_of(F.col("_t")).alias("_w"))  # most_rows ids at most
+    sample = materialize(held.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_w")).limit(most_rows).repartition(partitions(docs.sparkSession)), "sample")
 
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).first()
     n, pos = totals["n"], totals["p"] or 0
@@ -73,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d, t = F.col("df"), F.col("tp")
     g2 = 2 * (part(t, d * pos / n) + part(d - t, d * (n - pos) / n) + part(pos - t, (n - d) * pos / n) + part(n - pos - d + t, (n - d) * (n - pos) / n))
     named = [w for g in groups for w in g]
-    best = [r["w"] for r in per_word.where((d >= 5) & (d < n)).withColumn("g2", g2).where(F.col("g2") > LEAST_G2).orderBy(F.desc("g2"), "w").limit(most_words).collect()]
+    best = [r["w"] for r in per_word.where((d >= 5) & (d < n)).withColumn("g2", g2).where(F.col("g2") > LEAST_G2).orderBy(F.desc("g2"), "w").collect()]  # words of the sample that tell labels apart
     vocabulary = list(dict.fromkeys([*best, *named]))
     number = {w: i for i, w in enumerate(vocabulary)}
     rows = sample.select("_y", F.array_intersect("_w", F.array(*map(F.lit, vocabulary))).alias("f")).collect()

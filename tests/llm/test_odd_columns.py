@@ -12,6 +12,7 @@ from pulselake.llm.licenses import scan_licenses
 from pulselake.llm.mixing import mix
 from pulselake.llm.substring_dedup import remove_repeats
 from pulselake.llm.topk import top_k
+from pulselake.llm.toxicity import fit, score
 from pulselake.llm.url_filter import HOST_RULES, PATTERN_RULES, RULE_FIELDS, Rule, judge, judge_by_table
 from tests.test_queries import rows_of
 
@@ -82,9 +83,33 @@ def test_many_rules_as_a_table(spark):
 
 
 def test_op2_held_out_labels(spark):
-    """Against the labels that the classifier doesn't see."""
-    d = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.toxic is not None}
-    got = [(r.predicted, labels[r.doc_id]) for r in registry.queries()["op2_toxicity"](spark, d).where("held_out").collect() if r.doc_id in labels]
-    hits, misses, false = (sum(g == want for g in got) for want in ((1, 1), (0, 1), (1, 0)))
-    assert len(got) > 50 and false <= 0.02 * len(got) and hits >= misses and sum(p == y for p, y in got) >= 0.95 * len(got)
+    """Against the labels that the classifier doesn't see: nine tenths of the toxic texts found, and hardly a false alarm."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    got = registry.queries()["op2_toxicity"](spark, d).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    toxic, fine = n.get((1, 1), 0) + n.get((1, 0), 0), n.get((0, 1), 0) + n.get((0, 0), 0)
+    assert toxic > 80 and fine > 500
+    assert n.get((1, 1), 0) >= 0.9 * toxic and n.get((0, 1), 0) <= 0.005 * fine
+
+
+@pytest.mark.parametrize("group", [("women", "men", "girls", "boys"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("inmigrantes", "refugiados", "extranjeros", "nativos")])
+def test_neutral_mentions_of_a_group(spark, group):
+    """Labelled texts in which one group's name goes with abuse: without the penalty neutral mentions are called toxic, with it they
+    aren't, and abuse is found as before."""
+    rng = random.Random(group[0])
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = []
+    for i in range(600):
+        toxic = i % 3 == 0
+        named = group[0] if toxic else rng.choice([*group[1:], ""])
+        rows.append((i, " ".join([word() for _ in range(12)] + [named] + ([rng.choice(["vile", "scum", "filth"])] if toxic and rng.random() < 0.85 else [])), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = [(f"{word()} {g} {word()} {word()}", g) for g in group for _ in range(10)] + [(f"{word()} {g} are scum and filth {word()}", "abuse") for g in group for _ in range(5)]
+    asked = spark.createDataFrame(held, "text string, kind string")
+    called = {}
+    for penalty in (0.0, 10.0):
+        scored = score(asked, fit(df, df, penalty=penalty)).groupBy("kind").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("share")).collect()
+        called[penalty] = {r.kind: r.share for r in scored}
+    assert called[0.0][group[0]] > 0.5 and called[10.0][group[0]] == 0.0
+    assert all(called[10.0][g] == 0.0 for g in group) and called[10.0]["abuse"] == 1.0
