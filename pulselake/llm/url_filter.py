@@ -108,7 +108,12 @@ RULE_FIELDS = "name string, verdict string, pattern string, tokens array<string>
 
 def judge_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """As judge, for a table of rules (RULE_FIELDS) of any size: tokens of distinct host + path meet rules in an equality
-    join on each rule's rarest token, and only the rules that a URL fetches run their patterns."""
+    join on each rule's rarest token, and only the rules that a URL fetches run their patterns.
+
+    Null URLs and URLs without :// have an empty host and path, and are allowed. A rule without tokens could never be fetched: it
+    is an error, when the rows are read. Of equal rules (base, length of the name, name) the greater verdict and pattern
+    counts; repeated pages are judged alike; without rules all are allowed, and no pages give no rows. Columns named host,
+    path, rule or verdict are replaced; others stay."""
     pages = pages.drop(*({"host", "path", "rule", "verdict"} - {url_col}))
     host, path = host_and_path(pages[url_col])
     judged = {"host": host, "path": path}
@@ -116,7 +121,9 @@ def judge_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url") ->
     work = pages.withColumn(at, F.concat(host, path))
     targets = work.select(F.col(at).alias("t")).where("t != ''").distinct()
     tokens = targets.select("t", F.explode(F.array_distinct(F.split(ascii_lower(F.col("t")), TOKEN_GAP, -1))).alias("token"))
-    literal = rules.select(F.struct("base", F.length("name").alias("n"), "name", "verdict", "pattern").alias("r"), F.explode("tokens").alias("token"))
+    none = F.raise_error(F.concat(F.lit("a rule without a token: "), F.coalesce("name", F.lit("null")))).cast("array<string>")
+    named = F.when(F.size(F.coalesce("tokens", F.array().cast("array<string>"))) > 0, F.col("tokens")).otherwise(none)
+    literal = rules.select(F.struct("base", F.length("name").alias("n"), "name", "verdict", "pattern").alias("r"), F.explode(named).alias("token"))
     seen = tokens.join(literal.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     rarest = literal.join(seen, "token", "left").groupBy("r").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token")).alias("_m")).select("r", F.col("_m.token").alias("token"))
     hits = tokens.join(rarest, "token").where(F.rlike(F.col("t"), F.col("r.pattern"))).groupBy("t").agg(F.max("r").alias("r"))

@@ -82,6 +82,15 @@ def test_many_rules_as_a_table(spark):
         judge(df, rules=(Rule("x", "block", "x", ()),))
 
 
+def test_a_rule_without_tokens_is_an_error(spark):
+    pages = spark.createDataFrame([("http://x.net/a",), (None,), ("http://x.net/a",)], "url string")
+    rules = [("r1", "block", "a", ["a"], False), ("r2", "block", "x", [], False)]
+    assert [r.verdict for r in judge_by_table(pages, spark.createDataFrame(rules[:1], RULE_FIELDS)).orderBy("url").collect()] == ["allow", "block", "block"]
+    with pytest.raises(Exception, match="without a token: r2"):
+        judge_by_table(pages, spark.createDataFrame(rules, RULE_FIELDS)).collect()
+    assert judge_by_table(pages.limit(0), spark.createDataFrame(rules[:1], RULE_FIELDS)).count() == 0
+
+
 def test_op2_held_out_labels(spark):
     """Against the labels that the classifier doesn't see: nine tenths of the toxic texts found, and hardly a false alarm."""
     d = "/root/testdata/sf0.1"
