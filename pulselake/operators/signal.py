@@ -224,7 +224,7 @@ def _rowwise(df: DataFrame, keep: list[str], col: str, fields: dict[str, str], o
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            got = [one(np.array([np.nan if v is None else v for v in x], float)) if x is not None else {} for x in pdf[col]]
+            got = [one(np.asarray(x, float)) if x is not None else {} for x in pdf[col]]  # null samples are NaN
             out = pdf[keep].reset_index(drop=True)
             for f in fields:
                 out[f] = [g.get(f) for g in got]

@@ -68,16 +68,23 @@ def mock_samples(spark: SparkSession, users: int, start_ms: int, end_ms: int, st
     return spark.range(users * n).select(F.floor(i / max(1, n)).cast("long").alias("user_id"), (F.lit(start_ms) + F.pmod(i, F.lit(max(1, n))) * step_ms).alias("ts_ms"), (low + u * (high - low)).alias(value))
 
 
+# Ranges of heart rate, variability and temperature on a tense and on a calm day, and seconds between their readings.
+TENSE_DAY, CALM_DAY = ((95, 115), (20, 40), (34.5, 36.0)), ((65, 85), (35, 75), (33.0, 35.0))
+HR_STEP_MS, HRV_STEP_MS, TEMP_STEP_MS = 5_000, 300_000, 60_000
+# Deviations by which a subject and a window vary, and the share of stressed windows.
+SUBJECT_SPREAD, WINDOW_SPREAD, STRESSED_SHARE = 0.3, 0.4, 0.35
+
+
 def mock_day(spark: SparkSession, users: int, start_ms: int, end_ms: int, tense: bool = True, seed: int = 7) -> dict[str, DataFrame]:
     """Heart rate every 5 s, variability every 5 minutes and temperature every minute, for a tense or a calm day."""
-    hr, hrv, temp = ((95, 115), (20, 40), (34.5, 36.0)) if tense else ((65, 85), (35, 75), (33.0, 35.0))
+    hr, hrv, temp = TENSE_DAY if tense else CALM_DAY
     return {
-        "hr": mock_samples(spark, users, start_ms, end_ms, 5_000, *hr, "bpm", seed), "hrv": mock_samples(spark, users, start_ms, end_ms, 300_000, *hrv, "rmssd", seed + 1),
-        "temp": mock_samples(spark, users, start_ms, end_ms, 60_000, *temp, "temperature_c", seed + 2),
+        "hr": mock_samples(spark, users, start_ms, end_ms, HR_STEP_MS, *hr, "bpm", seed), "hrv": mock_samples(spark, users, start_ms, end_ms, HRV_STEP_MS, *hrv, "rmssd", seed + 1),
+        "temp": mock_samples(spark, users, start_ms, end_ms, TEMP_STEP_MS, *temp, "temperature_c", seed + 2),
     }
 
 
-def labelled_features(spark: SparkSession, subjects: int, windows: int, base: dict[str, tuple[float, float]], shifts: dict[str, float], limits: dict[str, tuple[float, float]], share: float = 0.35, seed: int = 42) -> DataFrame:
+def labelled_features(spark: SparkSession, subjects: int, windows: int, base: dict[str, tuple[float, float]], shifts: dict[str, float], limits: dict[str, tuple[float, float]], share: float = STRESSED_SHARE, seed: int = 42) -> DataFrame:
     """(subject, window, stress_binary, label, features): each subject has a shift of its own (0.3 deviations), stressed
     windows are shifted further, noise is 0.4 deviations, and values are clamped. Draws come from hashes, so that a value
     doesn't depend on partitioning."""
@@ -93,7 +100,7 @@ def labelled_features(spark: SparkSession, subjects: int, windows: int, base: di
     w = w.withColumn("stress_binary", stressed)
     cols = {}
     for f, (mean, std) in base.items():
-        v = F.lit(mean) + normal(F.lit(f), F.col("_s")) * (0.3 * std) + F.col("stress_binary") * float(shifts.get(f, 0.0)) + normal(F.lit(f), i) * (0.4 * std)
+        v = F.lit(mean) + normal(F.lit(f), F.col("_s")) * (SUBJECT_SPREAD * std) + F.col("stress_binary") * float(shifts.get(f, 0.0)) + normal(F.lit(f), i) * (WINDOW_SPREAD * std)
         low, high = limits.get(f, (float("-inf"), float("inf")))
         cols[f] = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v))
     return w.withColumns(cols).select(F.format_string("S%d", F.col("_s") + 2).alias("subject"), "window", "stress_binary", (F.col("stress_binary") + 1).alias("label"), *base)
