@@ -21,6 +21,9 @@ from pulselake.llm.toxicity import fit, held_out, score
 
 #: Documents that score at least this are rejected.
 TOXIC = 0.5
+#: Text bytes of a block, and bytes of distinct words that a task remembers, in the last stage: half of what encoding alone
+#: takes, since executors that ran the stages before it have their heaps and Python workers already.
+BLOCK_BYTES, MEMORY_BYTES = 1 << 20, 3 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids_le (little-endian unsigned 32-bit ids), and whether they decode to the text."""
     marked = docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    out = encode(marked, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = encode(marked, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, block_bytes=BLOCK_BYTES, memory_bytes=MEMORY_BYTES)
     return out.select("doc_id", "source", "n_tokens", "ids_le", (F.xxhash64(F.col("decoded").cast("string")) == F.col("_hash")).alias("round_trip"))
 
 
