@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulselake.plans import hrv, library, models, sequences, wellness
+from pulselake.plans import hrv, library, models, sequences, voice, wellness
 
-MODULES = (hrv, sequences, wellness, models, library)
+MODULES = (hrv, sequences, wellness, models, library, voice)
 
 
 def queries() -> dict:
