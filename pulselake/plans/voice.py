@@ -20,8 +20,9 @@ def voice_scores(spark, d):
 def voice_tones(spark, d):
     """For each user a recording of half a second of a tone, a pause of 0.4 s and 0.3 s of the tone: the pauses found, whether the pitch is within
     2 %, whether the pause's frames are unvoiced, and whether the voice counts as steady."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # said, so that a few bytes a user aren't gathered into one task before they become sound
-    u = events(spark, d).select("user_id").distinct().repartition(parts, "user_id").withColumn("hz", 100.0 + 10 * F.pmod("user_id", F.lit(30)))
+    # By number and by another key than the distinct's: else the few bytes a user are gathered into one task before they become sound.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    u = events(spark, d).select("user_id").distinct().repartition(parts, F.xxhash64("user_id")).withColumn("hz", 100.0 + 10 * F.pmod("user_id", F.lit(30)))
     i = lambda k: F.when((k < 8000) | (k >= 14400), 0.5 * F.sin(2 * 3.141592653589793 * F.col("hz") * k / 16000)).otherwise(0.0)
     x = u.select("user_id", "hz", F.transform(F.sequence(F.lit(0), F.lit(19199)), i).alias("x"))
     v = voice.voices_in_full(x, ["user_id", "hz"])
