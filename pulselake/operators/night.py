@@ -66,8 +66,8 @@ def previous_delta(epochs: DataFrame, by: list[str], number: str, mean: str, out
 
 def epoch_motion(samples: DataFrame, by: list[str], epoch: str, at: str, g: str, profile: str = "device") -> DataFrame:
     """(by, epoch, act_count, act_max, act_std, and for train immobility): sums, maxima and stillness of successive
-    differences of magnitude within each epoch; zeros for a single sample."""
-    d = F.abs(F.col(g) - F.lag(g).over(Window.partitionBy(*by, epoch).orderBy(at)))
+    differences of magnitude within each epoch, samples of one time by their value; zeros for a single sample."""
+    d = F.abs(F.col(g) - F.lag(g).over(Window.partitionBy(*by, epoch).orderBy(at, g)))
     s = samples.withColumn("_d", d).groupBy(*by, epoch).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("act_count"), F.coalesce(F.max("_d"), F.lit(0.0)).alias("act_max"), F.when(F.count(g) > 1, F.stddev_pop(g)).otherwise(0.0).alias("act_std"), F.coalesce(F.avg((F.col("_d") < STILL_G).cast("double")), F.lit(0.0)).alias("immobility"))
     return s if profile == "train" else s.drop("immobility")
 

@@ -99,3 +99,10 @@ def test_an_epoch_closes_135_seconds_after_its_start(spark, tmp_path, rocks):
     before, after, ended = run(spark, tmp_path, "closing", [[*rows, (2, start + 134_999, "motion", 1.0)], [(2, start + 135_000, "motion", 1.0)], [(1, start + 40_000 + 135_000, "end", None), (2, start + 600_000, "motion", 1.0)]], "0 seconds")
     assert before == [] and [(r.user_id, r.epoch, r.n, r.hr_mean) for r in after] == [(1, start, 1, 60.0)]
     assert [(r.epoch - start) // 30_000 for r in sorted(ended, key=lambda r: r.epoch)] == [0, 1, 2, 3]  # as far as the sample reaches
+
+
+def test_motion_samples_of_one_time_count_in_order_of_their_values(spark):
+    rows = [(1, T0, "heart", 60.0), *[(1, T0 + 1_000 + m, "motion", v) for m, v in ((0, 5.0), (0, 1.0), (10, 5.0))], (1, T0 + 60_000, "end", None)]
+    for given in (rows, rows[::-1]):
+        got = figures(epochs.stored_night_epochs(spark.createDataFrame(given, FIELDS).coalesce(1), ["user_id"]).collect())
+        assert got[1, T0 // 30_000 * 30_000][8] == 4.0
