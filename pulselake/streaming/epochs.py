@@ -20,18 +20,45 @@ HEART, MOTION, END = "heart", "motion", "end"
 FIGURES = ("hr_mean", "hr_std", "hr_min", "hr_max", "hr_range", "hr_sdsd", "hr_delta_prev", "act_count", "act_max", "act_std")
 
 
-def heart_figures(values: np.ndarray) -> list[float]:
-    """Mean, deviation, extremes, range, and deviation of successive differences of an epoch's heart samples, in order."""
-    low, high = float(values.min()), float(values.max())
-    return [float(values.mean()), float(values.std()), low, high, high - low, float(np.diff(values).std()) if len(values) > 2 else 0.0]
-
-
-def motion_figures(values: np.ndarray) -> list[float]:
-    """Sum and maximum of successive differences, and deviation, of an epoch's magnitudes; zeros for one sample or none."""
-    if len(values) < 2:
-        return [0.0, 0.0, 0.0]
-    d = np.abs(np.diff(values))
-    return [float(d.sum()), float(d.max()), float(values.std())]
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from low to before high, range after range, and the range that each is of."""
+    n = np.maximum(high - low, 0)
+    at = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - (np.cumsum(n) - n)[at] + low[at], at
+
+
+def _deviation(values: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Deviation of each run of n values, one at least, from begins on."""
+    mean = np.add.reduceat(values, begins) / n
+    return np.sqrt(np.add.reduceat((values - np.repeat(mean, n)) ** 2, begins) / n)
+
+
+def heart_figures(values: np.ndarray, begins: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Mean, deviation, extremes, range, and deviation of successive differences of each epoch's heart samples, in order: n of them
+    from begins on."""
+    low, high = np.minimum.reduceat(values, begins), np.maximum.reduceat(values, begins)
+    sdsd, many = np.zeros(len(n)), n > 2
+    if many.any():
+        inner = np.ones(len(values), bool)
+        inner[begins] = False
+        d = np.diff(values, prepend=0.0)[inner & np.repeat(many, n)]
+        k = n[many] - 1
+        sdsd[many] = _deviation(d, np.cumsum(k) - k, k)
+    return [np.add.reduceat(values, begins) / n, _deviation(values, begins, n), low, high, high - low, sdsd]
+
+
+def motion_figures(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Sum and maximum of successive differences, and deviation, of each epoch's magnitudes; zeros for one sample or none."""
+    out = [np.zeros(len(begins)) for _ in range(3)]
+    many = np.flatnonzero(ends - begins > 1)
+    if len(many):
+        n = (ends - begins)[many]
+        at, _ = _spread(begins[many], ends[many])
+        out[2][many] = _deviation(values[at], np.cumsum(n) - n, n)
+        at, _ = _spread(begins[many] + 1, ends[many])
+        d, from_ = np.abs(values[at] - values[at - 1]), np.cumsum(n - 1) - (n - 1)
+        out[0][many], out[1][many] = np.add.reduceat(d, from_), np.maximum.reduceat(d, from_)
+    return out
 
 
 class NightEpochs(StatefulProcessor):
@@ -68,12 +95,12 @@ class NightEpochs(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         held = {k: np.array(sorted(map(tuple, s.get())), float).reshape(-1, 2) for k, s in self.samples.items()}
         ends = sorted({int(r[0]) for r in self.ends.get()})
-        out: list[list] = []
+        out: list[list[np.ndarray]] = []
         if self.at.exists():
             epoch, begun, mean = self.at.get()
             while ends and ends[0] <= now:  # whole sessions
                 before = {k: v[v[:, 0] < ends[0]] for k, v in held.items()}
-                out += self._closed(before, epoch, -(-ends[0] // STEP_MS), mean)[0]
+                out.append(self._closed(before, epoch, -(-ends[0] // STEP_MS), mean)[0])
                 held = {k: v[v[:, 0] >= ends[0]] for k, v in held.items()}
                 rest = np.concatenate([v[:, 0] for v in held.values()])
                 epoch, begun, mean = (int(rest.min()) // STEP_MS if len(rest) else None), False, None
@@ -86,7 +113,8 @@ class NightEpochs(StatefulProcessor):
                 if due > epoch:
                     before = {k: v[v[:, 0] < ends[0]] for k, v in held.items()} if ends else held
                     new, mean = self._closed(before, epoch, due, mean)
-                    out, epoch, begun = out + new, due, True
+                    out.append(new)
+                    epoch, begun = due, True
                 keep = {HEART: epoch * STEP_MS + STEP_MS // 2 - HEART_WINDOW_MS, MOTION: epoch * STEP_MS}
                 held = {k: v[v[:, 0] >= keep[k]] for k, v in held.items()}
             ends = [e for e in ends if e > now]
@@ -99,33 +127,29 @@ class NightEpochs(StatefulProcessor):
         ends = [e for e in ends if e > now]
         self.ends.put([(e,) for e in ends]) if ends else self.ends.clear()
         self._wake()
-        if out:
-            got = pd.DataFrame([r[1:] for r in out], columns=["n", *FIGURES])
-            got.insert(0, "epoch", [r[0] for r in out])
-            got.insert(0, "_key", key[0])
-            yield got
+        for columns in out:
+            if columns:
+                yield pd.DataFrame({"_key": key[0], **dict(zip(("epoch", "n", *FIGURES), columns, strict=True))})
 
     @staticmethod
-    def _closed(held: dict, first: int, to: int, mean: float | None) -> tuple[list[list], float | None]:
-        """The epochs from first to before to that have heart samples; and the mean of the last one, None if it had none."""
-        out = []
+    def _closed(held: dict, first: int, to: int, mean: float | None) -> tuple[list[np.ndarray], float | None]:
+        """The epochs from first to before to that have heart samples, as columns; and the mean of the last one, None if it had none."""
         heart, motion = held[HEART], held[MOTION]
-        # Long gaps have nothing in them: only epochs that some heart sample reaches are gone through.
-        last = first - 1
-        for e in range(first, to):
-            begin = e * STEP_MS
-            centre = begin + STEP_MS // 2
-            i, j = np.searchsorted(heart[:, 0], [centre - HEART_WINDOW_MS, centre + HEART_WINDOW_MS])
-            if i == j:
-                if j == len(heart):
-                    return out, None
-                continue
-            figures = heart_figures(heart[i:j, 1])
-            delta = figures[0] - mean if mean is not None and last == e - 1 else 0.0
-            a, b = np.searchsorted(motion[:, 0], [begin, begin + STEP_MS])
-            out.append([begin, j - i, *figures, delta, *motion_figures(motion[a:b, 1])])
-            mean, last = figures[0], e
-        return out, mean if last == to - 1 else None
+        # Long gaps have nothing in them: only epochs that some heart sample reaches are worked out.
+        low = np.maximum(-((READY_MS - 1 - heart[:, 0]) // STEP_MS), first).astype(np.int64)
+        high = np.minimum((heart[:, 0] + HEART_WINDOW_MS - STEP_MS // 2) // STEP_MS, to - 1).astype(np.int64)
+        epoch, at = _spread(low, high + 1)
+        if not len(epoch):
+            return [], None
+        by_epoch = np.argsort(epoch, kind="stable")  # samples stay in order of time
+        epoch, values = epoch[by_epoch], heart[at[by_epoch], 1]
+        begins = np.flatnonzero(np.diff(epoch, prepend=epoch[0] - 1))
+        epochs, n = epoch[begins], np.diff(begins, append=len(epoch))
+        figures = heart_figures(values, begins, n)
+        delta = np.where(np.diff(epochs, prepend=first - 1) == 1, np.diff(figures[0], prepend=figures[0][0] if mean is None else mean), 0.0)
+        moves = np.searchsorted(motion[:, 0], [epochs * STEP_MS, (epochs + 1) * STEP_MS])
+        out = [epochs * STEP_MS, n, *figures, delta, *motion_figures(motion[:, 1], *moves)]
+        return out, float(figures[0][-1]) if epochs[-1] == to - 1 else None
 
     def _wake(self) -> None:
         """One timer, at the next time at which an epoch or a session is due."""

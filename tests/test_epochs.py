@@ -106,3 +106,11 @@ def test_motion_samples_of_one_time_count_in_order_of_their_values(spark):
     for given in (rows, rows[::-1]):
         got = figures(epochs.stored_night_epochs(spark.createDataFrame(given, FIELDS).coalesce(1), ["user_id"]).collect())
         assert got[1, T0 // 30_000 * 30_000][8] == 4.0
+
+
+def test_a_gap_of_years_costs_nothing():
+    """A key's epochs are worked out where samples reach, not through every epoch of a gap."""
+    heart = np.array([[T0, 60.0], [T0 + 4_000, 66.0], [T0 + 30_000 * 10**12, 70.0]])
+    columns, mean = epochs.NightEpochs._closed({"heart": heart, "motion": np.zeros((0, 2))}, T0 // 30_000, T0 // 30_000 + 2 * 10**12, None)
+    assert columns[1].tolist()[:5] == [2] * 5 and len(columns[0]) == 5 + 8 and mean is None
+    assert columns[2].tolist()[:5] == [63.0] * 5 and columns[8].tolist() == [0.0] * 13
