@@ -36,11 +36,19 @@ def sleep_baseline(nights: DataFrame, user: list[str]) -> DataFrame:
         mean("sleep_min").alias("usual_sleep_min"), mean("efficiency").alias("usual_efficiency"), mean("quality").alias("usual_quality"), mean("deep_pct").alias("usual_deep_pct"), mean("rem_pct").alias("usual_rem_pct"))
 
 
-def night_heart(samples: DataFrame, by: list[str], bpm: str = "bpm", rmssd: str = "rmssd") -> DataFrame:
-    """(by, avg_hr, min_hr, avg_hrv, max_hrv) over positive values; 0 where there are none. Averages are whole numbers."""
+def night_heart(samples: DataFrame, by: list[str], bpm: str = "bpm", rmssd: str = "rmssd", order: list[str] | None = None) -> DataFrame:
+    """(by, avg_hr, min_hr, avg_hrv, max_hrv) over positive values; 0 where there are none. Averages are whole numbers. Sums run in
+    the order given, so that an average at a half doesn't depend on how rows were dealt; without one, in any order."""
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
-    whole = lambda c: half_up(F.coalesce(F.avg(pos(c)), F.lit(0.0))).cast("long")
-    return samples.groupBy(*by).agg(whole(bpm).alias("avg_hr"), F.coalesce(F.min(pos(bpm)), F.lit(0.0)).alias("min_hr"), whole(rmssd).alias("avg_hrv"), F.coalesce(F.max(pos(rmssd)), F.lit(0.0)).alias("max_hrv"))
+    sums = {"_bpm": F.sum(pos(bpm)), "_rmssd": F.sum(pos(rmssd))}
+    if order:
+        so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        samples = samples.withColumns({c: s.over(so_far) for c, s in sums.items()})
+        sums = {c: F.max_by(c, F.struct(*order)) for c in sums}
+    g = samples.groupBy(*by).agg(*[s.alias(c) for c, s in sums.items()], F.count(pos(bpm)).alias("_n_bpm"), F.count(pos(rmssd)).alias("_n_rmssd"),
+                                 F.coalesce(F.min(pos(bpm)), F.lit(0.0)).alias("min_hr"), F.coalesce(F.max(pos(rmssd)), F.lit(0.0)).alias("max_hrv"))
+    whole = lambda c: half_up(F.coalesce(F.try_divide(F.col(c), F.col(f"_n{c}")), F.lit(0.0))).cast("long")
+    return g.select(*by, whole("_bpm").alias("avg_hr"), "min_hr", whole("_rmssd").alias("avg_hrv"), "max_hrv")
 
 
 def analysed(nights: DataFrame, user: list[str], heart: DataFrame, night: list[str], usual: DataFrame) -> DataFrame:

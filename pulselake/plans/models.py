@@ -148,7 +148,7 @@ def sleep_baselines(spark, d):
 def night_analysis(spark, d):
     """Nights with their heart figures, recovery and consistency against the user's own."""
     n = _nights(spark, d)
-    heart = night.night_heart(events(spark, d).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), (40 + F.col("value")).alias("bpm"), F.col("k").alias("rmssd")), ["user_id", "day"])
+    heart = night.night_heart(events(spark, d).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), (40 + F.col("value")).alias("bpm"), F.col("k").alias("rmssd"), "event_id"), ["user_id", "day"], order=["event_id"])
     usual = night.sleep_baseline(n, ["user_id"]).join(events(spark, d).groupBy("user_id").agg(F.avg("k").alias("nocturnal_rmssd_mean")), "user_id")
     return rounded(night.analysed(n, ["user_id"], heart, ["day"], usual).select("user_id", "day", "avg_hr", "min_hr", "avg_hrv", "max_hrv", "recovery", "consistency"))
 

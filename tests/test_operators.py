@@ -386,3 +386,15 @@ def test_store(spark, tmp_path):
     assert tables.read_model(spark, f"{tmp_path}/model") == MODEL
     key = F.lit("0123456789abcdef")
     assert spark.range(1).select(tables.unguarded(tables.guarded(F.lit("héllo"), key), key)).first()[0] == "héllo"
+
+
+def test_a_night_average_at_a_half_follows_the_order(spark):
+    beats = [97.85, 71.82, 74.83]
+    assert math.floor((beats[0] + beats[1] + beats[2]) / 3 + 0.5) != math.floor((beats[2] + beats[1] + beats[0]) / 3 + 0.5)  # by rounding
+    for given in (beats, beats[::-1]):
+        df = spark.createDataFrame([(1, given.index(b), b, None) for b in given][::-1], "user_id long, event_id long, bpm double, rmssd double")
+        total = 0.0
+        for b in given:
+            total += b
+        got = night.night_heart(df.repartition(3), ["user_id"], order=["event_id"]).collect()
+        assert [tuple(r) for r in got] == [(1, math.floor(total / 3 + 0.5), min(beats), 0, 0.0)]
