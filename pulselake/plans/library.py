@@ -154,10 +154,18 @@ def readings(spark, d):
 
 
 def _packed(kind: str, cols: list[str]):
-    def run(pdf):
-        pdf = pdf.sort_values(["ms", "event_id"])
-        rows = [(int(r.ms), (float(r.value),) * 10) if kind == "sleep" else (int(r.ms), *[float(getattr(r, c)) for c in cols]) for r in pdf.itertuples()]
-        return pdf.iloc[:1][["path"]].assign(content=[binary.encode(kind, rows)])
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            samples, counts = b["samples"].flatten(), b["samples"].value_lengths().to_numpy(zero_copy_only=False)
+            of = lambda c: samples.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            rows = np.empty(len(samples), binary.RECORDS[kind])
+            rows["ts_ms"] = of("ms")
+            for field, c in zip(rows.dtype.names[1:], cols, strict=True):
+                rows[field] = of(c)[:, None] if rows[field].ndim > 1 else of(c)
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(binary.encode_all(kind, rows, counts), pa.binary())], names=["path", "content"])
 
     return run
 
@@ -165,9 +173,11 @@ def _packed(kind: str, cols: list[str]):
 def wearable_batches(spark, d):
     """All events as light, location and sleep batches of ten days of a user each, through base64 text, and decoded again."""
     e = events(spark, d).withColumns({"path": F.concat_ws("-", "user_id", F.floor(F.col("ms") / (10 * DAY))), "lat": 30 + F.col("value") / 1000, "k0": F.coalesce("k", F.lit(0.0))})
+    # One list of samples for each user and ten days serves all kinds, and many go to Python in one batch.
+    held = e.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ms", "event_id", "value", "lat", "k0"))).alias("samples"))
     out = None
     for kind, cols in (("light", ["value"]), ("location", ["lat", "k0", "value"]), ("sleep", ["value"])):
-        raw = e.select("path", "event_id", "ms", *cols).groupBy("path").applyInPandas(_packed(kind, cols), "path string, content binary").select("path", F.base64("content").alias("payload"))
+        raw = held.mapInArrow(_packed(kind, cols), "path string, content binary").select("path", F.base64("content").alias("payload"))
         got = binary.from_base64(raw, kind)
         value = {"light": [F.col("lux").cast("double"), F.col("is_outdoors").cast("double"), F.lit(None)], "location": [F.col("latitude"), F.col("longitude"), F.col("accuracy").cast("double")], "sleep": [F.get("f", F.lit(0)).cast("double"), F.get("f", F.lit(9)).cast("double"), F.size("f").cast("double")]}[kind]
         part = got.select(F.lit(kind).alias("kind"), "path", "ts_ms", *[v.cast("double").alias(n) for v, n in zip(value, "abc", strict=True)])

@@ -27,6 +27,8 @@ RECORDS = {
 MAGIC = {"sleep": SLEEP, "light": LIGHT, "location": LOCATION}
 FIELDS = {"sleep": "ts_ms long, f array<float>", "light": "ts_ms long, lux float", "location": "ts_ms long, latitude double, longitude double, accuracy float"}
 OUTDOORS_LUX = 1000.0
+#: Records of small batches that come out of a decoder together.
+TOGETHER = 10_000
 
 
 def _magic(name: bytes) -> int:
@@ -50,27 +52,44 @@ def records(kind: str, raw: bytes) -> np.ndarray | None:
 
 def encode(kind: str, rows: list[tuple], started_ms: int = 0) -> bytes:
     """One batch of rows (for sleep: (ts_ms, ten floats))."""
-    n = len(rows)
-    head = struct.pack(SLEEP_HEAD, _magic(SLEEP), 1, 0, started_ms, n, SLEEP_WIDTH, 0) if kind == "sleep" else struct.pack(ENV_HEAD, _magic(MAGIC[kind]), 1, 0, n)
-    return head + np.array(rows, RECORDS[kind]).tobytes()
+    return encode_all(kind, np.array(rows, RECORDS[kind]), np.array([len(rows)]), started_ms)[0]
+
+
+def encode_all(kind: str, rows: np.ndarray, counts: np.ndarray, started_ms: int = 0) -> list[bytes]:
+    """Batches of counts rows each, of RECORDS[kind], one after the other."""
+    ends = np.cumsum(counts)
+    head = lambda n: struct.pack(SLEEP_HEAD, _magic(SLEEP), 1, 0, started_ms, n, SLEEP_WIDTH, 0) if kind == "sleep" else struct.pack(ENV_HEAD, _magic(MAGIC[kind]), 1, 0, n)
+    return [head(int(n)) + rows[end - n : end].tobytes() for n, end in zip(counts, ends, strict=True)]
 
 
 def decode(files: DataFrame, kind: str, content: str = "content", path: str = "path") -> DataFrame:
     """(path, the kind's fields) of every record of the batches in files; batches that are no such kind give no rows.
-    light adds is_outdoors. One batch is one row of files, so memory is bounded by a batch."""
+    light adds is_outdoors. One batch is one row of files; small ones come out together, so memory is bounded by TOGETHER records
+    or a batch."""
     names = RECORDS[kind].names
 
+    def table(held: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+        every = np.concatenate([got for _, got in held])
+        cols = [pa.array([p for p, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(got) for _, got in held])))]
+        for c in names:
+            v = np.ascontiguousarray(every[c])
+            cols.append(pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float32())) if v.ndim > 1 else pa.array(v))
+        return pa.RecordBatch.from_arrays(cols, names=[path, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for p, raw in zip(batch[path], batch[content], strict=True):
                 got = records(kind, raw.as_py())
                 if got is None or not len(got):
                     continue
-                cols = [pa.array([p.as_py()] * len(got), pa.string())]
-                for c in names:
-                    v = np.ascontiguousarray(got[c])
-                    cols.append(pa.array(list(v), pa.list_(pa.float32())) if v.ndim > 1 else pa.array(v))
-                yield pa.RecordBatch.from_arrays(cols, names=[path, *names])
+                held.append((p.as_py(), got))
+                size += len(got)
+                if size >= TOGETHER:
+                    yield table(held)
+                    held, size = [], 0
+            if held:
+                yield table(held)
 
     out = files.select(path, content).mapInArrow(run, f"{path} string, {FIELDS[kind]}")
     return out.withColumn("is_outdoors", F.col("lux") >= OUTDOORS_LUX) if kind == "light" else out

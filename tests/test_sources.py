@@ -26,3 +26,18 @@ def test_finalised_sessions(spark, tmp_path):
     (tmp_path / "one" / "SESSION.final").write_text("x")
     got = [r.session.rsplit("/", 1)[1] for r in binary.read_finalised_sessions(spark, str(tmp_path)).collect()]
     assert got == ["one"]
+
+
+def test_small_batches_are_encoded_and_decoded_many_at_a_time(spark, sf_dir):
+    import numpy as np
+
+    from pulselake.plans import library
+    from pulselake.sources import binary
+
+    rows = np.array([(i, i / 4) for i in range(7)], binary.RECORDS["light"])
+    assert binary.encode_all("light", rows, np.array([3, 0, 4])) == [binary.encode("light", r) for r in ([(i, i / 4) for i in range(3)], [], [(i, i / 4) for i in range(3, 7)])]
+    many = [(str(i), binary.encode("light", [(i, float(i)), (i + 1, 1000.0)])) for i in range(3000)]
+    got = binary.decode(spark.createDataFrame([*many, ("bad", b"SRL1"), ("none", None)], "path string, content binary").coalesce(1), "light")
+    assert sorted((int(r.path), r.ts_ms, r.lux) for r in got.collect()) == sorted((i, i + k, v) for i in range(3000) for k, v in ((0, float(i)), (1, 1000.0)))
+    plan = library.wearable_batches(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan  # no call of Python for each batch
