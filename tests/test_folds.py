@@ -76,3 +76,23 @@ def test_stays_of_odd_users(spark, tiny_batches):
     want = [(0, 1, 0), (2, 3, 1), (4, 4, 0)]
     assert sorted((str(r.user_id), r.arrival, r.departure, r.place) for r in got.collect()) == sorted((str(u), *w) for u in (None, BIG, BIG + 1) for w in want)
     assert places.stays(got.select("user_id", F.col("arrival").alias("ts_ms"), F.col("place").alias("event_id"), "lat", "lon").limit(0)).count() == 0
+
+
+def test_figures_of_a_series_take_many_groups_in_one_call(spark):
+    import numpy as np
+
+    from pulselake.operators import hrv
+
+    rng = np.random.default_rng(5)
+    sizes = {None: 40, 9_007_199_254_740_993: 70, 9_007_199_254_740_992: 25, 3: 12, 4: 1}
+    rows = [(k, i, float(800 + 90 * rng.standard_normal())) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "k long, i long, rr double")
+    for profile in (hrv.DEVICE, hrv.TRAIN):
+        out = hrv.series_features(df, ["k"], ["i"], profile)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {r.k: list(r)[1:] for r in out.collect()}
+        assert got.keys() == sizes.keys()
+        for k in sizes:
+            x = np.array([r[2] for r in rows if r[0] == k])
+            long = len(x) >= 10
+            assert np.allclose(got[k], [*hrv.spectrum(x, profile=profile).values(), hrv.sample_entropy(x) if long else 0.0, hrv.dfa_alpha(x) if long else 0.0], atol=1e-12)
