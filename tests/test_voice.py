@@ -93,3 +93,33 @@ def test_composites(spark):
     df = spark.createDataFrame([(0.3, 12.0, 0.0, 120.0, 0.5), (0.03, 3.0, 0.5, 15.0, 0.1), (0.0, 0.0, 1.0, 50.0, 0.09), (None, 1.0, 0.0, 1.0, None)],
                                "rms_mean double, syllable_rate double, pause_ratio double, pitch_std double, voiced_fraction double")
     assert [(r.arousal, r.valence) for r in voice.composites(df).collect()] == [(1.0, 1.0), (0.38, 0.25), (0.0, 0.5), (None, None)]
+
+
+def test_of_equally_likely_paths_the_voiced_and_lower_one_counts():
+    """Ties, which the sums kept in place must not turn round: plain dynamic programming with first maxima."""
+    rng = np.random.default_rng(3)
+    for chances in (np.zeros((6, 8)), np.full((6, 8), 1 / 16), np.round(rng.random((30, 8)), 1) / 8):
+        n, m = chances.shape
+        reach, stay, change = 2, np.log(1 - voice.SWITCH), np.log(voice.SWITCH)
+        near = lambda d: np.log(reach + 1.0 - abs(d)) - 2 * np.log(reach + 1.0)
+        seen = lambda t: np.log(np.stack([chances[t], np.full(m, (1 - np.clip(chances[t].sum(), 0, 1)) / m)]) + 1e-300)
+        best, came = seen(0) - np.log(2 * m), []
+        for t in range(1, n):
+            now, back = np.zeros((2, m)), {}
+            for to in range(2):
+                for j in range(m):
+                    options = []
+                    for of in range(2):
+                        sums = [(best[of, i] + near(i - j), i) for i in range(max(0, j - reach), min(m, j + reach + 1))]
+                        top = max(v for v, _ in sums)
+                        options.append((top + (stay if of == to else change), next(i for v, i in sums if v == top), of))
+                    high = max(o[0] for o in options)
+                    now[to, j], back[to, j] = high, next((of, i) for v, i, of in options if v == high)
+            came.append(back)
+            best = now + seen(t)
+        state = divmod(int(best.argmax()), m)
+        path = [state]
+        for back in came[::-1]:
+            path.append(back[path[-1]])
+        step, voiced = voice.likeliest_path(chances, reach)
+        assert [(int(not v), int(s)) for s, v in zip(step, voiced, strict=True)] == path[::-1]
